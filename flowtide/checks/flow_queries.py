@@ -95,9 +95,9 @@ def q_flow_idle_sessions(spark, packets):
 
 
 @query("interarrival", "packets", sql="""
-  SELECT seq, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY src_ip, dst_ip ORDER BY ts, seq) AS gap_us FROM $packets""")
+  SELECT seq, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY src_ip, dst_ip ORDER BY ts, seq), -1) AS gap_us FROM $packets""")
 def q_interarrival(spark, packets):
-    return flows.interarrival(packets, ["src_ip", "dst_ip"], FLOW.slice_us).select("seq", "gap_us")
+    return flows.interarrival(packets, ["src_ip", "dst_ip"], FLOW.slice_us).select("seq", F.coalesce("gap_us", F.lit(-1)).alias("gap_us"))
 
 
 @query("active_idle_periods", "packets", sql=f"""WITH RECURSIVE {_GAPS}
@@ -119,6 +119,11 @@ def q_active_flow_count(spark, packets):
     return flows.active_flow_count(packets, _AT_US, FLOW)
 
 
+def _digits(name: str) -> int:
+    """Decimals to compare: whole microseconds for durations, four for the rest."""
+    return 0 if any(part in name for part in ("iat", "active", "idle", "duration")) else 4
+
+
 def _features_sql() -> str:
     f, b = "FILTER (fwd)", "FILTER (NOT fwd)"
     z = lambda e: f"coalesce({e}, 0)"
@@ -144,9 +149,9 @@ def _features_sql() -> str:
         "lambda a, h: CASE WHEN a = 20 OR h < a THEN h ELSE a END)",
     ]
     names = FEATURE_COLUMNS[:68]
-    picked = ", ".join(f"round(cast({v} AS double), 4) AS {n}" for v, n in zip(vals, names, strict=True))
+    picked = ", ".join(f"round(cast({v} AS double), {_digits(n)}) AS {n}" for v, n in zip(vals, names, strict=True))
     tail = ", ".join(
-        f"round(cast(coalesce(p.{k}_{s}, {alt}) AS double), 4) AS {'active' if k == 'a' else 'idle'}_{s}"
+        f"round(cast(coalesce(p.{k}_{s}, {alt}) AS double), 0) AS {'active' if k == 'a' else 'idle'}_{s}"
         for k in "ai" for s, alt in (("mean", "g.flow_duration" if k == "a" else "0"), ("std", "0"),
                                      ("max", "g.flow_duration" if k == "a" else "0"), ("min", "g.flow_duration" if k == "a" else "0")))
     return f"""WITH RECURSIVE {_GAPS}, g AS (
@@ -166,7 +171,7 @@ def _features_sql() -> str:
 @query("flow_features", "packets", sql=_features_sql())
 def q_flow_features(spark, packets):
     got = features.flow_features(packets, FLOW)
-    return got.select("k_proto", "k_ip_lo", "flow_seq", *[F.round(c, 4).alias(c) for c in FEATURE_COLUMNS])
+    return got.select("k_proto", "k_ip_lo", "flow_seq", *[F.round(c, _digits(c)).alias(c) for c in FEATURE_COLUMNS])
 
 
 @query("project_feature_sample", "packets", sql=f"""WITH RECURSIVE {_GAPS}

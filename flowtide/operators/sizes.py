@@ -1,0 +1,17 @@
+"""Size checks that decide how a side of a join is shipped."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks ``df`` for broadcast when it has at most ``max_rows`` rows; else leaves the join to the planner.
+
+    The count reads at most ``max_rows + 1`` rows per partition. Beyond the bound the join is a
+    shuffled one, and adaptive execution splits skewed partitions.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
