@@ -13,6 +13,7 @@ from flowtide.functions.time import date_parts, parse_flow_timestamp
 from flowtide.operators import aggregates as agg
 from flowtide.operators import filters as fil
 from flowtide.operators import joins, paging, sets
+from flowtide.schema import FEATURE_NAMES
 
 _IS = "(prediction IS NULL OR prediction <> 'BENIGN')"
 
@@ -392,16 +393,20 @@ def q_unknown_labels(spark, r):
     return sets.unknown_labels(r.select(F.col("` Label`").alias("label")), "label")
 
 
-@query("recognized_features", "flow_rows", sql="""SELECT DISTINCT f AS feature FROM $flow_rows,
-  unnest(['Flow Duration', 'Total Length of Fwd Packets', 'Flow Bytes/s', 'Idle Mean']) AS t(f)""")
+@query("recognized_features", "flow_rows", sql="""
+  SELECT 'Flow Duration' AS feature, count(" Flow Duration") AS filled FROM $flow_rows UNION ALL
+  SELECT 'Total Length of Fwd Packets', count("totlen fwd packets") FROM $flow_rows UNION ALL
+  SELECT 'Flow Bytes/s', count("FLOW BYTES/S") FROM $flow_rows UNION ALL SELECT 'Idle Mean', count("Idle Mean") FROM $flow_rows""")
 def q_recognized_features(spark, r):
     return sets.recognized_features(r)
 
 
-@query("missing_features", "flow_rows", sql="""SELECT 72 AS missing, count(*) > 0 AS has_rows FROM $flow_rows""")
+_MISSING = [n for n in FEATURE_NAMES if n not in ("Flow Duration", "Total Length of Fwd Packets", "Flow Bytes/s", "Idle Mean")]
+
+
+@query("missing_features", "flow_rows", sql=f"""SELECT unnest({_MISSING}) AS feature, n AS rows FROM (SELECT count(*) AS n FROM $flow_rows)""")
 def q_missing_features(spark, r):
-    names = [row.feature for row in sets.missing_features(r).collect()]
-    return r.agg(F.lit(len(names)).alias("missing"), (F.count("*") > 0).alias("has_rows"))
+    return sets.missing_features(r)
 
 
 # -- scalar functions ------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.functions.labels import LABEL_CATEGORIES
@@ -38,10 +38,6 @@ def unknown_labels(df: DataFrame, label: str) -> DataFrame:
     return distinct.where(~is_known_label(F.col("label")))
 
 
-def _names(spark: SparkSession, names: list[str]) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in names], "feature string")
-
-
 def recognized_feature_names(columns: list[str]) -> list[str]:
     """Canonical names the headers map to, in header order, repeats kept."""
     keys = [c.strip().lower() for c in columns]
@@ -49,10 +45,19 @@ def recognized_feature_names(columns: list[str]) -> list[str]:
 
 
 def recognized_features(df: DataFrame) -> DataFrame:
-    return _names(df.sparkSession, list(dict.fromkeys(recognized_feature_names(df.columns))))
+    """Canonical features some column maps to, each with its number of filled cells (first header wins)."""
+    picked: dict[str, str] = {}
+    for column, name in ((c, CANONICAL_BY_KEY.get(c.strip().lower())) for c in df.columns):
+        if name:
+            picked.setdefault(name, column)
+    filled = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(picked.values())])
+    return filled.select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("feature"), F.col(f"n{i}").alias("filled")) for i, n in enumerate(picked)
+    ])).alias("r")).select("r.*")
 
 
 def missing_features(df: DataFrame) -> DataFrame:
-    """Canonical features that no column of ``df`` maps to."""
+    """Canonical features that no column maps to, with the number of rows that take 0.0 for them."""
     have = set(recognized_feature_names(df.columns))
-    return _names(df.sparkSession, [n for n in FEATURE_NAMES if n not in have])
+    names = F.array(*[F.lit(n) for n in FEATURE_NAMES if n not in have])
+    return df.agg(F.count("*").alias("rows")).select(F.explode(names).alias("feature"), "rows")
