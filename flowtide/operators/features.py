@@ -66,7 +66,7 @@ def features_of(rows: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFrame:
         F.bool_or(F.col("fwd") == F.col("is_lo")).alias("lo_starts"),
     ]
     grouped = rows.groupBy(*FLOW_ID, "flow_start_us").agg(*aggs)
-    return _derive(grouped)
+    return derive_features(grouped, [*FLOW_ID, "flow_start_us"])
 
 
 def _min_segment() -> Column:
@@ -79,7 +79,8 @@ def _min_segment() -> Column:
             .when(F.col("hdr_after20").isNull() | (tail >= _NO_HEADER), F.lit(20)).otherwise(tail))
 
 
-def _derive(g: DataFrame) -> DataFrame:
+def derive_features(g: DataFrame, ids: list[str]) -> DataFrame:
+    """The flow row from the sums of ``features_of`` (batch or stream)."""
     c, zero = F.col, F.lit(0.0)
     dbl = lambda name: F.coalesce(c(name).cast("double"), zero)
     dur = F.greatest(c("end_us") - c("flow_start_us"), F.lit(0)).cast("double")
@@ -120,7 +121,7 @@ def _derive(g: DataFrame) -> DataFrame:
     ]
     side = lambda a, b: F.when(c("lo_starts"), c(a)).otherwise(c(b))
     return g.select(
-        *FLOW_ID, "flow_start_us", c("end_us").alias("flow_end_us"),
+        *ids, c("end_us").alias("flow_end_us"),
         side("k_ip_lo", "k_ip_hi").alias("src_ip"), side("k_ip_hi", "k_ip_lo").alias("dst_ip"),
         side("k_port_lo", "k_port_hi").alias("src_port"), side("k_port_hi", "k_port_lo").alias("dst_port"),
         c("k_proto").alias("protocol"), (c("n_fwd") + c("n_bwd")).alias("total_pkts"),
