@@ -139,3 +139,98 @@ def q_classification_metrics(spark, p):
   SELECT round((ranks - p * (p + 1) / 2.0) / (p * n), 6) AS roc_auc FROM s""")
 def q_roc_auc(spark, p):
     return met.roc_auc(p, "label", {"BENIGN": F.col("score")}).select(F.round("roc_auc", 6).alias("roc_auc"))
+
+
+# -- estimators: rows only, on all flow rows, with few trees and steps -------------------------------
+
+def _labelled(r):
+    rows, features = prep.prepare_raw(r, ("row_id",))
+    return rows, features
+
+
+_SMALL = {"random_forest": dict(numTrees=5, maxDepth=5), "decision_tree": dict(maxDepth=5),
+          "logistic_regression": dict(maxIter=5), "svm": dict(maxIter=3, dimensions=8)}
+
+
+def _scored(r, model_type):
+    from flowtide.plans import training
+    rows, features = _labelled(r)
+    model = training.fit_pipeline(rows, prep.fit_stats(rows, features), model_type, "v1", _SMALL[model_type])
+    return training.apply_model(rows, model, ("row_id", "label")), model
+
+
+def _register_trainer(model_type):
+    @query(f"train_{model_type}", "flow_rows")
+    def q(spark, r):
+        scored, _ = _scored(r, model_type)
+        return met.confusion_matrix(scored, "label", "raw_prediction")
+
+
+for _type in _SMALL:
+    _register_trainer(_type)
+
+
+@query("train_model", "flow_rows")
+def q_train_model(spark, r):
+    from flowtide.plans.training import train_model
+    _, record = train_model(r, "decision_tree", row_id="row_id", params=_SMALL["decision_tree"], min_features=4)
+    return record.select("version", "model_type", "feature_count", "training_samples", "test_samples", "total_samples",
+                         F.size("classes").alias("n_classes"), F.col("metrics")["accuracy"].alias("accuracy"))
+
+
+@query("compare_models", "flow_rows")
+def q_compare_models(spark, r):
+    from flowtide.plans.training import compare_models
+    return compare_models(r, row_id="row_id", params=_SMALL, min_features=4).drop("training_time", "error")
+
+
+@query("evaluate_saved_model", "flow_rows")
+def q_evaluate_saved_model(spark, r):
+    from flowtide.plans.scoring import evaluate_saved_model
+    from flowtide.plans.training import fit_pipeline
+    from flowtide.session import ensure_checkpoint_dir
+    from flowtide.sources.models import save_model
+    import uuid
+    rows, features = _labelled(r)
+    model = fit_pipeline(rows, prep.fit_stats(rows, features), "decision_tree", "v1", _SMALL["decision_tree"])
+    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    save_model(model, path)
+    return evaluate_saved_model(spark, path, r)
+
+
+@query("score_batch", "flow_rows")
+def q_score_batch(spark, r):
+    from flowtide.plans.scoring import score_batch
+    from flowtide.plans.training import fit_pipeline
+    rows, features = _labelled(r)
+    model = fit_pipeline(rows, prep.fit_stats(rows, features), "decision_tree", "v1", _SMALL["decision_tree"])
+    return score_batch(r, model, ("row_id",)).drop("probabilities")
+
+
+@query("feature_importance", "flow_rows")
+def q_feature_importance(spark, r):
+    _, model = _scored(r, "random_forest")
+    return met.feature_importance(model.pipeline.stages[-2], list(model.stats.names), spark, 20)
+
+
+@query("rank_importance", "flow_rows")
+def q_rank_importance(spark, r):
+    _, model = _scored(r, "decision_tree")
+    return met.rank_importance(met.feature_importance(model.pipeline.stages[-2], list(model.stats.names), spark))
+
+
+@query("detect_alerts", "packets")
+def q_detect_alerts(spark, packets):
+    """Packets to alerts, with a model trained on the flows themselves."""
+    from flowtide.checks.mapping import FLOW
+    from flowtide.checks.policy_queries import CFG
+    from flowtide.operators.features import flow_features, with_canonical_names
+    from flowtide.plans.detect import as_scored_input, verdicts
+    from flowtide.session import materialize
+    from flowtide.plans.training import fit_pipeline
+    flows = materialize(flow_features(packets, FLOW))
+    label = F.when(F.col("rst_flag_count") + F.col("fin_flag_count") > 0, "PortScan").when(F.col("syn_flag_count") > 1, "DoS").otherwise("BENIGN")
+    raw = with_canonical_names(flows.withColumn("Label", label))
+    rows, features = prep.prepare_raw(raw)
+    model = fit_pipeline(rows, prep.fit_stats(rows, features), "decision_tree", "v1", dict(maxDepth=4))
+    return verdicts(as_scored_input(flows), model, CFG).groupBy("prediction", "severity", "should_alert").agg(F.count("*").alias("n"))

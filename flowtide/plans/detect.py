@@ -10,6 +10,7 @@ from flowtide.operators.features import flow_features, project_feature_sample
 from flowtide.operators.policy import policy_cascade
 from flowtide.plans.scoring import score_flows
 from flowtide.plans.training import TrainedModel
+from flowtide.session import materialize
 
 _FLOW = ("id", "source_ip", "destination_ip", "source_port", "destination_port", "protocol", "timestamp", "total_pkts",
          "duration_s", "syn_count", "features")
@@ -27,12 +28,20 @@ def as_scored_input(features: DataFrame) -> DataFrame:
 
 def detect(packets: DataFrame, model: TrainedModel, flow_cfg: FlowConfig = FlowConfig(),
            policy_cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
-    """Packets -> flows -> features -> predictions -> verdicts (detection rows)."""
-    scored = score_flows(as_scored_input(flow_features(packets, flow_cfg)), model, _FLOW)
+    """Packets -> flows -> features -> predictions -> verdicts (detection rows).
+
+    The cascade reads its input several times, so the scored flows (one row per flow) are written once.
+    """
+    return verdicts(as_scored_input(flow_features(packets, flow_cfg)), model, policy_cfg)
+
+
+def verdicts(flows: DataFrame, model: TrainedModel, policy_cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
+    """``detect`` from ``as_scored_input`` rows on."""
+    scored = materialize(score_flows(flows, model, _FLOW).drop("raw_prediction", "status"))
     return policy_cascade(scored, policy_cfg).withColumns({"mode": F.lit("LIVE"), "batch": F.lit(False)})
 
 
-def alert_candidates(verdicts: DataFrame) -> DataFrame:
+def alert_candidates(detections: DataFrame) -> DataFrame:
     """Confirmed, non-duplicate verdicts as input of ``upsert_alerts``."""
-    return verdicts.where("is_intrusion AND should_alert").select(
+    return detections.where("is_intrusion AND should_alert").select(
         "id", "source_ip", "destination_ip", F.col("prediction").alias("attack_type"), "severity", "confidence", "timestamp")

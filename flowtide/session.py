@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", app: str = "flowtide", **conf: str) -> SparkSession:
@@ -35,3 +35,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes ``df`` once to the checkpoint folder and reads it from there, so that plans that use it several
+    times do not compute it again, also after the loss of executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
