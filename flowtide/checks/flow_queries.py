@@ -89,9 +89,8 @@ def q_flush_flows(spark, packets):
   SELECT k_proto, k_ip_lo, k_ip_hi, min(us) AS start_us, max(us) AS end_us, count(*) AS total_pkts
   FROM s GROUP BY k_proto, k_ip_lo, k_port_lo, k_ip_hi, k_port_hi, sid""")
 def q_flow_idle_sessions(spark, packets):
-    us = lambda c: F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})")
-    return flows.flow_idle_sessions(packets, FLOW.idle_us).select(
-        "k_proto", "k_ip_lo", "k_ip_hi", us("start_ts").alias("start_us"), us("end_ts").alias("end_us"), "total_pkts")
+    got = flows.flow_idle_sessions(packets, FLOW.idle_us, FLOW.slice_us)
+    return got.select("k_proto", "k_ip_lo", "k_ip_hi", "start_us", "end_us", "total_pkts")
 
 
 @query("interarrival", "packets", sql="""

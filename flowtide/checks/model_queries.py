@@ -144,8 +144,9 @@ def q_roc_auc(spark, p):
 # -- estimators: rows only, on all flow rows, with few trees and steps -------------------------------
 
 def _labelled(r):
+    from flowtide.session import materialize
     rows, features = prep.prepare_raw(r, ("row_id",))
-    return rows, features
+    return materialize(rows), features
 
 
 _SMALL = {"random_forest": dict(numTrees=5, maxDepth=5), "decision_tree": dict(maxDepth=5),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BENIGN, UNKNOWN = "BENIGN", "Unknown"
@@ -49,9 +49,29 @@ def _first_match(cases: list[tuple[Column, str]]) -> Column:
     return reduce(lambda acc, c: acc.when(c[0], c[1]), rest, F.when(cond, value))
 
 
+# Characters stripped around a label.
+_SPACES = "".join(map(chr, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                            0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def label_key(label: Column) -> Column:
+    """A label without surrounding space, in lower case."""
+    return F.lower(F.btrim(label.cast("string"), F.lit(_SPACES)))
+
+
 def normalize_label(label: Column) -> Column:
     """Category of a raw label: exact match, then the first entry contained either way."""
-    key = F.lower(F.regexp_replace(label.cast("string"), r"(?U)^\s+|\s+$", ""))
+    # Bound to a lambda variable, so that the key is computed once and not per branch.
+    return F.transform(F.array(label_key(label)), category_of_key)[0]
+
+
+def with_category(df: DataFrame, label: str, out: str) -> DataFrame:
+    """``normalize_label`` as a column of ``df``; the key is a column of its own, so that the branches compile."""
+    keyed = df.withColumn("_label_key", label_key(F.col(label)))
+    return keyed.withColumn(out, category_of_key(F.col("_label_key"))).drop("_label_key")
+
+
+def category_of_key(key: Column) -> Column:
     by_category: dict[str, list[str]] = {}
     for raw, category in LABEL_CATEGORIES.items():
         by_category.setdefault(category, []).append(raw)

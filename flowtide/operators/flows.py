@@ -18,7 +18,7 @@ from flowtide.config import FlowConfig
 from flowtide.functions.network import KEY_COLUMNS, flag, packet_defaults, with_flow_key
 from flowtide.functions.time import micros
 from flowtide.operators.active_split import split_long_segments
-from flowtide.operators.scan import SLICE, ordered_scan, time_slice
+from flowtide.operators.scan import SLICE, gap_sessions, ordered_scan, time_slice
 
 FLOW_ID = [*KEY_COLUMNS, "flow_seq"]
 
@@ -164,15 +164,12 @@ def flow_summary(packets: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFram
     )
 
 
-def flow_idle_sessions(packets: DataFrame, idle_us: int) -> DataFrame:
-    """Sessions by the idle rule only, on the native session window (gap >= idle splits)."""
-    keyed = with_flow_key(packet_defaults(packets))
-    return (
-        keyed.groupBy(*KEY_COLUMNS, F.session_window("ts", f"{idle_us - 1} microseconds").alias("w"))
-        .agg(F.count("*").alias("total_pkts"), F.sum("pkt_len").alias("total_bytes"),
-             F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
-        .drop("w")
-    )
+def flow_idle_sessions(packets: DataFrame, idle_us: int, slice_us: int = FlowConfig.slice_us) -> DataFrame:
+    """Sessions by the idle rule only (gap >= idle splits): key, start_us, end_us, total_pkts, total_bytes."""
+    rows = packet_defaults(packets.where(F.col("ts").isNotNull()))
+    keyed = with_flow_key(rows.withColumn("ts_us", micros(packets, "ts")))
+    return gap_sessions(keyed, KEY_COLUMNS, "ts_us", idle_us, slice_us,
+                        sums={"total_pkts": F.lit(1), "total_bytes": F.col("pkt_len")})
 
 
 def interarrival(packets: DataFrame, by: list[str], slice_us: int = FlowConfig.slice_us) -> DataFrame:

@@ -13,7 +13,7 @@ from flowtide.config import PolicyConfig
 from flowtide.functions.labels import BENIGN
 from flowtide.functions.network import is_infrastructure
 from flowtide.functions.time import micros
-from flowtide.operators.scan import ordered_scan, time_slice
+from flowtide.operators.scan import gap_sessions, ordered_scan, time_slice
 
 _SCORED_KEY = ["source_ip", "destination_ip", "prediction"]
 
@@ -96,12 +96,9 @@ def alert_dedup(df: DataFrame, window_us: int, confirmed: Column | None = None,
 
 def alert_sessions(df: DataFrame, window_us: int, slice_us: int = PolicyConfig.slice_us) -> DataFrame:
     """One row per burst of equal alerts: start, end, count, highest confidence."""
-    rows = alert_dedup(df, window_us, slice_us=slice_us)
-    rows = rows.withColumn("_at", micros(rows, "timestamp"))
-    started = ordered_scan(rows, _SCORED_KEY, ["_at", "id"], time_slice(F.col("_at"), slice_us),
-                           maxes={"start_us": F.when(~F.col("is_duplicate"), F.col("_at"))})
-    return started.groupBy(*_SCORED_KEY, "start_us").agg(
-        F.max("_at").alias("end_us"), F.count("*").alias("occurrences"), F.max("confidence").alias("confidence"))
+    rows = df.withColumn("_at", micros(df, "timestamp"))
+    return gap_sessions(rows, _SCORED_KEY, "_at", window_us, slice_us, sums={"occurrences": F.lit(1)},
+                        maxes={"confidence": F.col("confidence")})
 
 
 def policy_cascade(df: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:

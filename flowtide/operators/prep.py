@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowtide.functions.labels import normalize_label
+from flowtide.functions.labels import with_category
 from flowtide.operators.filters import align_features, drop_metadata, find_label_column, normalize_columns, to_numeric_clean
 from flowtide.operators.scan import ordered_scan
 from flowtide.operators.sizes import small_side
@@ -120,7 +120,7 @@ def prepare_raw(df: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, l
         raise ValueError("No label column found. Expected one of: Label, Class, Attack.")
     named = normalize_columns(drop_metadata(df), keep)
     features = [n for n in FEATURE_NAMES if n in named.columns]
-    clean = to_numeric_clean(named, features).withColumn("label", normalize_label(F.col("label")))
+    clean = with_category(to_numeric_clean(named, features), "label", "label")
     return clean.select(*keep, *features, "label"), features
 
 
@@ -161,8 +161,9 @@ def stratified_split(df: DataFrame, y: str, row_id: str, test_size: float = 0.2,
     sizes = df.groupBy(F.col(y).alias("_y")).agg(F.count("*").alias("_n"))
     if sizes.where("_n < 2").limit(1).count():
         raise ValueError("The least populated class has only 1 member, which is too few.")
-    joined = ranked.join(small_side(sizes), ranked[y].eqNullSafe(F.col("_y")), "left")
-    return joined.withColumn("is_test", F.col("_rank") <= F.round(F.col("_n") * test_size)).drop("_h", "_rank", "_y", "_n")
+    joined = ranked.join(small_side(sizes), ranked[y] == F.col("_y"), "left")
+    in_test = F.col("_rank") <= F.round(F.col("_n") * test_size)
+    return joined.withColumn("is_test", F.coalesce(in_test, F.lit(False))).drop("_h", "_rank", "_y", "_n")
 
 
 def class_weights_balanced(df: DataFrame, y: str) -> DataFrame:
@@ -174,4 +175,4 @@ def class_weights_balanced(df: DataFrame, y: str) -> DataFrame:
 
 def with_class_weights(df: DataFrame, y: str, out: str = "weight") -> DataFrame:
     weights = class_weights_balanced(df, y).select(F.col("label").alias("_label"), F.col("weight").alias(out))
-    return df.join(small_side(weights), df[y].eqNullSafe(F.col("_label")), "left").drop("_label")
+    return df.join(small_side(weights), df[y] == F.col("_label"), "left").drop("_label")

@@ -67,3 +67,49 @@ def ordered_scan(
             out[n] = (F.greatest if agg is F.max else F.least)(mine, carry)
     scratch = [*joins, SLICE] + [f"_{p}_{n}" for p in "vlc" for n, _, _ in specs]
     return merged.withColumns(out).drop(*scratch)
+
+
+def gap_sessions(
+    df: DataFrame,
+    keys: list[str],
+    at: str,
+    gap_us: int,
+    slice_us: int,
+    sums: dict[str, Column],
+    maxes: dict[str, Column] | None = None,
+) -> DataFrame:
+    """One row per run of rows of a key with gaps below ``gap_us``: ``start_us``, ``end_us``, sums and maxima.
+
+    Rows are first merged inside (key, time slice). What crosses to the second step, per key, is at most one
+    row per slice and per gap, so its size is bounded by the time span and not by the number of rows.
+    """
+    maxes = maxes or {}
+    width = time_slice(F.col(at), slice_us)
+    values = {**{f"_v_{n}": c for n, c in sums.items()}, **{f"_v_{n}": c for n, c in maxes.items()}}
+    inside = Window.partitionBy(*keys, SLICE).orderBy(at)
+    rows = df.select(*keys, F.col(at).alias(at), width.alias(SLICE), *[c.alias(n) for n, c in values.items()])
+    fresh = F.coalesce((F.col(at) - F.lag(at).over(inside) >= gap_us).cast("int"), F.lit(0))
+    runs = rows.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(inside)).groupBy(
+        *keys, SLICE, "_run").agg(
+        F.min(at).alias("start_us"), F.max(at).alias("end_us"),
+        *[F.sum(f"_v_{n}").alias(n) for n in sums], *[F.max(f"_v_{n}").alias(n) for n in maxes])
+    along = Window.partitionBy(*keys).orderBy("start_us")
+    apart = F.coalesce((F.col("start_us") - F.lag("end_us").over(along) >= gap_us).cast("int"), F.lit(0))
+    return runs.withColumn("_fresh", apart).withColumn("_run", F.sum("_fresh").over(along)).groupBy(*keys, "_run").agg(
+        F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"),
+        *[F.sum(n).alias(n) for n in sums], *[F.max(n).alias(n) for n in maxes]).drop("_run")
+
+
+def suggest_slice_us(df: DataFrame, keys: list[str], at: Column, base_us: int, target_rows: int = 5_000_000) -> int:
+    """The widest of base_us x 1, 4, 16, ... 4^7 whose fullest (key, slice) has at most ``target_rows`` rows.
+
+    One pass; the rows are counted per key and finest slice before anything is shuffled. Returns ``base_us``
+    when even that is too wide.
+    """
+    widths = [base_us * 4**k for k in range(8)]
+    fine = df.groupBy(*keys, time_slice(at, base_us).alias("_s")).agg(F.count("*").alias("_n"))
+    wide = fine.select(*keys, "_n", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("k"), F.floor(F.col("_s") / 4**k).alias("s")) for k in range(8)])).alias("w"))
+    fullest = wide.groupBy(*keys, "w").agg(F.sum("_n").alias("_n")).groupBy("w.k").agg(F.max("_n").alias("n")).collect()
+    fits = [widths[r.k] for r in fullest if r.n <= target_rows]
+    return max(fits, default=base_us)

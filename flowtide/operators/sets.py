@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.functions.labels import LABEL_CATEGORIES
+from flowtide.functions.labels import LABEL_CATEGORIES, label_key
 from flowtide.schema import CANONICAL_BY_KEY, FEATURE_NAMES
 
 
@@ -28,7 +28,7 @@ def distinct_classes(df: DataFrame, y: str) -> DataFrame:
 
 def is_known_label(label: Column) -> Column:
     """True when a label maps to a category, exactly or by containment."""
-    key = F.lower(F.regexp_replace(label.cast("string"), r"(?U)^\s+|\s+$", ""))
+    key = label_key(label)
     return reduce(lambda a, raw: a | key.contains(raw) | F.lit(raw).contains(key), LABEL_CATEGORIES, F.lit(False))
 
 

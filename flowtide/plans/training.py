@@ -7,21 +7,23 @@ from dataclasses import dataclass, field
 from typing import Callable
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.functions.labels import probability_map
 from flowtide.operators import metrics as met
 from flowtide.operators.filters import align_features
-from flowtide.operators.prep import FeatureStats, _require_features, fit_stats, prepare_raw, stratified_split, with_class_weights
+from flowtide.operators.prep import (
+    FeatureStats, _require_features, class_weights_balanced, fit_stats, prepare_raw, stratified_split)
 from flowtide.schema import MIN_FEATURES
 from flowtide.sources.flow_csv import read_head
 
 MIN_TRAINING_ROWS = 100
+MAX_CLASSES = 1000
 
 
 @dataclass(frozen=True)
@@ -95,12 +97,20 @@ def _fourier(d: int, dimensions: int, seed: int = 42) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {cols} FROM __THIS__")
 
 
-def fit_pipeline(train: DataFrame, stats: FeatureStats, model_type: str, version: str, params: dict | None = None,
-                 rows: int | None = None) -> TrainedModel:
-    """Fits one registered estimator on numeric features with ``label``."""
+def fit_pipeline(train: DataFrame, stats: FeatureStats, model_type: str, version: str,
+                 params: dict | None = None) -> TrainedModel:
+    """Fits one registered estimator on numeric features with a non-null ``label``.
+
+    One pass counts the classes, which gives their order and weights; the rows the estimator iterates over
+    are kept for the time of the fit.
+    """
     kind = MODEL_TYPES[model_type]
     params = {**kind.params, **(params or {})}
-    rows = train.count() if rows is None else rows
+    classes = class_weights_balanced(train.where("label IS NOT NULL"), "label").orderBy("label").limit(MAX_CLASSES + 1).collect()
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"More than {MAX_CLASSES} classes: the label column is no class.")
+    labels, rows = [c.label for c in classes], sum(c["count"] for c in classes)
+    weight = F.create_map(*[F.lit(v) for c in classes for v in (c.label, c.weight)])
     d = len(stats.names)
     stages = [_scaler(stats)]
     inputs = [f"s_{i}" for i in range(d)]
@@ -108,11 +118,19 @@ def fit_pipeline(train: DataFrame, stats: FeatureStats, model_type: str, version
         stages.append(_fourier(d, params["dimensions"]))
         inputs = [f"r_{j}" for j in range(params["dimensions"])]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="x"))
-    weighted = with_class_weights(train, "label")
-    indexer = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(weighted)
-    fitted = Pipeline(stages=[*stages, kind.build(params, rows)]).fit(indexer.transform(weighted))
-    decode = IndexToString(inputCol="prediction", outputCol="raw_prediction", labels=indexer.labels)
-    return TrainedModel(PipelineModel([*fitted.stages, decode]), stats, tuple(indexer.labels), version, model_type)
+    ready = PipelineModel(stages).transform(train.where("label IS NOT NULL").select(*stats.names, "label"))
+    indexer = StringIndexerModel.from_labels(labels, inputCol="label", outputCol="y")
+    instances = indexer.transform(ready.select("x", "label", weight[F.col("label")].alias("weight"))).select("x", "y", "weight")
+    # A table of few files leaves cores idle over many passes.
+    if instances.rdd.getNumPartitions() < train.sparkSession.sparkContext.defaultParallelism:
+        instances = instances.repartition(train.sparkSession.sparkContext.defaultParallelism)
+    instances.persist()
+    try:
+        fitted = kind.build(params, rows).fit(instances)
+    finally:
+        instances.unpersist()
+    decode = IndexToString(inputCol="prediction", outputCol="raw_prediction", labels=labels)
+    return TrainedModel(PipelineModel([*stages, fitted, decode]), stats, tuple(labels), version, model_type)
 
 
 def train_random_forest(train: DataFrame, stats: FeatureStats, **params) -> TrainedModel:
@@ -192,7 +210,7 @@ def train_model(df: DataFrame, model_type: str = "random_forest", test_size: flo
         train, test = split.where("NOT is_test"), split.where("is_test")
         stats = fit_stats(split if fit_on == "all" else train, features)
         began = time.time()
-        model = fit_pipeline(train, stats, model_type, version, params, sizes.n - sizes.t)
+        model = fit_pipeline(train, stats, model_type, version, params)
         trained = round(time.time() - began, 2)
         metrics = evaluate(model, test).first()
     finally:
@@ -220,12 +238,12 @@ def compare_models(df: DataFrame, row_id: str | None = None, max_rows: int | Non
     rows = []
     try:
         train, test = split.where("NOT is_test"), split.where("is_test")
-        stats, n = fit_stats(train, features), train.count()
+        stats = fit_stats(train, features)
         for name in types or list(MODEL_TYPES):
             label = MODEL_TYPES[name].label
             try:
                 began = time.time()
-                model = fit_pipeline(train, stats, name, name, (params or {}).get(name), n)
+                model = fit_pipeline(train, stats, name, name, (params or {}).get(name))
                 seconds = round(time.time() - began, 2)
                 m = evaluate(model, test).first()
                 rows.append((name, label, m.accuracy, m.precision_weighted, m.recall_weighted, m.f1_weighted, m.f1_macro,

@@ -68,9 +68,10 @@ def test_stream_flows_equal_batch(spark, packet_files, tmp_path):
 def test_stream_sessions_equal_batch(spark, packet_files, tmp_path):
     folder, real = packet_files
     _, got = drain(spark, stream_flow_sessions(packet_source(spark, folder, files_per_trigger=1)), "s_sessions", tmp_path)
-    cols = ["k_port_lo", "k_port_hi", "start_ts", "end_ts", "total_pkts", "total_bytes"]
-    want = sorted(map(tuple, flow_idle_sessions(real, 5 * SECOND).select(cols).collect()))
-    assert sorted(map(tuple, got.where("k_proto <> 'FLUSH'").select(cols).collect())) == want
+    cols = ["k_port_lo", "k_port_hi", "start_us", "end_us", "total_pkts", "total_bytes"]
+    want = sorted(map(tuple, flow_idle_sessions(real, 5 * SECOND, 7 * SECOND).select(cols).collect()))
+    got = got.where("k_proto <> 'FLUSH'").withColumns({"start_us": F.unix_micros("start_ts"), "end_us": F.unix_micros("end_ts")})
+    assert sorted(map(tuple, got.select(cols).collect())) == want
 
 
 DETECTION = ("id bigint, source_ip string, destination_ip string, destination_port int, prediction string, severity string, "
