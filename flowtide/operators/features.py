@@ -19,7 +19,8 @@ _NO_HEADER = 1 << 30
 
 def flow_features(packets: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFrame:
     """One row per flow: key, 5-tuple of the initiator, start/end, ``syn_count`` and 76 features."""
-    return features_of(annotate_packets(packets, cfg), cfg)
+    carry = ["pkt_len", "tcp_flags", "header_len", "win_size", "payload_len"]
+    return features_of(annotate_packets(packets, cfg, carry), cfg)
 
 
 def features_of(rows: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFrame:

@@ -23,9 +23,15 @@ from flowtide.operators.scan import SLICE, gap_sessions, ordered_scan, time_slic
 FLOW_ID = [*KEY_COLUMNS, "flow_seq"]
 
 
-def annotate_packets(packets: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFrame:
+_NEIGHBOURS = ["_gap_us", "_isl", "_isl_p", "_dir", "_dir20"]
+
+
+def annotate_packets(packets: DataFrame, cfg: FlowConfig = FlowConfig(), carry: list[str] | None = None,
+                     neighbours: bool = True) -> DataFrame:
     """Every packet with its flow (``flow_seq`` = ordinal of the flow's first packet in its key),
-    its direction ``fwd``, and the neighbour columns the feature sums need.
+    its direction ``fwd``, and with ``neighbours`` the columns about earlier packets the feature sums need.
+
+    ``carry`` names the packet columns to keep (default all); whatever is not needed should not be shuffled.
 
     One shuffle of the packets by (key, time slice); what one slice needs from earlier slices of
     its key comes from one summary row per slice.
@@ -121,10 +127,12 @@ def annotate_packets(packets: DataFrame, cfg: FlowConfig = FlowConfig()) -> Data
         "_dir20": F.when(lo, F.coalesce(F.col("base") + F.col("_lo20") - 1, F.col("c_lo20")))
                    .otherwise(F.coalesce(F.col("base") + F.col("_hi20") - 1, F.col("c_hi20"))),
     })
-    keep = [*base.columns[:-3], "idx", "key_n", "_p_us", "_gap_us", "_isl", "_isl_p", "_dir", "_dir20"]
+    long_keys = _has_long_keys(base, cfg)
+    keep = [*KEY_COLUMNS, "ts_us", "is_lo", *[c for c in (packets.columns if carry is None else carry) if c != "ts_us"],
+            "idx", "_p_us", *(["key_n"] if long_keys else []), *(_NEIGHBOURS if neighbours else [])]
     rows = rows.select(*keep, F.col("_seg.ts_us").alias("seg_us"), F.col("_seg.idx").alias("seg_idx"),
                        F.col("_seg.is_lo").alias("seg_lo"))
-    return _with_flow_columns(split_long_segments(rows, cfg, _has_long_keys(base, cfg)))
+    return _with_flow_columns(split_long_segments(rows, cfg, long_keys), neighbours).drop("key_n")
 
 
 def _has_long_keys(base: DataFrame, cfg: FlowConfig) -> bool:
@@ -135,33 +143,33 @@ def _has_long_keys(base: DataFrame, cfg: FlowConfig) -> bool:
     return longest > cfg.chunk_rows
 
 
-def _with_flow_columns(rows: DataFrame) -> DataFrame:
+def _with_flow_columns(rows: DataFrame, neighbours: bool) -> DataFrame:
     """Cuts the neighbour columns at flow borders."""
     start = F.col("idx") == F.col("flow_seq")
+    rows = rows.withColumn("fwd", F.col("is_lo") == F.col("flow_lo")).drop("flow_lo")
+    if not neighbours:
+        return rows.drop("_p_us")
     return rows.withColumns({
-        "fwd": F.col("is_lo") == F.col("flow_lo"),
         "prev_us": F.when(~start, F.col("_p_us")),
         "dir_prev_us": F.when(~start & (F.col("_dir.idx") >= F.col("flow_seq")), F.col("_dir.ts_us")),
         "gap_us": F.when(~start, F.col("_gap_us")),
         "island_us": F.greatest("_isl", "flow_start_us"),
         "prev_island_us": F.greatest("_isl_p", "flow_start_us"),
         "dir20_idx": F.when(F.col("_dir20") >= F.col("flow_seq"), F.col("_dir20")),
-    }).drop("_p_us", "_gap_us", "_isl", "_isl_p", "_dir", "_dir20", "key_n", "flow_lo")
+    }).drop("_p_us", *_NEIGHBOURS)
 
 
 def flow_sessionize(packets: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFrame:
     """Packets plus ``flow_seq``, ``flow_start_us`` and ``fwd``. Rows without a time are left out."""
-    return annotate_packets(packets, cfg).drop(
-        "idx", "prev_us", "dir_prev_us", "gap_us", "island_us", "prev_island_us", "dir20_idx", "is_lo")
+    return annotate_packets(packets, cfg, neighbours=False).drop("idx", "is_lo")
 
 
 def flow_summary(packets: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFrame:
     """One row per flow with its key, start, end and packet counts per direction."""
-    return (
-        flow_sessionize(packets, cfg).groupBy(*FLOW_ID, "flow_start_us")
-        .agg(F.max("ts_us").alias("flow_end_us"), F.count("*").alias("total_pkts"),
-             F.count_if("fwd").alias("fwd_pkts"), F.sum("pkt_len").alias("total_bytes"))
-    )
+    rows = annotate_packets(packets, cfg, carry=["pkt_len"], neighbours=False)
+    return rows.groupBy(*FLOW_ID, "flow_start_us").agg(
+        F.max("ts_us").alias("flow_end_us"), F.count("*").alias("total_pkts"),
+        F.count_if("fwd").alias("fwd_pkts"), F.sum("pkt_len").alias("total_bytes"))
 
 
 def flow_idle_sessions(packets: DataFrame, idle_us: int, slice_us: int = FlowConfig.slice_us) -> DataFrame:
@@ -182,7 +190,7 @@ def interarrival(packets: DataFrame, by: list[str], slice_us: int = FlowConfig.s
 
 def active_idle_periods(packets: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFrame:
     """Active and idle periods of every flow, one row each (``kind``, ``start_us``, ``dur_us``)."""
-    rows = annotate_packets(packets, cfg)
+    rows = annotate_packets(packets, cfg, carry=[])
     paused = rows.where(F.col("gap_us") > cfg.activity_us)
     closed = paused.select(*FLOW_ID, F.explode(F.array(
         F.struct(F.lit("active").alias("kind"), F.col("prev_island_us").alias("start_us"),
