@@ -9,7 +9,8 @@ from typing import Callable
 import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier)
+    DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest, OneVsRestModel,
+    RandomForestClassifier)
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +98,17 @@ def _fourier(d: int, dimensions: int, seed: int = 42) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {cols} FROM __THIS__")
 
 
+def _margins(models, inputs: list[str], labels: list[str]) -> SQLTransformer:
+    """The margins of one linear model per class and the class with the largest, as plain expressions."""
+    line = lambda m: " + ".join([f"{float(m.intercept)!r}D", *(
+        f"{float(w)!r}D * {c}" for w, c in zip(m.coefficients.toArray(), inputs))])
+    margins = ", ".join(line(m) for m in models)
+    names = ", ".join("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in labels)
+    return SQLTransformer(statement=(
+        f"SELECT *, element_at(array({names}), cast(array_position(margins, array_max(margins)) AS int)) AS raw_prediction "
+        f"FROM (SELECT *, array({margins}) AS margins FROM __THIS__)"))
+
+
 def fit_pipeline(train: DataFrame, stats: FeatureStats, model_type: str, version: str,
                  params: dict | None = None) -> TrainedModel:
     """Fits one registered estimator on numeric features with a non-null ``label``.
@@ -129,8 +141,11 @@ def fit_pipeline(train: DataFrame, stats: FeatureStats, model_type: str, version
         fitted = kind.build(params, rows).fit(instances)
     finally:
         instances.unpersist()
-    decode = IndexToString(inputCol="prediction", outputCol="raw_prediction", labels=labels)
-    return TrainedModel(PipelineModel([*stages, fitted, decode]), stats, tuple(labels), version, model_type)
+    if isinstance(fitted, OneVsRestModel):
+        stages[-1:] = [_margins(fitted.models, inputs, labels)]
+    else:
+        stages += [fitted, IndexToString(inputCol="prediction", outputCol="raw_prediction", labels=labels)]
+    return TrainedModel(PipelineModel(stages), stats, tuple(labels), version, model_type)
 
 
 def train_random_forest(train: DataFrame, stats: FeatureStats, **params) -> TrainedModel:
@@ -158,13 +173,13 @@ def apply_model(df: DataFrame, model: TrainedModel, keep: tuple[str, ...] = ())
 
     scored = model.pipeline.transform(align_features(df, list(model.stats.names), keep))
     if "probability" in scored.columns:
-        probs = vector_to_array("probability")
+        scored = scored.withColumn("_p", vector_to_array("probability"))
     else:
-        margins = vector_to_array("rawPrediction")
-        e = F.transform(margins, lambda m: F.exp(m - F.array_max(margins)))
-        total = F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
-        probs = F.transform(e, lambda v: v / total)
-    return scored.select(*keep, "raw_prediction", probs.alias("_p")).withColumn(
+        # In steps, each used once per row.
+        scored = scored.withColumn("_e", F.transform("margins", lambda m: F.exp(m - F.array_max("margins")))).withColumn(
+            "_t", F.aggregate("_e", F.lit(0.0), lambda a, b: a + b)).withColumn(
+            "_p", F.transform("_e", lambda v: v / F.col("_t")))
+    return scored.select(*keep, "raw_prediction", "_p").withColumn(
         "probabilities", probability_map(list(model.classes), F.col("_p")))
 
 
