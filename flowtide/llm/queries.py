@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtide.llm import chat_events, credentials, decontaminate, html_regions, line_quality, line_runs, near_dups, packing, sharding
+from flowtide.llm import chat_events, credentials, decontaminate, html_regions, line_quality, line_runs, near_dups, packing, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), packing.Limits(tokens=1024), end_id=2)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = toxicity.fit(docs, labels.where(~held_out).select("doc_id", F.col("toxic").alias("label")))
+    got = toxicity.score_documents(docs, model)
+    return got.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -70,6 +78,6 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sharding, op2_line_dedup, op3_quality_rules, op4_best_fit_packing, op6_near_duplicates, op7_chat_formatting,
+    op1_sharding, op2_line_dedup, op3_quality_rules, op4_best_fit_packing, op5_toxicity, op6_near_duplicates, op7_chat_formatting,
     op8_secret_scan, op9_decontamination, op10_html_extraction)}
 ORACLES: dict[str, str] = {}
