@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowtide.llm.oracles import ORACLES  # noqa: F401
 from flowtide.llm import chat_events, credentials, decontaminate, html_regions, line_quality, line_runs, near_dups, packing, sharding, toxicity
 
 
@@ -80,4 +81,4 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_line_dedup, op3_quality_rules, op4_best_fit_packing, op5_toxicity, op6_near_duplicates, op7_chat_formatting,
     op8_secret_scan, op9_decontamination, op10_html_extraction)}
-ORACLES: dict[str, str] = {}
+
