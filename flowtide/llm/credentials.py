@@ -121,10 +121,10 @@ def link_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
         own = F.col("kind") == kind
         last = F.last(F.when(own, F.struct("start", "end")), ignorenulls=True).over(before)
         first = F.first(F.when(own, F.struct("start", "end")), ignorenulls=True).over(after)
-        back = F.greatest(F.col("start") - last["end"], F.lit(0))
-        ahead = F.greatest(first["start"] - F.col("end"), F.lit(0))
-        near[f"{kind}_at"] = F.when(back <= reach, F.when(ahead < back, first["start"]).otherwise(last["start"])).when(
-            ahead <= reach, first["start"])
+        # Distances; beyond reach where there is no such part on that side.
+        back = F.when(last.isNull(), reach + 1).otherwise(F.greatest(F.col("start") - last["end"], F.lit(0)))
+        ahead = F.when(first.isNull(), reach + 1).otherwise(F.greatest(first["start"] - F.col("end"), F.lit(0)))
+        near[f"{kind}_at"] = F.when(F.least(back, ahead) <= reach, F.when(ahead < back, first["start"]).otherwise(last["start"]))
     linked = parts.withColumns(near)
     ident, key = F.col("ident_at").isNotNull(), F.col("key_at").isNotNull()
     return linked.where(ident & key)
