@@ -19,6 +19,10 @@ from flowtide.llm.spark_help import Shelf, buckets_for, cut, ident, prefix_sums
 CLASSES = [1 << k for k in (20, 18, 17, 16, 15, 14, 13, 12, 11, 10, 9, 8, 7, 6, 5)] + [0]
 
 
+#: The share of a quota below which a shard counts as full.
+NARROW = 0.02
+
+
 def _spread(*cols, n: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
@@ -35,12 +39,16 @@ def balanced_labels(nodes: DataFrame, shards: int, rounds: int = 12, settled: fl
     n_buckets = buckets_for(count)
     linked = shelf.put(nodes.where("members > 1").withColumn("shard", _spread("row", n=shards)), "round-0")
     n_linked = linked.count()
-    turn = 0
+    turn, closed = 0, set()
     while n_linked and turn < rounds:
         turn += 1
         loads = _loads(linked, shards)
         room = [max(0, quota - s) for s in loads]
-        open_to = F.element_at(F.array(*[F.lit(r > 0) for r in room]), F.col("shard") + 1)
+        # A shard with little room, or one that could admit nobody who asked, is not elected any more.
+        closed |= {k for k, r in enumerate(room) if r <= NARROW * quota}
+        if len(closed) == shards:
+            break
+        open_to = ~F.col("shard").isin(list(closed)) if closed else F.lit(True)
         held = shelf.put(linked.groupBy("grp", "shard").agg(F.sum("size").alias("held")), f"held-{turn}")
         # The fullest shard with room; ties by a hash of group and shard, so that groups spread.
         best = held.where(open_to).groupBy("grp").agg(F.max(F.struct(
@@ -55,11 +63,14 @@ def balanced_labels(nodes: DataFrame, shards: int, rounds: int = 12, settled: fl
         admitted = prefix_sums(asks, ["goal"], "bucket", ["row"], "size", "before").where(
             F.col("before") + F.col("size") <= F.element_at(F.array(*map(F.lit, room)), F.col("goal") + 1))
         moves = shelf.put(admitted.select("row", "goal"), f"moves-{turn}")
-        moved = moves.count()
+        admits = {r.goal: r.n for r in moves.groupBy("goal").agg(F.count("*").alias("n")).collect()}
+        refused = {r.goal for r in wish.select("goal").distinct().collect()} - set(admits)
+        moved = sum(admits.values())
+        closed |= refused
         after = linked.join(moves, "row", "left").withColumn("shard", F.coalesce("goal", "shard")).drop("goal")
         linked = shelf.put(after, f"round-{turn}")
         shelf.remove(f"round-{turn - 1}", f"held-{turn}", f"moves-{turn}")
-        if moved < max(1, settled * n_linked):
+        if moved < max(1, settled * n_linked) and not refused:
             break
     placed = _level(shelf, nodes, linked, shards, quota, n_buckets)
     out = cut(placed)
