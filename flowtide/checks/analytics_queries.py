@@ -128,22 +128,22 @@ _DAY = 86_400_000_000
 @query("active_alert_match", "detections", sql=f"""WITH a AS (
     SELECT id AS alert_id, source_ip, destination_ip, prediction AS attack_type, epoch_us(timestamp) AS opened_us,
            least(lead(epoch_us(timestamp)) OVER (PARTITION BY source_ip, destination_ip, prediction ORDER BY timestamp, id),
-                 epoch_us(timestamp) + 2 * {_DAY}) AS closed_us
-    FROM $detections WHERE {_IS} AND id % 3 = 0 AND source_ip IS NOT NULL AND prediction IS NOT NULL)
+                 epoch_us(timestamp) + (id % 3) * {_DAY}) AS closed_us
+    FROM $detections WHERE {_IS})
   SELECT d.id AS detection_id, coalesce(max(a.alert_id), -1) AS alert_id
-  FROM $detections d LEFT JOIN a ON a.source_ip = d.source_ip AND a.destination_ip = d.destination_ip
-   AND a.attack_type = d.prediction AND a.opened_us <= epoch_us(d.timestamp) AND epoch_us(d.timestamp) < a.closed_us
+  FROM $detections d LEFT JOIN a ON a.source_ip IS NOT DISTINCT FROM d.source_ip AND a.destination_ip IS NOT DISTINCT FROM d.destination_ip
+   AND a.attack_type IS NOT DISTINCT FROM d.prediction AND a.opened_us <= epoch_us(d.timestamp) AND epoch_us(d.timestamp) < a.closed_us
   WHERE {_IS.replace("prediction", "d.prediction")} GROUP BY d.id""")
 def q_active_alert_match(spark, d):
-    from pyspark.sql import Window
     from flowtide.functions.time import micros
+    from flowtide.operators.scan import ordered_scan
     intr = d.where(lab.is_intrusion(F.col("prediction"))).withColumnRenamed("prediction", "attack_type")
     intr = intr.withColumn("opened_us", micros(intr, "timestamp"))
-    w = Window.partitionBy(*joins.FINGERPRINT).orderBy("opened_us", "id")
-    opened = intr.where("id % 3 = 0 AND source_ip IS NOT NULL AND attack_type IS NOT NULL").select(
-        *joins.FINGERPRINT, F.col("id").alias("alert_id"), "opened_us",
-        F.least(F.lead("opened_us").over(w), F.col("opened_us") + 2 * _DAY).alias("closed_us"))
-    return joins.active_alert_match(intr, opened, 7 * _DAY).select(
+    following = ordered_scan(intr, joins.FINGERPRINT, ["opened_us", "id"], mins={"_next": F.col("opened_us")},
+                             inclusive=False, descending=True)
+    opened = following.select(*joins.FINGERPRINT, F.col("id").alias("alert_id"), "opened_us",
+                              F.least("_next", F.col("opened_us") + (F.col("id") % 3) * _DAY).alias("closed_us"))
+    return joins.active_alert_match(intr, opened).select(
         "detection_id", F.coalesce("alert_id", F.lit(-1)).alias("alert_id"))
 
 
@@ -338,10 +338,17 @@ def q_list_models(spark, r):
     return paging.list_models(r).select("model_id", "version", "created_at")
 
 
-@query("sort_multi", "detections", sql="""SELECT id FROM $detections
-  ORDER BY coalesce(prediction, '') DESC, confidence, id LIMIT 40""")
+@query("sort_multi", "detections", sql="""SELECT id, row_number() OVER (ORDER BY coalesce(prediction, '') DESC, confidence, id) AS place
+  FROM $detections""")
 def q_sort_multi(spark, d):
-    return paging.sort_multi(d, [("prediction", -1), ("confidence", 1), ("id", 1)]).limit(40).select("id")
+    """Every row with its place in the sorted result."""
+    from pyspark.sql import Window
+    from flowtide.session import materialize
+    ordered = paging.sort_multi(d, [("prediction", -1), ("confidence", 1), ("id", 1)])
+    rows = materialize(ordered.select("id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("low"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sizes.withColumn("before", before), "part").select("id", (F.col("before") + F.col("at") - F.col("low") + 1).alias("place"))
 
 
 @query("limit_n", "detections", sql="SELECT id FROM $detections")

@@ -89,14 +89,14 @@ def q_flush_flows(spark, packets):
   SELECT k_proto, k_ip_lo, k_ip_hi, min(us) AS start_us, max(us) AS end_us, count(*) AS total_pkts
   FROM s GROUP BY k_proto, k_ip_lo, k_port_lo, k_ip_hi, k_port_hi, sid""")
 def q_flow_idle_sessions(spark, packets):
-    got = flows.flow_idle_sessions(packets, FLOW.idle_us, FLOW.slice_us)
+    got = flows.flow_idle_sessions(packets, FLOW.idle_us)
     return got.select("k_proto", "k_ip_lo", "k_ip_hi", "start_us", "end_us", "total_pkts")
 
 
 @query("interarrival", "packets", sql="""
   SELECT seq, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY src_ip, dst_ip ORDER BY ts, seq), -1) AS gap_us FROM $packets""")
 def q_interarrival(spark, packets):
-    return flows.interarrival(packets, ["src_ip", "dst_ip"], FLOW.slice_us).select("seq", F.coalesce("gap_us", F.lit(-1)).alias("gap_us"))
+    return flows.interarrival(packets, ["src_ip", "dst_ip"]).select("seq", F.coalesce("gap_us", F.lit(-1)).alias("gap_us"))
 
 
 @query("active_idle_periods", "packets", sql=f"""WITH RECURSIVE {_GAPS}
@@ -112,8 +112,9 @@ _AT_US = 1_705_000_000_000_000
 
 
 @query("active_flow_count", "packets", sql=f"""WITH RECURSIVE {_ASSIGNED}, f AS (
-    SELECT min(us) AS a, max(us) AS b FROM ini GROUP BY {_FLOW})
-  SELECT count(*) AS active_flows FROM f WHERE a <= {_AT_US} AND {_AT_US} < b + {FLOW.idle_us}""")
+    SELECT min(us) AS a, max(us) AS b, bool_or((tcp_flags & 5) <> 0) AS closed FROM ini GROUP BY {_FLOW})
+  SELECT count(*) AS active_flows FROM f WHERE a <= {_AT_US}
+    AND {_AT_US} < CASE WHEN closed OR b - a >= {FLOW.active_us} THEN b ELSE b + {FLOW.idle_us} END""")
 def q_active_flow_count(spark, packets):
     return flows.active_flow_count(packets, _AT_US, FLOW)
 

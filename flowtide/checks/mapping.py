@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from flowtide.config import HOUR, FlowConfig
 
 # Timeouts that fit the spacing of the events table (about 4.3 minutes at sf0.01).
-FLOW = FlowConfig(idle_us=6 * HOUR, active_us=24 * HOUR, activity_us=2 * HOUR, slice_us=48 * HOUR)
+FLOW = FlowConfig(idle_us=6 * HOUR, active_us=24 * HOUR, activity_us=2 * HOUR)
 
 _K = "cast(regexp_extract(props, '[0-9]+', 0) as int)"
 

@@ -35,8 +35,15 @@ def q_label_distribution(spark, r):
     return ds.label_distribution(r)
 
 
-@query("duplicate_rows", "@lineitem", sql="""SELECT count(*) - count(DISTINCT (l_quantity, l_returnflag, l_linestatus, l_discount)) AS duplicate_rows FROM lineitem""")
+@query("duplicate_rows", "@lineitem", sql="""WITH d AS (SELECT DISTINCT * FROM lineitem)
+  SELECT (SELECT count(*) FROM lineitem) - count(*) AS duplicate_rows FROM d""")
 def q_duplicate_rows(spark, lineitem):
+    return ds.duplicate_rows(lineitem)
+
+
+@query("duplicate_rows_narrow", "@lineitem", sql="""SELECT count(*) - count(DISTINCT (l_quantity, l_returnflag, l_linestatus, l_discount)) AS duplicate_rows FROM lineitem""")
+def q_duplicate_rows_narrow(spark, lineitem):
+    """Over four columns, where rows do repeat."""
     return ds.duplicate_rows(lineitem.select("l_quantity", "l_returnflag", "l_linestatus", "l_discount"))
 
 
@@ -58,7 +65,7 @@ def q_fit_median_impute(spark, r):
 @query("fit_median_binned", "flow_rows", sql=f"""WITH c AS ({_CLEAN})
   SELECT {", ".join(f"round(quantile_cont({o}, 0.5), 6) AS {o}" for o in _OUT)} FROM c""")
 def q_fit_median_binned(spark, r):
-    return prep.fit_median_impute(_clean(r), _NAMES, direct_rows=0).toDF(*_OUT).select(*[F.round(o, 6).alias(o) for o in _OUT])
+    return prep.fit_median_impute(_clean(r), _NAMES).toDF(*_OUT).select(*[F.round(o, 6).alias(o) for o in _OUT])
 
 
 @query("fit_standard_scale", "flow_rows", sql=f"""WITH c AS ({_CLEAN})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowtide.checks.flow_queries import _ASSIGNED, _FLOW
 from flowtide.checks.mapping import FLOW
 from flowtide.checks.registry import query
 from flowtide.config import DAY, HOUR, PolicyConfig
@@ -14,7 +15,7 @@ from flowtide.operators import policy as pol
 from flowtide.operators.aggregates import session_counters
 from flowtide.operators.flows import flow_summary
 
-CFG = PolicyConfig(probe_window_us=DAY, dedup_window_us=12 * HOUR, min_probes=3, slice_us=4 * DAY)
+CFG = PolicyConfig(probe_window_us=DAY, dedup_window_us=12 * HOUR, min_probes=3)
 
 _INFRA = "(source_port IN (53,67,68,123) OR destination_port IN (53,67,68,123))"
 _THIN = "(total_pkts < 20 AND total_pkts / greatest(duration_s, 1e-4) < 50 AND syn_count / greatest(total_pkts, 1) < 0.70)"
@@ -50,7 +51,7 @@ def q_confidence_gate(spark, d):
     AS distinct_targets FROM p""")
 def q_portscan_probe_count(spark, d):
     rows = d.where("prediction = 'PortScan'")
-    return pol.portscan_probe_count(rows, CFG.probe_window_us, slice_us=CFG.slice_us).select("id", "distinct_targets")
+    return pol.portscan_probe_count(rows, CFG.probe_window_us).select("id", "distinct_targets")
 
 
 @query("alert_dedup", "detections", sql=f"""WITH p AS (SELECT *, epoch_us(timestamp) AS us,
@@ -58,7 +59,7 @@ def q_portscan_probe_count(spark, d):
   SELECT id, ok AND coalesce({_dup_sql(CFG.dedup_window_us)}, false) AS is_duplicate FROM p""")
 def q_alert_dedup(spark, d):
     ok = is_intrusion(F.col("prediction")) & (F.col("confidence") >= 0.75)
-    return pol.alert_dedup(d, CFG.dedup_window_us, ok, CFG.slice_us).select("id", "is_duplicate")
+    return pol.alert_dedup(d, CFG.dedup_window_us, ok).select("id", "is_duplicate")
 
 
 @query("alert_sessions", "detections", sql=f"""WITH p AS (SELECT *, epoch_us(timestamp) AS us FROM $detections
@@ -70,7 +71,7 @@ def q_alert_dedup(spark, d):
          count(*) AS occurrences, max(confidence) AS confidence
   FROM s GROUP BY s.source_ip, destination_ip, s.prediction, burst""")
 def q_alert_sessions(spark, d):
-    got = pol.alert_sessions(d.where(is_intrusion(F.col("prediction"))), CFG.dedup_window_us, CFG.slice_us)
+    got = pol.alert_sessions(d.where(is_intrusion(F.col("prediction"))), CFG.dedup_window_us)
     return got.withColumns({c: F.coalesce(c, F.lit("?")) for c in ("source_ip", "prediction")})
 
 
@@ -115,24 +116,25 @@ def q_policy_cascade(spark, d):
                ).alias("dedup_key"))
 
 
-@query("session_counters", "packets", "detections", sql=f"""WITH {_CASCADE}
-  SELECT (SELECT count(*) FROM $packets) AS packets_captured, count(*) AS flows_analyzed, count(*) FILTER (NOT ok) AS normal_traffic,
+@query("session_counters", "packets", "detections", sql=f"""WITH RECURSIVE {_ASSIGNED}, {_CASCADE}
+  SELECT (SELECT count(*) FROM $packets) AS packets_captured, (SELECT count(DISTINCT ({_FLOW})) FROM ini) AS flows_generated, count(*) AS flows_analyzed, count(*) FILTER (NOT ok) AS normal_traffic,
          count(*) FILTER (ok) AS intrusions, count(*) FILTER (ok AND NOT dup) AS alerts FROM verdict""")
 def q_session_counters(spark, packets, d):
     verdicts = pol.policy_cascade(d, CFG)
-    return session_counters(flow_summary(packets, FLOW), verdicts, verdicts.where("should_alert")).drop("flows_generated")
+    return session_counters(flow_summary(packets, FLOW), verdicts)
 
 
-_CLOSES = "SELECT source_ip, destination_ip, prediction AS attack_type, timestamp FROM $detections WHERE id % 11 = 0 AND prediction <> 'BENIGN' AND source_ip IS NOT NULL"
+_INTRUSION = "prediction IS DISTINCT FROM 'BENIGN'"
+_CLOSES = f"SELECT source_ip, destination_ip, prediction AS attack_type, timestamp FROM $detections WHERE id % 11 = 0 AND {_INTRUSION}"
 
 
 def _closes(d):
-    return d.where("id % 11 = 0 AND prediction <> 'BENIGN' AND source_ip IS NOT NULL").select(
+    return d.where((F.col("id") % 11 == 0) & is_intrusion(F.col("prediction"))).select(
         "source_ip", "destination_ip", F.col("prediction").alias("attack_type"), "timestamp")
 
 
 @query("alert_aggregate", "detections", sql=f"""WITH c AS ({_CLOSES}), d AS (
-    SELECT *, prediction AS attack_type FROM $detections WHERE prediction <> 'BENIGN' AND source_ip IS NOT NULL
+    SELECT *, prediction AS attack_type FROM $detections WHERE {_INTRUSION}
   ), e AS (
     SELECT source_ip, destination_ip, attack_type, timestamp, 1 AS rank, id, severity, confidence FROM d
     UNION ALL SELECT *, 0, NULL, NULL, NULL FROM c
@@ -143,28 +145,32 @@ def _closes(d):
          epoch_us(min(timestamp)) AS timestamp_us, epoch_us(max(timestamp)) AS last_seen_us
   FROM n WHERE rank = 1 GROUP BY 1, 2, 3, 4""")
 def q_alert_aggregate(spark, d):
-    rows = d.where("prediction <> 'BENIGN' AND source_ip IS NOT NULL").withColumnRenamed("prediction", "attack_type")
-    return al.alert_aggregate(rows, _closes(d), CFG.slice_us)
+    rows = d.where(is_intrusion(F.col("prediction"))).withColumnRenamed("prediction", "attack_type")
+    return al.alert_aggregate(rows, _closes(d))
 
 
 @query("upsert_alerts", "detections", sql=f"""WITH d AS (
-    SELECT *, prediction AS attack_type FROM $detections WHERE prediction <> 'BENIGN' AND source_ip IS NOT NULL
+    SELECT *, prediction AS attack_type FROM $detections WHERE {_INTRUSION}
   ), a AS (
     SELECT id, source_ip, destination_ip, attack_type, severity, confidence, CASE WHEN id % 10 = 5 THEN 'RESOLVED' ELSE 'ACTIVE' END AS status,
-           1 AS occurrences, timestamp FROM d WHERE id % 5 = 0
-  ), b AS (SELECT source_ip, destination_ip, attack_type, count(*) AS n, max(confidence) AS conf, min(id) AS nid FROM d WHERE id % 5 = 1 GROUP BY 1, 2, 3
-  ), o AS (SELECT source_ip, destination_ip, attack_type, max(id) AS oid FROM a WHERE status = 'ACTIVE' GROUP BY 1, 2, 3
-  ), m AS (SELECT b.*, oid FROM b LEFT JOIN o USING (source_ip, destination_ip, attack_type))
-  SELECT a.id, a.status, a.occurrences + coalesce(m.n, 0) AS occurrences, greatest(a.confidence, m.conf) AS confidence
+           1 AS occurrences, timestamp FROM d WHERE id % 2 = 0
+  ), b AS (SELECT source_ip, destination_ip, attack_type, count(*) AS n, max(confidence) AS conf, arg_min(id, (timestamp, id)) AS nid,
+      max(timestamp) AS seen FROM d WHERE id % 2 = 1 GROUP BY 1, 2, 3
+  ), o AS (SELECT source_ip, destination_ip, attack_type, arg_max(id, (timestamp, id)) AS oid FROM a WHERE status = 'ACTIVE' GROUP BY 1, 2, 3
+  ), m AS (SELECT b.*, oid FROM b LEFT JOIN o ON b.source_ip IS NOT DISTINCT FROM o.source_ip
+      AND b.destination_ip IS NOT DISTINCT FROM o.destination_ip AND b.attack_type IS NOT DISTINCT FROM o.attack_type)
+  SELECT a.id, a.status, a.occurrences + coalesce(m.n, 0) AS occurrences, greatest(a.confidence, m.conf) AS confidence,
+         coalesce(epoch_us(greatest(m.seen, a.timestamp)), -1) AS seen_us
   FROM a LEFT JOIN m ON m.oid = a.id
-  UNION ALL SELECT nid, 'ACTIVE', n, conf FROM m WHERE oid IS NULL""")
+  UNION ALL SELECT nid, 'ACTIVE', n, conf, CASE WHEN n > 1 THEN epoch_us(seen) ELSE -1 END FROM m WHERE oid IS NULL""")
 def q_upsert_alerts(spark, d):
-    rows = d.where("prediction <> 'BENIGN' AND source_ip IS NOT NULL").withColumnRenamed("prediction", "attack_type")
+    rows = d.where(is_intrusion(F.col("prediction"))).withColumnRenamed("prediction", "attack_type")
     cols = ["id", "source_ip", "destination_ip", "attack_type", "severity", "confidence", "timestamp"]
-    table = rows.where("id % 5 = 0").select(*cols, F.when(F.col("id") % 10 == 5, "RESOLVED").otherwise("ACTIVE").alias("status"),
+    table = rows.where("id % 2 = 0").select(*cols, F.when(F.col("id") % 10 == 5, "RESOLVED").otherwise("ACTIVE").alias("status"),
                                             F.lit(1).cast("bigint").alias("occurrences"),
-                                            F.lit(None).cast("timestamp_ntz").alias("last_seen"))
-    return al.upsert_alerts(table, rows.where("id % 5 = 1").select(*cols)).select("id", "status", "occurrences", "confidence")
+                                            F.col("timestamp").alias("last_seen"))
+    got = al.upsert_alerts(table, rows.where("id % 2 = 1").select(*cols))
+    return got.select("id", "status", "occurrences", "confidence", F.coalesce(micros(got, "last_seen"), F.lit(-1)).alias("seen_us"))
 
 
 @query("alert_current_state", "lifecycle", sql="""SELECT alert_id,
@@ -183,7 +189,7 @@ def q_alert_current_state(spark, e):
 @query("alert_notes", "lifecycle", sql="""SELECT alert_id, row_number() OVER (PARTITION BY alert_id ORDER BY ts, event_id) AS note_no,
   text, actor AS author FROM $lifecycle WHERE kind IN ('NOTE', 'RESOLVE')""")
 def q_alert_notes(spark, e):
-    return al.alert_notes(e, 365 * DAY).drop("ts")
+    return al.alert_notes(e).drop("ts")
 
 
 @query("active_model", "registry", sql="""WITH w AS (SELECT arg_max(model_id, (activated_at, model_id)) AS won FROM $registry

@@ -13,15 +13,13 @@ DAY = 24 * HOUR
 class FlowConfig:
     """Flow timeouts.
 
-    ``slice_us`` is the width of the time slices a key is cut into, so that a hot key is spread
-    over many tasks. ``chunk_rows`` bounds the rows one Python call of the active-timeout pass holds.
+    ``chunk_rows`` bounds the rows one Python call of the active-timeout pass holds.
     """
 
     idle_us: int = 5 * SECOND
     active_us: int = 15 * SECOND
     activity_us: int = 1 * SECOND
     active_rule: str = "inclusive"
-    slice_us: int = 300 * SECOND
     chunk_rows: int = 1_000_000
 
     def __post_init__(self):
@@ -41,4 +39,3 @@ class PolicyConfig:
     dos_min_packets: int = 20
     dos_min_rate: float = 50.0
     dos_min_syn_ratio: float = 0.70
-    slice_us: int = 600 * SECOND

@@ -25,11 +25,10 @@ _CHUNK = "_chunk"
 _CLOSED = -1
 
 
-def split_long_segments(rows: DataFrame, cfg: FlowConfig, long_keys: bool) -> DataFrame:
+def split_long_segments(rows: DataFrame, cfg: FlowConfig) -> DataFrame:
     """Adds ``flow_seq``, ``flow_start_us`` and ``flow_lo``; drops the ``seg_*`` columns.
 
-    ``long_keys=False`` promises that no key has more than ``chunk_rows`` packets, so that no
-    segment crosses a chunk border and steps 1 and 2 fall away.
+    A key of at most one chunk has no rows in steps 1 and 2.
     """
     flow = {"flow_seq": F.col("seg_idx"), "flow_start_us": F.col("seg_us"), "flow_lo": F.col("seg_lo")}
     is_tail = F.col("ts_us") - F.col("seg_us") >= cfg.active_us
@@ -39,12 +38,8 @@ def split_long_segments(rows: DataFrame, cfg: FlowConfig, long_keys: bool) -> Da
         # The first packet past the timeout closes the segment's first flow.
         "_closer": F.col("_p_us") - F.col("seg_us") < cfg.active_us,
     })
-    if long_keys:
-        entries = _chunk_entries(tail.where(F.col("key_n") > cfg.chunk_rows), cfg)
-        tail = tail.join(entries, [*KEY_COLUMNS, _CHUNK], "left")
-    else:
-        tail = tail.withColumns({"entry_us": F.lit(None).cast("bigint"), "entry_idx": F.lit(None).cast("bigint"),
-                                 "entry_lo": F.lit(None).cast("boolean")})
+    entries = _chunk_entries(tail.where(F.col("key_n") > cfg.chunk_rows), cfg)
+    tail = tail.join(entries, [*KEY_COLUMNS, _CHUNK], "left")
     marked = (
         tail.repartition(*KEY_COLUMNS, _CHUNK).sortWithinPartitions(*KEY_COLUMNS, "idx")
         .mapInArrow(_marker(cfg, young.columns), young.schema)

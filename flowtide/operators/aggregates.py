@@ -176,16 +176,16 @@ def batch_summary(scored: DataFrame) -> DataFrame:
     return parts.where("label IS NOT NULL").groupBy("section", "label").agg(F.sum("n").alias("count"))
 
 
-def session_counters(flows: DataFrame, verdicts: DataFrame, new_alerts: DataFrame) -> DataFrame:
-    """Packets, flows, verdict and alert counts of a capture, one row."""
-    parts = [
-        flows.agg(F.sum("total_pkts").alias("packets_captured"), F.count("*").alias("flows_generated")),
-        verdicts.agg(F.count("*").alias("flows_analyzed"), F.count_if(~F.col("is_intrusion")).alias("normal_traffic"),
-                     F.count_if("is_intrusion").alias("intrusions")),
-        new_alerts.agg(F.count("*").alias("alerts")),
-    ]
-    # One row each: joined on a constant key.
-    return reduce(lambda a, b: a.join(b, "_one"), [p.withColumn("_one", F.lit(1)) for p in parts]).drop("_one")
+def session_counters(flows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Packets, flows, verdict and alert counts of a capture, one row; each input is read once."""
+    none = F.lit(None)
+    rows = flows.select(F.col("total_pkts").cast("bigint").alias("packets"), none.cast("boolean").alias("hit"),
+                        none.cast("boolean").alias("alert")).unionByName(
+        verdicts.select(none.cast("bigint").alias("packets"), F.col("is_intrusion").alias("hit"), F.col("should_alert").alias("alert")))
+    return rows.agg(
+        F.sum("packets").alias("packets_captured"), F.count("packets").alias("flows_generated"),
+        F.count("hit").alias("flows_analyzed"), F.count_if(~F.col("hit")).alias("normal_traffic"),
+        F.count_if("hit").alias("intrusions"), F.count_if("alert").alias("alerts"))
 
 
 def system_stats(tables: dict[str, DataFrame]) -> DataFrame:

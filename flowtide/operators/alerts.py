@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.functions.time import micros
 from flowtide.operators.joins import FINGERPRINT
-from flowtide.operators.scan import ordered_scan, time_slice
+from flowtide.operators.scan import ordered_scan
 
 STATUS_OF_EVENT = {"CREATE": "ACTIVE", "ACK": "ACKNOWLEDGED", "RESOLVE": "RESOLVED"}
 
 
-def alert_aggregate(detections: DataFrame, closes: DataFrame, slice_us: int) -> DataFrame:
+def alert_aggregate(detections: DataFrame, closes: DataFrame) -> DataFrame:
     """Detections merged into alerts: one alert per fingerprint for as long as it stays ACTIVE.
 
     ``detections``: id, fingerprint, severity, confidence, timestamp. ``closes``: fingerprint and timestamp of
@@ -24,7 +26,7 @@ def alert_aggregate(detections: DataFrame, closes: DataFrame, slice_us: int) ->
         "confidence").unionByName(closes.select(
             *FINGERPRINT, micros(closes, "timestamp").alias("at_us"), F.lit(0).alias("rank"),
             none.cast("bigint").alias("id"), none.cast("string").alias("severity"), none.cast("double").alias("confidence")))
-    scanned = ordered_scan(line, FINGERPRINT, ["at_us", "rank", "id"], time_slice(F.col("at_us"), slice_us),
+    scanned = ordered_scan(line, FINGERPRINT, ["at_us", "rank", "id"],
                            sums={"epoch": F.when(F.col("rank") == 0, 1).otherwise(0)})
     first = F.struct("at_us", "id")
     return scanned.where("rank = 1").groupBy(*FINGERPRINT, "epoch").agg(
@@ -45,11 +47,13 @@ def upsert_alerts(alerts: DataFrame, new: DataFrame) -> DataFrame:
         F.count("*").alias("_n"), F.max("confidence").alias("_conf"), F.max("timestamp").alias("_seen"),
         F.min("timestamp").alias("_first"), F.min_by("id", order).alias("_new_id"), F.min_by("severity", order).alias("_sev"))
     open_ids = alerts.where("status = 'ACTIVE'").groupBy(*FINGERPRINT).agg(F.max_by("id", order).alias("id"))
-    matched = batch.join(open_ids, FINGERPRINT, "left")
+    # A missing address or attack is a value like any other here.
+    same = reduce(lambda a, b: a & b, [batch[c].eqNullSafe(open_ids[c]) for c in FINGERPRINT])
+    matched = batch.join(open_ids, same, "left").select(*[batch[c] for c in batch.columns], open_ids["id"])
     merged = alerts.join(matched.where("id IS NOT NULL").select("id", "_n", "_conf", "_seen"), "id", "left").withColumns({
         "occurrences": F.col("occurrences") + F.coalesce("_n", F.lit(0)),
         "confidence": F.greatest("confidence", "_conf"),
-        "last_seen": F.coalesce("_seen", "last_seen"),
+        "last_seen": F.greatest("_seen", "last_seen"),
     }).select(alerts.columns)
     opened = matched.where("id IS NULL").select(
         F.col("_new_id").alias("id"), *FINGERPRINT, F.col("_sev").alias("severity"), F.col("_conf").alias("confidence"),
@@ -86,11 +90,11 @@ def _is_note():
     return F.col("kind").isin("NOTE", "RESOLVE") & (F.coalesce(F.trim("text"), F.lit("")) != "")
 
 
-def alert_notes(lifecycle: DataFrame, slice_us: int) -> DataFrame:
+def alert_notes(lifecycle: DataFrame) -> DataFrame:
     """The notes of every alert in order: alert_id, note_no from 1, text, author, ts."""
     notes = lifecycle.where(_is_note())
     notes = notes.withColumn("_at", micros(notes, "ts"))
-    return ordered_scan(notes, ["alert_id"], ["_at", "event_id"], time_slice(F.col("_at"), slice_us),
+    return ordered_scan(notes, ["alert_id"], ["_at", "event_id"],
                         sums={"note_no": F.lit(1)}).select(
         "alert_id", "note_no", "text", F.col("actor").alias("author"), "ts")
 

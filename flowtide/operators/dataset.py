@@ -11,6 +11,7 @@ from flowtide.operators.filters import _by_name, find_label_column
 from flowtide.operators.sets import recognized_feature_names, unknown_labels
 from flowtide.schema import MIN_FEATURES
 
+# Limits of a usable data set; the texts of dataset_verdict must match too.
 MIN_ROWS = 100
 HIGH_MISSING_PERCENT = 30
 HIGH_DUPLICATE_SHARE = 0.5
@@ -57,15 +58,22 @@ def label_distribution(df: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each set of equal rows; numbers compare by value, infinities as missing."""
+    """Rows beyond the first of each set of equal rows.
+
+    In a column of numbers, numbers compare by value and infinities as missing; a column with any other text
+    compares as text. Rows are grouped by a 128-bit hash of their cells, so the shuffle does not carry them.
+    """
+    texts = [_by_name(name).cast("string") for name in df.columns]
+    # One pass tells the kinds of the columns; they are fitted values of the data set.
+    odd = df.agg(*[F.count_if(t.isNotNull() & t.try_cast("double").isNull()).alias(f"t{i}") for i, t in enumerate(texts)]).first()
     cells = []
-    for i, name in enumerate(df.columns):
-        text = _by_name(name).cast("string")
+    for i, text in enumerate(texts):
         number = text.try_cast("double")
         lost = F.isnan(number) | (F.abs(number) == float("inf"))
-        cells.append(F.when(lost, None).otherwise(F.coalesce(number.cast("string"), text)).alias(f"c{i}"))
-    cols = [f"c{i}" for i in range(len(cells))]
-    return df.select(*cells).groupBy(*cols).count().agg(
+        cells.append(text if odd[i] else F.when(lost, None).otherwise(number.cast("string")))
+    # A null is hashed as a cell of its own, so that (null, 'a') and ('a', null) differ.
+    marked = [F.struct(c.isNull(), F.coalesce(c, F.lit(""))) for c in cells]
+    return df.select(F.xxhash64(*marked).alias("h1"), F.xxhash64(F.lit(1), *marked).alias("h2")).groupBy("h1", "h2").count().agg(
         F.coalesce(F.sum("count") - F.count("*"), F.lit(0)).alias("duplicate_rows"))
 
 

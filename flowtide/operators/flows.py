@@ -18,7 +18,7 @@ from flowtide.config import FlowConfig
 from flowtide.functions.network import KEY_COLUMNS, flag, packet_defaults, with_flow_key
 from flowtide.functions.time import micros
 from flowtide.operators.active_split import split_long_segments
-from flowtide.operators.scan import SLICE, gap_sessions, ordered_scan, time_slice
+from flowtide.operators.scan import SLICE, gap_sessions, ordered_scan, sliced
 
 FLOW_ID = [*KEY_COLUMNS, "flow_seq"]
 
@@ -33,18 +33,19 @@ def annotate_packets(packets: DataFrame, cfg: FlowConfig = FlowConfig(), carry:
 
     ``carry`` names the packet columns to keep (default all); whatever is not needed should not be shuffled.
 
-    One shuffle of the packets by (key, time slice); what one slice needs from earlier slices of
-    its key comes from one summary row per slice.
+    The packets are read once and stored in slices of (key, time, order); what one slice needs from earlier
+    slices of its key comes from one summary row per slice. Packets of one time and sequence number are ordered
+    by a hash of all their fields, so that every branch of the plan sees the same order.
     """
     base = with_flow_key(
         packet_defaults(packets.where(F.col("ts").isNotNull())).withColumn("ts_us", micros(packets, "ts"))
     ).withColumns({
-        SLICE: time_slice(F.col("ts_us"), cfg.slice_us),
         "_term": flag(F.col("tcp_flags"), "fin") | flag(F.col("tcp_flags"), "rst"),
         "_is20": F.col("header_len") == 20,
     })
+    base = sliced(base.withColumn("_tie", F.xxhash64(*base.columns)), KEY_COLUMNS, ["ts_us", "seq", "_tie"])
     slice_key = [*KEY_COLUMNS, SLICE]
-    w = Window.partitionBy(*slice_key).orderBy("ts_us", "seq")
+    w = Window.partitionBy(*slice_key).orderBy("ts_us", "seq", "_tie")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
 
     def last(value: Column, frame) -> Column:
@@ -127,20 +128,11 @@ def annotate_packets(packets: DataFrame, cfg: FlowConfig = FlowConfig(), carry:
         "_dir20": F.when(lo, F.coalesce(F.col("base") + F.col("_lo20") - 1, F.col("c_lo20")))
                    .otherwise(F.coalesce(F.col("base") + F.col("_hi20") - 1, F.col("c_hi20"))),
     })
-    long_keys = _has_long_keys(base, cfg)
     keep = [*KEY_COLUMNS, "ts_us", "is_lo", *[c for c in (packets.columns if carry is None else carry) if c != "ts_us"],
-            "idx", "_p_us", *(["key_n"] if long_keys else []), *(_NEIGHBOURS if neighbours else [])]
+            "idx", "_p_us", "key_n", *(_NEIGHBOURS if neighbours else [])]
     rows = rows.select(*keep, F.col("_seg.ts_us").alias("seg_us"), F.col("_seg.idx").alias("seg_idx"),
                        F.col("_seg.is_lo").alias("seg_lo"))
-    return _with_flow_columns(split_long_segments(rows, cfg, long_keys), neighbours).drop("key_n")
-
-
-def _has_long_keys(base: DataFrame, cfg: FlowConfig) -> bool:
-    """True when a key has more packets than one chunk: a row count first, then one combined scan of the keys."""
-    if base.count() <= cfg.chunk_rows:
-        return False
-    longest = base.groupBy(*KEY_COLUMNS).count().agg(F.max("count")).first()[0]
-    return longest > cfg.chunk_rows
+    return _with_flow_columns(split_long_segments(rows, cfg), neighbours).drop("key_n")
 
 
 def _with_flow_columns(rows: DataFrame, neighbours: bool) -> DataFrame:
@@ -172,18 +164,23 @@ def flow_summary(packets: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFram
         F.count_if("fwd").alias("fwd_pkts"), F.sum("pkt_len").alias("total_bytes"))
 
 
-def flow_idle_sessions(packets: DataFrame, idle_us: int, slice_us: int = FlowConfig.slice_us) -> DataFrame:
+def _closes_by_packet() -> Column:
+    """True where a FIN or RST ends the flow; only its last packet can carry one."""
+    return F.max(F.coalesce(flag(F.col("tcp_flags"), "fin") | flag(F.col("tcp_flags"), "rst"), F.lit(False)))
+
+
+def flow_idle_sessions(packets: DataFrame, idle_us: int) -> DataFrame:
     """Sessions by the idle rule only (gap >= idle splits): key, start_us, end_us, total_pkts, total_bytes."""
     rows = packet_defaults(packets.where(F.col("ts").isNotNull()))
     keyed = with_flow_key(rows.withColumn("ts_us", micros(packets, "ts")))
-    return gap_sessions(keyed, KEY_COLUMNS, "ts_us", idle_us, slice_us,
+    return gap_sessions(keyed, KEY_COLUMNS, "ts_us", idle_us,
                         sums={"total_pkts": F.lit(1), "total_bytes": F.col("pkt_len")})
 
 
-def interarrival(packets: DataFrame, by: list[str], slice_us: int = FlowConfig.slice_us) -> DataFrame:
+def interarrival(packets: DataFrame, by: list[str]) -> DataFrame:
     """Microseconds since the previous row with the same ``by`` columns (null for the first)."""
     rows = packets.withColumn("ts_us", micros(packets, "ts"))
-    scanned = ordered_scan(rows, by, ["ts_us", "seq"], time_slice(F.col("ts_us"), slice_us),
+    scanned = ordered_scan(rows, by, ["ts_us", "seq"],
                            maxes={"prev_us": F.col("ts_us")}, inclusive=False)
     return scanned.withColumn("gap_us", F.col("ts_us") - F.col("prev_us")).drop("prev_us")
 
@@ -203,7 +200,16 @@ def active_idle_periods(packets: DataFrame, cfg: FlowConfig = FlowConfig()) -> D
 
 
 def active_flow_count(packets: DataFrame, at_us: int, cfg: FlowConfig = FlowConfig()) -> DataFrame:
-    """Number of flows open at a time: started, and seen within the idle timeout or not yet ended."""
-    flows = flow_summary(packets, cfg)
-    is_open = (F.col("flow_start_us") <= at_us) & (F.lit(at_us) < F.col("flow_end_us") + cfg.idle_us)
+    """Number of flows open at a time: started and not ended.
+
+    FIN, RST and (in the inclusive rule) the packet that reaches the active age end a flow at their own time; any
+    other flow stays open for the idle timeout after its last packet.
+    """
+    rows = annotate_packets(packets, cfg, carry=["tcp_flags"], neighbours=False)
+    flows = rows.groupBy(*FLOW_ID, "flow_start_us").agg(
+        F.max("ts_us").alias("flow_end_us"), _closes_by_packet().alias("closed"))
+    end = F.col("flow_end_us")
+    aged = (end - F.col("flow_start_us") >= cfg.active_us) & F.lit(cfg.active_rule == "inclusive")
+    is_open = (F.col("flow_start_us") <= at_us) & F.when(F.col("closed") | aged, F.lit(at_us) < end).otherwise(
+        F.lit(at_us) < end + cfg.idle_us)
     return flows.agg(F.count_if(is_open).alias("active_flows"))

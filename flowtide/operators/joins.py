@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from flowtide.functions.labels import is_intrusion, normalize_label
 from flowtide.functions.time import micros
-from flowtide.operators.scan import ordered_scan, time_slice
-from flowtide.operators.sizes import small_side
+from flowtide.operators.scan import ordered_scan
 
 FINGERPRINT = ["source_ip", "destination_ip", "attack_type"]
 
@@ -21,7 +20,7 @@ def alerts_with_detection(alerts: DataFrame, detections: DataFrame, cols: list[s
 
 def detections_with_model(detections: DataFrame, models: DataFrame) -> DataFrame:
     """Detections with the registry columns of their model version."""
-    return detections.join(small_side(models.withColumnRenamed("version", "model_version")), "model_version", "left")
+    return detections.join(models.withColumnRenamed("version", "model_version"), "model_version", "left")
 
 
 def alerted_detections(detections: DataFrame, alerts: DataFrame) -> DataFrame:
@@ -34,7 +33,7 @@ def unalerted_intrusions(detections: DataFrame, alerts: DataFrame) -> DataFrame:
         alerts.select(F.col("detection_id").alias("id")), "id", "left_anti")
 
 
-def active_alert_match(detections: DataFrame, alerts: DataFrame, slice_us: int) -> DataFrame:
+def active_alert_match(detections: DataFrame, alerts: DataFrame) -> DataFrame:
     """For each detection the newest alert of its fingerprint opened at or before it and not closed by then.
 
     ``alerts``: fingerprint, ``alert_id`` BIGINT, ``opened_us``, ``closed_us`` (null while open); ids grow with
@@ -50,7 +49,7 @@ def active_alert_match(detections: DataFrame, alerts: DataFrame, slice_us: int)
                       none.alias("detection_id"), "alert_id", F.col("closed_us"))).select(line)
     # Alert ids and closing times both grow along a fingerprint, so the running maximum is the newest alert.
     scanned = ordered_scan(
-        events, FINGERPRINT, ["at_us", "rank"], time_slice(F.col("at_us"), slice_us),
+        events, FINGERPRINT, ["at_us", "rank"],
         maxes={"match_id": F.col("alert_id"), "match_closed": F.when(F.col("rank") == 0, F.coalesce(
             "closed_us", F.lit(2**62)))})
     live = F.col("at_us") < F.col("match_closed")
@@ -61,5 +60,5 @@ def active_alert_match(detections: DataFrame, alerts: DataFrame, slice_us: int)
 def label_lookup(df: DataFrame, col: str, out: str = "category") -> DataFrame:
     """Adds the category of a raw label column, computed once per distinct label."""
     distinct = df.where(F.col(col).isNotNull()).select(col).distinct()
-    known = small_side(distinct.withColumn(out, normalize_label(F.col(col))))
+    known = distinct.withColumn(out, normalize_label(F.col(col)))
     return df.join(known, col, "left").withColumn(out, F.coalesce(out, F.lit("Unknown")))

@@ -48,20 +48,21 @@ def classification_metrics(report: DataFrame) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, y: str, scores: dict[str, Column]) -> DataFrame:
-    """Macro average over the classes of the area under the ROC curve; null when a class is absent or alone.
+    """Macro average over the classes of the area under the ROC curve; null when a class is absent or alone, or
+    a score is missing or not a number.
 
     ``scores`` maps class -> score column (one entry for the binary case). Ties count half. Equal scores are
-    counted first; the ranks run over slices of the score.
+    counted first; the ranks run over slices of the ordered scores.
     """
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("cls"), s.cast("double").alias("score"), (F.col(y) == c).alias("pos"))
         for c, s in scores.items()])).alias("r")).select("r.*")
     levels = long.groupBy("cls", "score").agg(F.count_if("pos").alias("pos"), F.count_if(~F.col("pos")).alias("neg"))
-    ranked = ordered_scan(levels, ["cls"], ["score"], F.floor(F.col("score") * 1024).cast("bigint"),
-                          sums={"below": F.col("neg")}, inclusive=False)
+    ranked = ordered_scan(levels, ["cls"], ["score"], sums={"below": F.col("neg")}, inclusive=False)
     per_class = ranked.groupBy("cls").agg(
-        F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    auc = F.try_divide(F.col("u"), (F.col("p") * F.col("n")).cast("double"))
+        F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"),
+        F.count_if(F.col("score").isNull() | F.isnan("score")).alias("bad"))
+    auc = F.when(F.col("bad") == 0, F.try_divide(F.col("u"), (F.col("p") * F.col("n")).cast("double")))
     return per_class.agg(F.when(F.count(auc) == F.count("*"), F.avg(auc)).alias("roc_auc"))
 
 

@@ -13,7 +13,7 @@ from flowtide.config import PolicyConfig
 from flowtide.functions.labels import BENIGN
 from flowtide.functions.network import is_infrastructure
 from flowtide.functions.time import micros
-from flowtide.operators.scan import gap_sessions, ordered_scan, time_slice
+from flowtide.operators.scan import gap_sessions, ordered_scan
 
 _SCORED_KEY = ["source_ip", "destination_ip", "prediction"]
 
@@ -54,8 +54,7 @@ def confidence_gate(df: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFr
                            "severity": F.when(low, "LOW").otherwise(F.col("severity"))})
 
 
-def portscan_probe_count(df: DataFrame, window_us: int, probe: Column | None = None,
-                         slice_us: int = PolicyConfig.slice_us) -> DataFrame:
+def portscan_probe_count(df: DataFrame, window_us: int, probe: Column | None = None) -> DataFrame:
     """Adds ``distinct_targets``: different (destination, port) pairs the source probed in the last
     ``window_us``, both ends included; null on rows that are no probes.
 
@@ -66,38 +65,36 @@ def portscan_probe_count(df: DataFrame, window_us: int, probe: Column | None = N
     rows = df.withColumns({"_at": micros(df, "timestamp"), "_probe": probe})
     probes = rows.where("_probe").select("source_ip", "destination_ip", "destination_port", "_at").distinct()
     target = ["source_ip", "destination_ip", "destination_port"]
-    width = time_slice(F.col("_at"), slice_us)
-    again = ordered_scan(probes, target, ["_at"], width, mins={"_next": F.col("_at")}, inclusive=False, descending=True)
+    again = ordered_scan(probes, target, ["_at"], mins={"_next": F.col("_at")}, inclusive=False, descending=True)
     steps = again.select("source_ip", F.explode(F.array(
         F.struct(F.col("_at").alias("_at"), F.lit(1).alias("step")),
         F.struct(F.least(F.col("_next"), F.col("_at") + window_us + 1).alias("_at"), F.lit(-1).alias("step")),
     )).alias("s")).select("source_ip", "s.*").groupBy("source_ip", "_at").agg(F.sum("step").alias("step"))
-    counted = ordered_scan(steps, ["source_ip"], ["_at"], width, sums={"distinct_targets": F.col("step")})
-    source = lambda c: F.coalesce(F.col(c), F.lit("\u0000"))
-    counted = counted.select(source("source_ip").alias("_src"), "_at", "distinct_targets")
+    counted = ordered_scan(steps, ["source_ip"], ["_at"], sums={"distinct_targets": F.col("step")})
+    counted = counted.select(F.col("source_ip").alias("_src"), F.col("_at").alias("_then"), "distinct_targets")
+    same = F.col("source_ip").eqNullSafe(F.col("_src")) & (F.col("_at") == F.col("_then"))
     return (
-        rows.withColumn("_src", source("source_ip")).join(counted, ["_src", "_at"], "left")
+        rows.join(counted, same, "left")
         .withColumn("distinct_targets", F.when(F.col("_probe"), F.col("distinct_targets")))
-        .drop("_src", "_at", "_probe")
+        .drop("_src", "_then", "_at", "_probe")
     )
 
 
-def alert_dedup(df: DataFrame, window_us: int, confirmed: Column | None = None,
-                slice_us: int = PolicyConfig.slice_us) -> DataFrame:
+def alert_dedup(df: DataFrame, window_us: int, confirmed: Column | None = None) -> DataFrame:
     """Adds ``is_duplicate``: a confirmed row less than ``window_us`` after the previous confirmed row of
     its (source, destination, attack). Duplicates extend the burst."""
     confirmed = F.lit(True) if confirmed is None else confirmed
     rows = df.withColumns({"_at": micros(df, "timestamp"), "_ok": F.coalesce(confirmed, F.lit(False))})
-    scanned = ordered_scan(rows, _SCORED_KEY, ["_at", "id"], time_slice(F.col("_at"), slice_us),
+    scanned = ordered_scan(rows, _SCORED_KEY, ["_at", "id"],
                            maxes={"_last": F.when(F.col("_ok"), F.col("_at"))}, inclusive=False)
     dup = F.col("_ok") & F.coalesce(F.col("_at") - F.col("_last") < window_us, F.lit(False))
     return scanned.withColumn("is_duplicate", dup).drop("_at", "_ok", "_last")
 
 
-def alert_sessions(df: DataFrame, window_us: int, slice_us: int = PolicyConfig.slice_us) -> DataFrame:
+def alert_sessions(df: DataFrame, window_us: int) -> DataFrame:
     """One row per burst of equal alerts: start, end, count, highest confidence."""
     rows = df.withColumn("_at", micros(df, "timestamp"))
-    return gap_sessions(rows, _SCORED_KEY, "_at", window_us, slice_us, sums={"occurrences": F.lit(1)},
+    return gap_sessions(rows, _SCORED_KEY, "_at", window_us, sums={"occurrences": F.lit(1)},
                         maxes={"confidence": F.col("confidence")})
 
 
@@ -111,15 +108,16 @@ def policy_cascade(df: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFra
     benign = c("prediction").eqNullSafe(BENIGN)
     rows = df.withColumns({"_benign": benign, "_infra": ~benign & infrastructure_rule(cfg)})
     is_probe = ~c("_infra") & c("prediction").eqNullSafe("PortScan")
-    rows = portscan_probe_count(rows, cfg.probe_window_us, is_probe, cfg.slice_us)
+    rows = portscan_probe_count(rows, cfg.probe_window_us, is_probe)
     few = F.coalesce(c("distinct_targets") < cfg.min_probes, F.lit(False))
     thin = ~c("_infra") & F.coalesce(c("prediction").isin("DoS", "DDoS"), F.lit(False)) & low_volume(cfg)
     rows = rows.withColumn("_rule", F.when(c("_benign"), "benign").when(c("_infra"), "infrastructure")
                            .when(few, "probes").when(thin, "volume")
                            .when(c("confidence") < cfg.confidence_threshold, "confidence").otherwise("confirmed"))
-    rows = alert_dedup(rows, cfg.dedup_window_us, c("_rule") == "confirmed", cfg.slice_us)
+    rows = alert_dedup(rows, cfg.dedup_window_us, c("_rule") == "confirmed")
     rule, ok = c("_rule"), c("_rule") == "confirmed"
     port = c("destination_port").cast("string")
+    # The texts of a verdict.
     note = (
         F.when(rule == "benign", "Classified as normal benign traffic by ML model.")
         .when(rule == "infrastructure", F.concat(

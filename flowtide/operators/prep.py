@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 from flowtide.functions.labels import with_category
 from flowtide.operators.filters import align_features, drop_metadata, find_label_column, normalize_columns, to_numeric_clean
 from flowtide.operators.scan import ordered_scan
-from flowtide.operators.sizes import small_side
 from flowtide.schema import FEATURE_NAMES, MIN_FEATURES
 
-DIRECT_MEDIAN_ROWS = 1_000_000
 _BINS = 4096
 
 
@@ -38,20 +36,15 @@ class FeatureStats:
                             tuple(r["std"] for r in picked))
 
 
-def exact_medians(df: DataFrame, cols: list[str], direct_rows: int = DIRECT_MEDIAN_ROWS) -> dict[str, float]:
+def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float]:
     """Exact median per column over its non-null values; 0.0 for a column without values.
 
-    Up to ``direct_rows`` rows the built-in ``percentile`` does it (it holds the distinct values of a
-    column in one task). Above, every pass counts the values between two bounds in equal-width bins and
-    keeps the bin that holds the middle rank, until the bin has a single value; a pass moves at most
-    bins x columns counters.
+    Every pass counts the values between two bounds in equal-width bins and keeps the bin that holds the
+    middle rank, until the bin has a single value; a pass moves at most bins x columns counters.
     """
     first = df.agg(*[f(F.col(f"`{c}`")).alias(f"{k}{i}") for i, c in enumerate(cols)
                      for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
     counts = {c: first[f"n{i}"] for i, c in enumerate(cols)}
-    if max(counts.values(), default=0) <= direct_rows:
-        row = df.agg(*[F.percentile(F.col(f"`{c}`"), F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-        return {c: row[f"m{i}"] if row[f"m{i}"] is not None else 0.0 for i, c in enumerate(cols)}
     # Target t = (column, rank); bounds are narrowed until they meet.
     targets = {}
     for i, c in enumerate(cols):
@@ -89,9 +82,9 @@ def exact_medians(df: DataFrame, cols: list[str], direct_rows: int = DIRECT_MEDI
     return out
 
 
-def fit_median_impute(df: DataFrame, cols: list[str], direct_rows: int = DIRECT_MEDIAN_ROWS) -> DataFrame:
+def fit_median_impute(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row with the median of every column."""
-    medians = exact_medians(df, cols, direct_rows)
+    medians = exact_medians(df, cols)
     return df.sparkSession.createDataFrame([tuple(medians[c] for c in cols)], ", ".join(f"`{c}` double" for c in cols))
 
 
@@ -105,9 +98,9 @@ def fit_standard_scale(df: DataFrame, cols: list[str]) -> DataFrame:
                  fix(F.col(f"s{i}")).alias("std")) for i, c in enumerate(cols)])).alias("r")).select("r.*")
 
 
-def fit_stats(df: DataFrame, cols: list[str], direct_rows: int = DIRECT_MEDIAN_ROWS) -> FeatureStats:
+def fit_stats(df: DataFrame, cols: list[str]) -> FeatureStats:
     """Medians, then mean and deviation of the imputed columns."""
-    medians = exact_medians(df, cols, direct_rows)
+    medians = exact_medians(df, cols)
     filled = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(medians[c])).alias(c) for c in cols])
     scale = {r.feature: r for r in fit_standard_scale(filled, cols).collect()}
     return FeatureStats(tuple(cols), tuple(medians[c] for c in cols), tuple(scale[c]["mean"] for c in cols),
@@ -156,12 +149,11 @@ def stratified_split(df: DataFrame, y: str, row_id: str, test_size: float = 0.2,
     Classes are ranked in slices of the hash, so a class with most of the rows is spread over tasks.
     """
     hashed = df.withColumn("_h", F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.lit(str(seed)))))
-    slices = F.conv(F.substring("_h", 1, 3), 16, 10).cast("bigint")
-    ranked = ordered_scan(hashed, [y], ["_h", row_id], slices, sums={"_rank": F.lit(1)})
+    ranked = ordered_scan(hashed, [y], ["_h", row_id], sums={"_rank": F.lit(1)})
     sizes = df.groupBy(F.col(y).alias("_y")).agg(F.count("*").alias("_n"))
     if sizes.where("_n < 2").limit(1).count():
         raise ValueError("The least populated class has only 1 member, which is too few.")
-    joined = ranked.join(small_side(sizes), ranked[y] == F.col("_y"), "left")
+    joined = ranked.join(sizes, ranked[y] == F.col("_y"), "left")
     in_test = F.col("_rank") <= F.round(F.col("_n") * test_size)
     return joined.withColumn("is_test", F.coalesce(in_test, F.lit(False))).drop("_h", "_rank", "_y", "_n")
 
@@ -175,4 +167,4 @@ def class_weights_balanced(df: DataFrame, y: str) -> DataFrame:
 
 def with_class_weights(df: DataFrame, y: str, out: str = "weight") -> DataFrame:
     weights = class_weights_balanced(df, y).select(F.col("label").alias("_label"), F.col("weight").alias(out))
-    return df.join(small_side(weights), df[y] == F.col("_label"), "left").drop("_label")
+    return df.join(weights, df[y] == F.col("_label"), "left").drop("_label")

@@ -1,28 +1,37 @@
 """Running sums and maxima along a key, safe for keys that hold a large share of all rows.
 
-A plain ``Window.partitionBy(key)`` puts a whole key into one task. Here a key is cut into
-slices of its order column. Rows are windowed inside (key, slice); each slice is also reduced
-to one summary row (map-side combined before its shuffle), the summaries are scanned per key,
-and the carried-in value is joined back on (key, slice).
+A plain ``Window.partitionBy(key)`` puts a whole key into one task. Here the rows are range-partitioned by
+(key, order) and the partition number is the slice: a hot key is cut by its number of rows, wherever they lie. The
+sliced rows are written once to the checkpoint folder, so every later step sees the same slices and the input is not
+computed again. Rows are windowed inside (key, slice); each slice is also reduced to one summary row (map-side
+combined before its shuffle), the summaries are scanned per key, and the carried-in value is joined back.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowtide.session import materialize
+
 SLICE = "_slice"
 
 
-def time_slice(ts_us: Column, width_us: int) -> Column:
-    return F.floor(ts_us / F.lit(width_us)).cast("bigint")
+def sliced(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` stored with ``_slice``, the number of its range partition by (keys, order).
+
+    Slices grow with ``order`` along a key; rows equal in keys and order share a slice.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(parts, *keys, *order).withColumn(SLICE, F.spark_partition_id()))
 
 
 def ordered_scan(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    slice_by: Column,
     sums: dict[str, Column] | None = None,
     maxes: dict[str, Column] | None = None,
     mins: dict[str, Column] | None = None,
@@ -31,33 +40,29 @@ def ordered_scan(
 ) -> DataFrame:
     """Adds running sums, maxima and minima of ``order``-ed rows per key.
 
-    ``slice_by`` must be monotone in ``order``. With ``inclusive=False`` a row's own value is
-    left out; ``descending=True`` scans from the last row to the first. Sums start at 0, maxima
-    and minima at null. Null keys form their own group.
+    With ``inclusive=False`` a row's own value is left out; ``descending=True`` scans from the last row to the
+    first. Sums start at 0, maxima and minima at null. Null keys form their own group.
     """
     sums, maxes, mins = sums or {}, maxes or {}, mins or {}
     specs = ([(n, c, F.sum) for n, c in sums.items()] + [(n, c, F.max) for n, c in maxes.items()]
              + [(n, c, F.min) for n, c in mins.items()])
-    joins = [f"_k{i}" for i in range(len(keys))]
-    strings = {f.name for f in df.schema.fields if f.dataType.typeName() == "string"}
-    base = df.withColumns({
-        # Key columns as given, with null mapped to a value no text holds, so that plain equality joins work.
-        **{j: F.coalesce(F.col(k), F.lit("\u0000")) if k in strings else F.coalesce(F.col(k), F.lit(-(2**31)))
-           for j, k in zip(joins, keys)},
-        SLICE: -slice_by if descending else slice_by,
-        **{f"_v_{n}": c for n, c, _ in specs},
-    })
+    base = sliced(df.withColumns({f"_v_{n}": c for n, c, _ in specs}), keys, order)
+    if descending:
+        base = base.withColumn(SLICE, -F.col(SLICE))
     by_order = [F.col(o).desc() if descending else F.col(o).asc() for o in order]
-    inside = Window.partitionBy(*joins, SLICE).orderBy(*by_order)
+    inside = Window.partitionBy(*keys, SLICE).orderBy(*by_order)
     local = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     rows = base.withColumns({f"_l_{n}": agg(f"_v_{n}").over(local) for n, _, agg in specs})
 
-    before = Window.partitionBy(*joins).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        base.groupBy(*joins, SLICE).agg(*[agg(f"_v_{n}").alias(f"_s_{n}") for n, _, agg in specs])
-        .select(*joins, SLICE, *[agg(f"_s_{n}").over(before).alias(f"_c_{n}") for n, _, agg in specs])
+        base.groupBy(*keys, SLICE).agg(*[agg(f"_v_{n}").alias(f"_s_{n}") for n, _, agg in specs])
+        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(SLICE).alias("_at_slice"),
+                *[agg(f"_s_{n}").over(before).alias(f"_c_{n}") for n, _, agg in specs])
     )
-    merged = rows.join(carried, [*joins, SLICE], "left")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)],
+                  F.col(SLICE) == F.col("_at_slice"))
+    merged = rows.join(carried, same, "left")
     out = {}
     for n, _, agg in specs:
         mine, carry = F.col(f"_l_{n}"), F.col(f"_c_{n}")
@@ -65,7 +70,7 @@ def ordered_scan(
             out[n] = F.coalesce(mine, F.lit(0)) + F.coalesce(carry, F.lit(0))
         else:
             out[n] = (F.greatest if agg is F.max else F.least)(mine, carry)
-    scratch = [*joins, SLICE] + [f"_{p}_{n}" for p in "vlc" for n, _, _ in specs]
+    scratch = [*[f"_k{i}" for i in range(len(keys))], SLICE, "_at_slice"] + [f"_{p}_{n}" for p in "vlc" for n, _, _ in specs]
     return merged.withColumns(out).drop(*scratch)
 
 
@@ -74,20 +79,18 @@ def gap_sessions(
     keys: list[str],
     at: str,
     gap_us: int,
-    slice_us: int,
     sums: dict[str, Column],
     maxes: dict[str, Column] | None = None,
 ) -> DataFrame:
     """One row per run of rows of a key with gaps below ``gap_us``: ``start_us``, ``end_us``, sums and maxima.
 
-    Rows are first merged inside (key, time slice). What crosses to the second step, per key, is at most one
+    Rows are first merged inside (key, slice). What crosses to the second step, per key, is at most one
     row per slice and per gap, so its size is bounded by the time span and not by the number of rows.
     """
     maxes = maxes or {}
-    width = time_slice(F.col(at), slice_us)
     values = {**{f"_v_{n}": c for n, c in sums.items()}, **{f"_v_{n}": c for n, c in maxes.items()}}
     inside = Window.partitionBy(*keys, SLICE).orderBy(at)
-    rows = df.select(*keys, F.col(at).alias(at), width.alias(SLICE), *[c.alias(n) for n, c in values.items()])
+    rows = sliced(df.select(*keys, F.col(at).alias(at), *[c.alias(n) for n, c in values.items()]), keys, [at])
     fresh = F.coalesce((F.col(at) - F.lag(at).over(inside) >= gap_us).cast("int"), F.lit(0))
     runs = rows.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(inside)).groupBy(
         *keys, SLICE, "_run").agg(
@@ -98,18 +101,3 @@ def gap_sessions(
     return runs.withColumn("_fresh", apart).withColumn("_run", F.sum("_fresh").over(along)).groupBy(*keys, "_run").agg(
         F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"),
         *[F.sum(n).alias(n) for n in sums], *[F.max(n).alias(n) for n in maxes]).drop("_run")
-
-
-def suggest_slice_us(df: DataFrame, keys: list[str], at: Column, base_us: int, target_rows: int = 5_000_000) -> int:
-    """The widest of base_us x 1, 4, 16, ... 4^7 whose fullest (key, slice) has at most ``target_rows`` rows.
-
-    One pass; the rows are counted per key and finest slice before anything is shuffled. Returns ``base_us``
-    when even that is too wide.
-    """
-    widths = [base_us * 4**k for k in range(8)]
-    fine = df.groupBy(*keys, time_slice(at, base_us).alias("_s")).agg(F.count("*").alias("_n"))
-    wide = fine.select(*keys, "_n", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("k"), F.floor(F.col("_s") / 4**k).alias("s")) for k in range(8)])).alias("w"))
-    fullest = wide.groupBy(*keys, "w").agg(F.sum("_n").alias("_n")).groupBy("w.k").agg(F.max("_n").alias("n")).collect()
-    fits = [widths[r.k] for r in fullest if r.n <= target_rows]
-    return max(fits, default=base_us)

@@ -24,7 +24,6 @@ from flowtide.schema import MIN_FEATURES
 from flowtide.sources.flow_csv import read_head
 
 MIN_TRAINING_ROWS = 100
-MAX_CLASSES = 1000
 
 
 @dataclass(frozen=True)
@@ -118,9 +117,7 @@ def fit_pipeline(train: DataFrame, stats: FeatureStats, model_type: str, version
     """
     kind = MODEL_TYPES[model_type]
     params = {**kind.params, **(params or {})}
-    classes = class_weights_balanced(train.where("label IS NOT NULL"), "label").orderBy("label").limit(MAX_CLASSES + 1).collect()
-    if len(classes) > MAX_CLASSES:
-        raise ValueError(f"More than {MAX_CLASSES} classes: the label column is no class.")
+    classes = class_weights_balanced(train.where("label IS NOT NULL"), "label").orderBy("label").collect()
     labels, rows = [c.label for c in classes], sum(c["count"] for c in classes)
     weight = F.create_map(*[F.lit(v) for c in classes for v in (c.label, c.weight)])
     d = len(stats.names)
@@ -133,9 +130,6 @@ def fit_pipeline(train: DataFrame, stats: FeatureStats, model_type: str, version
     ready = PipelineModel(stages).transform(train.where("label IS NOT NULL").select(*stats.names, "label"))
     indexer = StringIndexerModel.from_labels(labels, inputCol="label", outputCol="y")
     instances = indexer.transform(ready.select("x", "label", weight[F.col("label")].alias("weight"))).select("x", "y", "weight")
-    # A table of few files leaves cores idle over many passes.
-    if instances.rdd.getNumPartitions() < train.sparkSession.sparkContext.defaultParallelism:
-        instances = instances.repartition(train.sparkSession.sparkContext.defaultParallelism)
     instances.persist()
     try:
         fitted = kind.build(params, rows).fit(instances)

@@ -107,6 +107,7 @@ LIFECYCLE_SCHEMA = T.StructType([
     T.StructField("alert_id", T.StringType()),
     T.StructField("ts", T.TimestampType()),
     T.StructField("kind", T.StringType()),
-    T.StructField("user", T.StringType()),
+    T.StructField("event_id", T.LongType()),
+    T.StructField("actor", T.StringType()),
     T.StructField("text", T.StringType()),
 ])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,8 +170,38 @@ def stream_flows(packets: DataFrame, watermark: str = "10 seconds", cfg: FlowCon
     return derive_features(sums, [*KEY_COLUMNS, "flow_start_us"])
 
 
+class LateRows(StreamingQueryListener):
+    """Counts the rows that queries drop behind their watermark, over their whole life.
+
+    Register it with ``spark.streams.addListener`` before the query starts.
+    """
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+
+    def of(self, query) -> int:
+        return self.dropped.get(str(query.id), 0)
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        key = str(event.progress.id)
+        self.dropped[key] = self.dropped.get(key, 0) + late
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+
 def late_packets(query) -> int:
-    """Rows a streaming query has dropped because they came after the watermark."""
+    """Rows a streaming query has dropped behind the watermark in its last batches.
+
+    A query keeps its newest 100 progress reports; ``LateRows`` counts from the start.
+    """
     return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in _operators(p))
 
 

@@ -49,6 +49,6 @@ def stream_dedup(verdicts: DataFrame, watermark: str = "10 seconds", window_us:
     rows = verdicts.where("is_intrusion").withWatermark("timestamp", watermark)
     burst = F.session_window("timestamp", f"{window_us - 1} microseconds").alias("w")
     return rows.groupBy("source_ip", "destination_ip", F.col("prediction").alias("attack_type"), burst).agg(
-        F.min_by("id", "timestamp").alias("id"), F.min_by("severity", "timestamp").alias("severity"),
+        F.min_by("id", F.struct("timestamp", "id")).alias("id"), F.min_by("severity", F.struct("timestamp", "id")).alias("severity"),
         F.max("confidence").alias("confidence"), F.min("timestamp").alias("timestamp"),
         F.max("timestamp").alias("last_seen"), F.count("*").alias("occurrences")).drop("w")

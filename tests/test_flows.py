@@ -40,9 +40,10 @@ def flow_times(spark, rows, cfg=FlowConfig()):
     ([0, 5], [[0], [5]]),
     ([0, 4.999999], [[0, 4.999999]]),
 ])
-def test_timeouts(spark, times, want):
-    assert flow_times(spark, [(t, "f", {}) for t in times]) == want
-    assert flow_times(spark, [(t, "f", {}) for t in times], FlowConfig(slice_us=3 * SECOND)) == want
+def test_timeouts(spark, slices, times, want):
+    for n in (1, 4):
+        slices(n)
+        assert flow_times(spark, [(t, "f", {}) for t in times]) == want
 
 
 def test_exclusive_active_rule(spark):
@@ -100,11 +101,12 @@ def test_feature_vector(spark):
     ([0, 1], dict(active_mean=1000000, idle_mean=0)),
     ([0], dict(active_mean=0, active_max=0, active_std=0, idle_mean=0, idle_std=0)),
 ])
-def test_active_idle(spark, times, want):
-    for slice_us in (SECOND, 300 * SECOND):
-        f = one(spark, [(t, "f", {}) for t in times], FlowConfig(slice_us=slice_us))
+def test_active_idle(spark, slices, times, want):
+    for n in (6, 1):
+        slices(n)
+        f = one(spark, [(t, "f", {}) for t in times], FlowConfig())
         for name, value in want.items():
-            assert f[name] == pytest.approx(value), (name, slice_us)
+            assert f[name] == pytest.approx(value), (name, n)
 
 
 @pytest.mark.parametrize("headers, want", [
@@ -178,9 +180,10 @@ def feature_model(f, cfg):
 
 
 @pytest.mark.parametrize("rule", ["inclusive", "exclusive"])
-@pytest.mark.parametrize("chunk_rows, slice_us", [(1_000_000, 300 * SECOND), (9, 20 * SECOND), (40, 7 * SECOND)])
-def test_against_sequential_model(spark, rule, chunk_rows, slice_us):
-    cfg = FlowConfig(active_rule=rule, chunk_rows=chunk_rows, slice_us=slice_us)
+@pytest.mark.parametrize("chunk_rows, n_slices", [(1_000_000, 1), (9, 7), (40, 12)])
+def test_against_sequential_model(spark, slices, rule, chunk_rows, n_slices):
+    slices(n_slices)
+    cfg = FlowConfig(active_rule=rule, chunk_rows=chunk_rows)
     rng = random.Random(11)
     rows, now = [], 0
     for i in range(1500):
@@ -221,3 +224,11 @@ def test_periods(spark):
     got = active_idle_periods(packets(spark, [(t, "f", {}) for t in [0, 0.5, 2.0, 2.2, 5.0]])).orderBy("start_us", "kind")
     assert [(r.kind, r.dur_us) for r in got.collect()] == [
         ("active", 500000), ("idle", 1500000), ("active", 200000), ("idle", 2800000)]
+
+
+def test_finished_flows_are_not_active(spark):
+    from flowtide.operators.flows import active_flow_count
+    count = lambda rows, at: active_flow_count(packets(spark, rows), int(at * 1e6)).first()[0]
+    assert count([(0, "f", {}), (1, "f", dict(flags=1))], 2) == 0
+    assert count([(0, "f", {}), (1, "f", dict(flags=1))], 0.5) == 1
+    assert count([(0, "f", {}), (1, "f", {})], 2) == 1 and count([(0, "f", {}), (1, "f", {})], 6) == 0

@@ -132,3 +132,15 @@ def test_svm_projection_is_deterministic(raw):
     rows, features = prep.prepare_raw(raw, ("id",))
     stats = prep.fit_stats(rows, features)
     assert stats == prep.fit_stats(rows.repartition(3), features) or stats.names == tuple(features)
+
+
+def test_flow_csv_matches_columns_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y,Label\n1,2,BENIGN\n")
+    (tmp_path / "b.csv").write_text("Label,y,z\nDoS,4,5\n")
+    rows = read_flow_csv(spark, str(tmp_path)).orderBy("Label").select("x", "y", "z", "Label").collect()
+    assert [tuple(r) for r in rows] == [("1", "2", None, "BENIGN"), (None, "4", "5", "DoS")]
+
+
+def test_flow_csv_finds_the_encoding(spark, tmp_path):
+    (tmp_path / "l.csv").write_bytes("Lab\u00e9l\nWeb Attack \u00e9\n".encode("latin-1"))
+    assert read_flow_csv(spark, str(tmp_path)).first().asDict() == {"Lab\u00e9l": "Web Attack \u00e9"}
