@@ -4,7 +4,7 @@ from flowtide.checks.registry import ORACLES, QUERIES
 
 
 def _load():
-    from flowtide.checks import analytics_queries, flow_queries, model_queries, policy_queries, stream_queries  # noqa: F401
+    from flowtide.checks import analytics_queries, flow_queries, model_queries, policy_queries, store_queries, stream_queries  # noqa: F401
 
 
 def queries():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowtide.operators import aggregates as agg
 from flowtide.operators import paging
+from flowtide.operators.scan import ordered_scan
 
 
 def write_detections(df: DataFrame, path: str) -> int:
@@ -33,8 +34,9 @@ def append_audit(events: DataFrame, path: str) -> None:
 
 
 def export_batch_results(scored: DataFrame, path: str, order: str) -> None:
-    """All scored rows as CSV: row_index (from ``order``), prediction, is_intrusion, confidence, severity."""
-    scored.select(F.col(order).alias("row_index"), "prediction", "is_intrusion", "confidence", "severity").write.mode(
+    """All scored rows as CSV: row_index (from 1, by ``order``), prediction, is_intrusion, confidence, severity."""
+    numbered = ordered_scan(scored.withColumn("_all", F.lit(0)), ["_all"], [order], sums={"row_index": F.lit(1)})
+    numbered.select("row_index", "prediction", "is_intrusion", "confidence", "severity").write.mode(
         "overwrite").option("header", True).csv(path)
 
 
@@ -74,8 +76,14 @@ def report_csv(detections: DataFrame, alerts: DataFrame, models: DataFrame, path
 
 
 def report_json(detections: DataFrame, alerts: DataFrame, models: DataFrame, path: str) -> None:
-    rows = report_rows(detections, alerts, models)
-    rows.orderBy("section_no", "key").coalesce(1).write.mode("overwrite").json(path)
+    """The report as one JSON document: section -> list of (key, value). It has a few hundred lines at most."""
+    line = F.struct("section_no", "key", "value")
+    sections = report_rows(detections, alerts, models).groupBy("section").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    pairs = F.transform("lines", lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+    document = sections.select(F.struct(F.col("section").alias("key"), pairs.alias("value")).alias("e")).agg(
+        F.to_json(F.map_from_entries(F.array_sort(F.collect_list("e"), lambda a, b: F.when(a["key"] < b["key"], -1).when(
+            a["key"] > b["key"], 1).otherwise(0)))).alias("value"))
+    document.coalesce(1).write.mode("overwrite").text(path)
 
 
 class VersionedTable:
