@@ -6,9 +6,11 @@ document is done when all its bins are filled, which the second half of the roun
 agrees between two sets with the probability of their similarity, and the share that agrees is concentrated about it.
 
 Documents with equal shingle sets form a class, and only its smallest doc_id goes on. Bands of the sketch give buckets.
-Each class first votes for the bucket leader it meets most often and is confirmed against it. What then remains are
-pairs of one bucket in different components; all of them are confirmed too, in portions of bands so that links found
-in one portion spare pairs of the next. No pair inside a component is ever made.
+First each class is confirmed against one leader: of the leaders of its buckets (the members that meet most others) the
+one it meets most often. That joins most of a group at once. What is still apart in a common bucket goes through an
+exact prefix-filter join: shingles are ordered from the rarest, and two sets of the required similarity share one of
+the first n - ceil(n * percent / 100) + 1 shingles of either, at places that leave enough shingles behind them. No pair
+inside a component is made, and the members of a large group differ in their rare shingles, so its pairs hardly meet.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ from flowtide.llm.spark_help import LAST_ID, Shelf, components, cut, ident
 BANDS, BAND_ROWS = 32, 4
 #: Shingles handled at once inside a task; bounds memory, changes nothing else.
 PORTION = 400_000
-#: Cross-component pairs confirmed at once, per class that has a bucket partner.
-PAIRS_EACH = 8
+#: A class goes to the exact join when it shares so many buckets with other components; a pair at similarity 0.8
+#: shares fewer than two bands with probability 1e-6.
+OPEN_BANDS = 2
 
 
 def fast_sketches(values: np.ndarray, sizes: np.ndarray, bins: int) -> np.ndarray:
@@ -136,29 +139,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     classes = shelf.put(sketched.where("n > 0").groupBy("mark").agg(F.min("id").alias("rep")), "classes")
     heads = sketched.where("n > 0").join(classes.select("mark", F.col("rep").alias("id")), ["mark", "id"], "left_semi")
     placed = heads.dropDuplicates(["id", "mark"]).select("id", "n", F.posexplode("keys").alias("band", "key"))
-    shared = placed.groupBy("band", "key").agg(F.min("id").alias("leader"), F.count("*").alias("m")).where("m > 1")
-    met = shelf.put(placed.join(shared.drop("m"), ["band", "key"]), "met")
+    shared = placed.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
+    met = shelf.put(placed.join(shared, ["band", "key"]), "met")
 
-    chosen = shelf.put(met.where("leader <> id").groupBy("id", "leader").agg(F.count("*").alias("votes"))
-              .groupBy("id").agg(F.max(F.struct("votes", (-F.col("leader")).alias("low"))).alias("best"))
-              .select((-F.col("best.low")).alias("a"), F.col("id").alias("b")), "chosen")
-    wanted = met.select("id").distinct()
+    wanted = met.groupBy("id").agg(F.sum("m").alias("reach"))
     sets = shelf.put(source.join(wanted, "id", "left_semi").mapInArrow(
         _set_reader(width), "id bigint, shingles array<bigint>"), "sets")
-    links = cut(_confirmed(chosen, sets, percent))
-    roots = cut(components(links))
-
-    # Pairs of a bucket that lie in different components, in portions of bands.
-    members = wanted.count()
-    tried = chosen.select("a", "b")
-    for low, high in _portions(_crossing(met, roots), PAIRS_EACH * members):
-        part = met.where(F.col("band").between(low, high))
-        pairs = cut(_cross_pairs(part, roots, percent).join(tried, ["a", "b"], "left_anti"))
-        tried = cut(tried.unionByName(pairs))
-        found = cut(_confirmed(pairs, sets, percent))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = cut(components(links))
+    central = F.struct("reach", (-F.col("id")).alias("low"))
+    leaders = met.join(wanted, "id").groupBy("band", "key").agg((-F.max(central)["low"]).alias("leader"))
+    chosen = (met.join(leaders, ["band", "key"]).where("leader <> id").groupBy("id", "leader").agg(F.count("*").alias("votes"))
+              .groupBy("id").agg(F.max(F.struct("votes", (-F.col("leader")).alias("low"))).alias("best"))
+              .select((-F.col("best.low")).alias("a"), F.col("id").alias("b")))
+    links = shelf.put(_confirmed(chosen, sets, percent), "links-1")
+    roots = components(links)
+
+    pairs = _apart(met, roots, sets, percent)
+    more = shelf.put(_confirmed(pairs, sets, percent), "links-2")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
 
     labelled = classes.join(roots, classes["rep"] == roots["node"], "left").select(
         "mark", F.coalesce("root", "rep").alias("component_id"))
@@ -178,36 +176,33 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     return docs.join(gone, F.coalesce(docs["doc_id"].cast("bigint"), F.lit(LAST_ID)) == gone["_gone_id"], "left_anti")
 
 
-def _rooted(met: DataFrame, roots: DataFrame) -> DataFrame:
-    return met.join(roots, met["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id")).drop("node")
-
-
-def _crossing(met: DataFrame, roots: DataFrame) -> list[tuple[int, float]]:
-    """Per band, how many pairs of a bucket lie in different components (counted, not made)."""
-    parts = _rooted(met, roots).groupBy("band", "key", "root").agg(F.count("*").cast("double").alias("m"))
-    per = parts.groupBy("band", "key").agg((F.pow(F.sum("m"), 2) - F.sum(F.pow("m", 2))).alias("twice"))
-    return [(r.band, r.pairs) for r in per.groupBy("band").agg((F.sum("twice") / 2).alias("pairs")).orderBy("band").collect()]
+def _apart(met: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of different components that the exact prefix filter cannot rule out.
 
-
-def _portions(per_band: list[tuple[int, float]], most: float) -> list[tuple[int, int]]:
-    """Ranges of bands with at most ``most`` crossing pairs each; a band that has more stands alone."""
-    out, start, total, last = [], None, 0.0, None
-    for band, pairs in per_band:
-        if pairs <= 0:
-            continue
-        if start is not None and total + pairs > most:
-            out.append((start, last))
-            start, total = None, 0.0
-        start, total, last = band if start is None else start, total + pairs, band
-    return out + ([(start, last)] if start is not None else [])
-
-
-def _cross_pairs(met: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b), a < b, of one bucket, of different components and of sizes that allow the similarity."""
-    rows = _rooted(met, roots).select("band", "key", "id", "n", "root")
-    mixed = rows.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    rows = rows.join(mixed.select("band", "key"), ["band", "key"], "left_semi")
-    a, b = (rows.select("band", "key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "root")]) for s in "ab")
-    fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return a.join(b, ["band", "key"]).where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & fits).select(
-        F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    Taken are the classes that share buckets with other components in at least ``OPEN_BANDS`` bands.
+    """
+    rooted = met.join(roots, met["id"] == roots["node"], "left").select(
+        "band", "key", "id", F.coalesce("root", "id").alias("root"))
+    mixed = rooted.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    open_ids = rooted.join(mixed.select("band", "key"), ["band", "key"]).groupBy("id", "root").agg(
+        F.count("*").alias("bands")).where(F.col("bands") >= OPEN_BANDS).select("id", "root")
+    items = sets.dropDuplicates(["id"]).join(open_ids, "id").select("id", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("x"))
+    items = cut(items)
+    often = items.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
+    # Shingles of one document only match nothing; they still take their places in the prefix.
+    ranked = items.join(often, "x", "left").groupBy("id", "root", "n").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "x"))).alias("order"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    prefix = ranked.select("id", "root", "n", F.posexplode(F.slice("order", F.lit(1), length)).alias("p", "s")).where(
+        "s.df > 1").select("id", "root", "n", "p", F.col("s.x").alias("x"))
+    # Along a shingle the largest component need not meet itself: only the others look for partners.
+    major = prefix.groupBy("x", "root").agg(F.count("*").alias("m")).groupBy("x").agg(
+        F.max(F.struct("m", "root"))["root"].alias("major"))
+    seekers = prefix.join(major, "x").where("root <> major").drop("major")
+    a, b = (f.select("x", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "root", "n", "p")])
+            for f, side in ((seekers, "a"), (prefix, "b")))
+    # If this is the first common shingle, no more than this can be common.
+    most = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+    reachable = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
+    return a.join(b, "x").where((F.col("root_a") != F.col("root_b")) & reachable).select(
+        F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
