@@ -19,10 +19,8 @@ from flowtide.llm.shingles import WordHashes, sequence_shingles
 
 #: ASCII punctuation and control characters become spaces, A-Z become a-z; other bytes stay.
 _TABLE = bytes(ord(chr(b).lower()) if chr(b).isalnum() or b > 127 else 32 for b in range(256))
-#: Item shingles of one block (8 bytes each, some 40 MB a task).
+#: Item shingles of one block (8 bytes each, some 40 MB a task); a larger item makes a block of its own.
 BLOCK_SHINGLES = 1_000_000
-#: Longer items are matched in stretches of so many words, each on its own.
-STRETCH_WORDS = 20_000
 
 
 def plain_words(text: bytes | None) -> list[bytes]:
@@ -30,23 +28,17 @@ def plain_words(text: bytes | None) -> list[bytes]:
 
 
 def item_shingles(items: DataFrame, width: int) -> DataFrame:
-    """(item, stretch, shingles) of every item with a word; distinct, sorted."""
+    """(item_id, shingles) of every item; distinct shingles."""
 
     def run(batches):
         words = WordHashes()
         for batch in batches:
-            rows = []
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = plain_words(text)
-                for k, low in enumerate(range(0, len(found), STRETCH_WORDS)):
-                    hashes = words.of(found[low:low + STRETCH_WORDS])
-                    rows.append((item, k, np.unique(sequence_shingles(hashes, width)).view(np.int64)))
+            sets = [np.unique(sequence_shingles(words.of(plain_words(t.as_py())), width)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
-                 pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["item_id", "stretch", "shingles"])
+                [batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["item_id", "shingles"])
 
     return items.select(F.col("item_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(
-        run, "item_id bigint, stretch int, shingles array<bigint>")
+        run, "item_id bigint, shingles array<bigint>")
 
 
 def signature_sizes(sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -130,6 +122,8 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
     # One block at a time passes through the driver, never the whole table.
     for row in item_shingles(items, width).toLocalIterator():
         values = np.array(row.shingles, np.int64).view(np.uint64)
+        if not len(values):
+            continue
         block.append((row.item_id, np.sort(values)))
         held += len(values)
         if held >= BLOCK_SHINGLES:
@@ -138,10 +132,7 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
         out = search(block) if out is None else out.unionByName(search(block))
     if out is None:
         out = spark.createDataFrame([], schema)
-    # Stretches of one long item come as rows of their own; the best stretch speaks for the item.
-    return out.groupBy("doc_id", "item_id").agg(
-        F.max_by(F.struct("n_shingles", "n_found"), F.col("n_found") / F.col("n_shingles")).alias("s")).select(
-        "doc_id", "item_id", "s.n_shingles", "s.n_found", (F.col("s.n_found") / F.col("s.n_shingles")).alias("containment"))
+    return out.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
