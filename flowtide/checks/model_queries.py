@@ -49,7 +49,9 @@ def q_duplicate_rows_narrow(spark, lineitem):
 
 @query("dataset_verdict", "flow_rows", sql="""SELECT count(*) < 0 AS valid, 1 AS n_errors, 1 AS n_warnings,
   'Only 4 recognized feature columns found. Minimum 10 required. Dataset may be incompatible.' AS error,
-  concat('Unknown labels (will be mapped to ''Unknown''): ', count(DISTINCT CASE WHEN " Label" = 'Mystery' THEN 1 END)) AS warning FROM $flow_rows""")
+  (SELECT concat('Unknown labels (will be mapped to ''Unknown''): [''', string_agg(l, ''', ''' ORDER BY n DESC, l), ''']') FROM (
+     SELECT " Label" AS l, count(*) AS n FROM $flow_rows
+     WHERE trim(" Label") NOT IN ('BENIGN', 'DoS Hulk', 'PortScan', 'DDoS attacks-LOIC-HTTP', 'Botnet') GROUP BY 1)) AS warning FROM $flow_rows""")
 def q_dataset_verdict(spark, r):
     v = ds.dataset_verdict(r)
     return v.select("valid", F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"),

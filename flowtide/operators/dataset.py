@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.operators.filters import _by_name, find_label_column
-from flowtide.operators.sets import recognized_feature_names, unknown_labels
+from flowtide.operators.sets import is_known_label, recognized_feature_names
 from flowtide.schema import MIN_FEATURES
 
 # Limits of a usable data set; the texts of dataset_verdict must match too.
 MIN_ROWS = 100
 HIGH_MISSING_PERCENT = 30
 HIGH_DUPLICATE_SHARE = 0.5
+#: Names a warning lists at most.
+NAMED_LABELS = 100
 
 
 def _total(values: list[Column]) -> Column:
@@ -77,13 +79,22 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
         F.coalesce(F.sum("count") - F.count("*"), F.lit(0)).alias("duplicate_rows"))
 
 
+def _unknown_names(labels: DataFrame) -> DataFrame:
+    """One row with the most frequent unknown labels of (label, count), in order."""
+    top = labels.where(~is_known_label(F.col("label"))).orderBy(F.desc("count"), "label").limit(NAMED_LABELS)
+    order = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "label")))
+    return top.agg(F.transform(order, lambda x: x["label"]).alias("unknown"))
+
+
 def dataset_verdict(df: DataFrame) -> DataFrame:
-    """One row: ``valid``, ``errors`` and ``warnings`` of a dataset."""
+    """One row: ``valid``, ``errors`` and ``warnings`` of a dataset.
+
+    The warning names the ``NAMED_LABELS`` most frequent unknown labels; ``unknown_labels`` gives all.
+    """
     label = find_label_column(df.columns)
     row = dataset_profile(df).withColumn("_one", F.lit(1)).join(
         duplicate_rows(df).withColumn("_one", F.lit(1)), "_one")
-    unknown = (unknown_labels(df.select(_by_name(label).alias("label")), "label").agg(F.count("*").alias("unknown"))
-               if label else df.sparkSession.createDataFrame([(0,)], "unknown bigint"))
+    unknown = _unknown_names(label_distribution(df)) if label else df.sparkSession.createDataFrame([([],)], "unknown array<string>")
     row = row.join(unknown.withColumn("_one", F.lit(1)), "_one")
     c = F.col
     error = F.array_compact(F.array(
@@ -95,7 +106,8 @@ def dataset_verdict(df: DataFrame) -> DataFrame:
             "Dataset may be incompatible.", c("recognized_features"))),
     ))
     warning = F.array_compact(F.array(
-        F.when(c("unknown") > 0, F.format_string("Unknown labels (will be mapped to 'Unknown'): %d", c("unknown"))),
+        F.when(F.size("unknown") > 0, F.concat(
+            F.lit("Unknown labels (will be mapped to 'Unknown'): ['"), F.array_join("unknown", "', '"), F.lit("']"))),
         F.when(c("missing_rate") > HIGH_MISSING_PERCENT, F.concat(
             F.lit("High missing value rate: "), c("missing_rate").cast("string"), F.lit("%"))),
         F.when(c("duplicate_rows") > c("total_rows") * HIGH_DUPLICATE_SHARE, F.format_string(

@@ -220,6 +220,8 @@ def test_profile_and_verdict(spark):
                                    F.lit("BENIGN").alias(" Label"))
     ok = ds.dataset_verdict(wide).first()
     assert ok.valid and ok.warnings == []
+    odd = wide.withColumn(" Label", F.when(F.col(FEATURE_NAMES[0]).cast("int") % 3 == 0, "Riddle").otherwise("Mystery"))
+    assert ds.dataset_verdict(odd).first().warnings == ["Unknown labels (will be mapped to 'Unknown'): ['Mystery', 'Riddle']"]
 
 
 def test_paging(spark):
