@@ -82,6 +82,31 @@ def test_marked_article_among_other_parts():
         assert html_regions.main_text("<!DOCTYPE html><html><head><title>T</title></head><body>" + "".join(parts)) == WANT, parts
 
 
+LONG = "A sentence of the article that says something worth to keep. " * 7
+CARD = "<article><h3><a href=/x>Teaser</a></h3><p>Read on</p></article>"
+PLAIN = "\n\n".join(["Title", *[LONG.strip()] * 4, "Short."])
+TEXT = "<h1>Title</h1>" + f"<p>{LONG}</p>" * 4 + "<p>Short.</p>"
+LIST = "<ul>" + "".join(f"<li><a href=/{i}>entry {i}</a></li>" for i in range(12)) + "</ul>"
+
+
+def test_region_is_never_one_paragraph():
+    page = f"<html><body><div><h1>Title</h1><p>{'x' * 450}</p><p>{'y' * 50}</p></div></body></html>"
+    assert html_regions.main_text(page) == f"Title\n\n{'x' * 450}\n\n{'y' * 50}"
+
+
+def test_sibling_sections_stay():
+    page = f"<body><div><section><h2>One</h2><p>{LONG * 2}</p><p>{LONG * 2}</p></section><section><h2>Two</h2><p>{LONG}</p></section></div></body>"
+    long = (LONG * 2).strip()
+    assert html_regions.main_text(page) == "\n\n".join(["One", long, long, "Two", LONG.strip()])
+
+
+@pytest.mark.parametrize("label", ["post comments-open", "has-sidebar", "menu"])
+def test_an_aside_word_never_hides_the_article(label):
+    assert html_regions.main_text(f"<body><article class='{label}'>{TEXT}</article></body>") == PLAIN
+    assert html_regions.main_text(f"<body><div class='{label}'><article>{TEXT}</article></div></body>") == PLAIN
+    assert html_regions.main_text(f"<body><form><main>{TEXT}</main></form></body>") == PLAIN
+
+
 def test_parts_inside_the_article_go_too():
     inner = ARTICLE.replace("<p>Short.</p>", PARTS[2] + PARTS[5] + "<p>Short.</p>" + PARTS[1].replace("header", "footer"))
     assert html_regions.main_text(f"<body>{inner}</body>") == WANT
