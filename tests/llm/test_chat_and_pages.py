@@ -107,6 +107,23 @@ def test_an_aside_word_never_hides_the_article(label):
     assert html_regions.main_text(f"<body><form><main>{TEXT}</main></form></body>") == PLAIN
 
 
+def test_text_beside_a_teaser_card():
+    assert html_regions.main_text(f"<body><div class=text>{TEXT}</div>{CARD}</body>") == PLAIN
+    assert html_regions.main_text(f"<body>{CARD}<div class=text>{TEXT}</div></body>") == PLAIN
+
+
+def test_cards_and_link_lists_in_main_go():
+    for page in (f"<main><article>{TEXT}</article>{CARD * 3}</main>", f"<main>{TEXT}{LIST}</main>", f"<main>{LIST}<div>{TEXT}</div>{CARD * 2}</main>",
+                 f"<main>{CARD}<article>{TEXT}</article>{LIST}</main>"):
+        assert html_regions.main_text(f"<body>{page}</body>") == PLAIN
+
+
+def test_several_articles_with_text_stay():
+    assert html_regions.main_text(f"<body><main><article>{TEXT}</article><article>{TEXT}</article>{LIST}</main></body>") == f"{PLAIN}\n\n{PLAIN}"
+    kept = html_regions.main_text(f"<body><article>{TEXT}{LIST}</article></body>")
+    assert kept.startswith(PLAIN) and "entry 11" in kept
+
+
 def test_parts_inside_the_article_go_too():
     inner = ARTICLE.replace("<p>Short.</p>", PARTS[2] + PARTS[5] + "<p>Short.</p>" + PARTS[1].replace("header", "footer"))
     assert html_regions.main_text(f"<body>{inner}</body>") == WANT
