@@ -98,9 +98,15 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
     and are in nothing. Rows repeated in either table give repeated rows; a null id is returned as null. Other
     columns are not read. Empty tables give an empty result.
     """
+    return _found(docs, items, width, percent).drop("hash").withColumn("containment", F.col("n_found") / F.col("n_shingles"))
+
+
+def _found(docs: DataFrame, items: DataFrame, width: int, percent: int) -> DataFrame:
+    """The rows of ``contained_items`` before their share, with ``hash``, the hash of the text."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
-    schema = "doc_id bigint, item_id bigint, n_shingles bigint, n_found bigint"
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("hash"))
+    names_out = ("doc_id", "hash", "item_id", "n_shingles", "n_found")
+    schema = ", ".join(f"{c} bigint" for c in names_out)
     out, block, held = None, [], 0
 
     def search(part):
@@ -110,12 +116,11 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
             (known, names), words = index.value, WordHashes()
             for batch in batches:
                 rows = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for doc, text, mark in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                     found = sequence_shingles(words.of(plain_words(text.as_py())), width)
-                    rows += [(doc, names[i], int(known.sizes[i]), n) for i, n in known.search(np.unique(found))]
+                    rows += [(doc, mark, names[i], int(known.sizes[i]), n) for i, n in known.search(np.unique(found))]
                 yield pa.RecordBatch.from_pylist(
-                    [dict(zip(("doc_id", "item_id", "n_shingles", "n_found"), r)) for r in rows],
-                    pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "n_shingles", "n_found")]))
+                    [dict(zip(names_out, r)) for r in rows], pa.schema([(c, pa.int64()) for c in names_out]))
 
         return texts.mapInArrow(run, schema)
 
@@ -132,10 +137,13 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
         out = search(block) if out is None else out.unionByName(search(block))
     if out is None:
         out = spark.createDataFrame([], schema)
-    return out.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
+    return out
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents that hold an item; all columns and all other rows stay as they are."""
-    bad = contained_items(docs, items, width, percent).select(F.col("doc_id").alias("_held_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["_held_id"]), "left_anti")
+    bad = _found(docs, items, width, percent).select(
+        F.col("doc_id").alias("_held_id"), F.col("hash").alias("_held_hash")).distinct()
+    # A null or repeated id says nothing about its other rows.
+    same = docs["doc_id"].cast("bigint").eqNullSafe(bad["_held_id"]) & (F.xxhash64(docs["text"]) == bad["_held_hash"])
+    return docs.join(bad, same, "left_anti")

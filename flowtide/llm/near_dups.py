@@ -5,7 +5,7 @@ bin with the value (i, hash); in round bins + j every shingle goes to bin j. The
 document is done when all its bins are filled, which the second half of the rounds guarantees. A filled coordinate
 agrees between two sets with the probability of their similarity, and the share that agrees is concentrated about it.
 
-Documents with equal shingle sets form a class, and only its smallest doc_id goes on. Bands of the sketch give buckets.
+Documents with equal shingle sets form a class, which is a node with a number of its own; one text stands for it. Bands of the sketch give buckets.
 First each class is confirmed against one leader: of the leaders of its buckets (the members that meet most others) the
 one it meets most often. That joins most of a group at once. What is still apart in a common bucket goes through an
 exact prefix-filter join: shingles are ordered from the rarest, and two sets of the required similarity share one of
@@ -75,7 +75,7 @@ def _sketcher(width: int, bands: int, rows: int):
     def run(batches):
         words = WordHashes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, hashes, texts = batch.column(0), batch.column(1), batch.column(2)
             at = 0
             while at < len(texts):
                 sets, total, start = [], 0, at
@@ -92,8 +92,8 @@ def _sketcher(width: int, bands: int, rows: int):
                         keys[i] = row
                 marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(start, at - start), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()),
-                     pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "mark", "keys"])
+                    [ids.slice(start, at - start), hashes.slice(start, at - start), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()),
+                     pa.array(keys, pa.list_(pa.int64()))], ["id", "hash", "n", "mark", "keys"])
 
     return run
 
@@ -126,25 +126,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Words are runs without ASCII white space, A-Z lower-cased. Null, empty and blank texts have an empty set and link
-    with nothing. A null doc_id counts as the largest id and keeps a null component_id. Rows that repeat a doc_id are
-    one document that holds each of its texts. Ties do not exist: the smallest doc_id of a component stays.
-    Columns other than doc_id and text are not read. An empty table gives an empty result.
+    with nothing. A null doc_id counts as the largest id and keeps a null component_id. Rows with a null or repeated
+    doc_id are documents of their own, linked by their texts only. The smallest doc_id of a component stays; where
+    several of its texts have that id, those with one and the same set. Columns other than doc_id and text are not
+    read. An empty table gives an empty result.
     """
-    source = docs.select(ident().alias("id"), F.col("text").cast("binary").alias("text"))
+    return _judged(docs, width, percent, bands, rows).drop("hash")
+
+
+def _judged(docs: DataFrame, width: int, percent: int, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """The rows of ``near_duplicates`` with ``hash``, the hash of the text."""
+    source = docs.select(ident().alias("id"), F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text"))
     shelf = Shelf(docs.sparkSession, "near-duplicates")
     sketched = shelf.put(
-        source.mapInArrow(_sketcher(width, bands, rows), "id bigint, n bigint, mark binary, keys array<bigint>"), "sketched")
-
-    # Classes of equal sets; the keys of one member stand for all.
-    classes = shelf.put(sketched.where("n > 0").groupBy("mark").agg(F.min("id").alias("rep")), "classes")
-    heads = sketched.where("n > 0").join(classes.select("mark", F.col("rep").alias("id")), ["mark", "id"], "left_semi")
-    placed = heads.dropDuplicates(["id", "mark"]).select("id", "n", F.posexplode("keys").alias("band", "key"))
+        source.mapInArrow(_sketcher(width, bands, rows), "id bigint, hash bigint, n bigint, mark binary, keys array<bigint>"), "sketched")
+
+    # Classes of equal sets; one row stands for all. A class has a number of its own, as ids may be null or repeated.
+    classes = shelf.put(sketched.where("n > 0").groupBy("mark").agg(F.min(F.struct("id", "hash")).alias("rep")).select(
+        "mark", "rep.id", "rep.hash", F.monotonically_increasing_id().alias("node")), "classes")
+    heads = sketched.where("n > 0").join(classes, ["mark", "id", "hash"]).groupBy("node").agg(
+        F.first("keys").alias("keys"), F.count("*").alias("copies"))
+    heads = shelf.put(heads, "heads")
+    placed = heads.select(F.col("node").alias("id"), F.posexplode("keys").alias("band", "key"))
     shared = placed.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
     met = shelf.put(placed.join(shared, ["band", "key"]), "met")
 
     wanted = met.groupBy("id").agg(F.sum("m").alias("reach"))
-    sets = shelf.put(source.join(wanted, "id", "left_semi").mapInArrow(
-        _set_reader(width), "id bigint, shingles array<bigint>"), "sets")
+    places = classes.join(wanted.select(F.col("id").alias("node")), "node", "left_semi").select("id", "hash", "node")
+    texts = source.join(places, ["id", "hash"]).select(F.col("node").alias("id"), "text")
+    if not heads.where("copies > 1").isEmpty():
+        # Equal rows of one id: one of them is read.
+        texts = texts.dropDuplicates(["id"])
+    sets = shelf.put(texts.mapInArrow(_set_reader(width), "id bigint, shingles array<bigint>"), "sets")
     central = F.struct("reach", (-F.col("id")).alias("low"))
     leaders = met.join(wanted, "id").groupBy("band", "key").agg((-F.max(central)["low"]).alias("leader"))
     chosen = (met.join(leaders, ["band", "key"]).where("leader <> id").groupBy("id", "leader").agg(F.count("*").alias("votes"))
@@ -158,22 +171,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
-    labelled = classes.join(roots, classes["rep"] == roots["node"], "left").select(
-        "mark", F.coalesce("root", "rep").alias("component_id"))
-    out = sketched.select("id", "n", "mark").join(labelled, "mark", "left").withColumn(
+    labelled = shelf.put(classes.join(roots, "node", "left").select(
+        "mark", "id", F.coalesce("root", "node").alias("root")), "labelled")
+    best = shelf.put(labelled.groupBy("root").agg(F.min(F.struct("id", "mark")).alias("first")).select(
+        "root", F.col("first.id").alias("component_id"), F.col("first.mark").alias("first_mark")), "best")
+    labelled = labelled.join(best, "root").select("mark", "component_id", (F.col("mark") == F.col("first_mark")).alias("first"))
+    out = sketched.select("id", "hash", "n", "mark").join(labelled, "mark", "left").withColumn(
         "component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
+    # A repeated smallest id may have several sets in the component; equal sets with that id all stay.
+    stays = (F.col("component_id") == F.col("id")) & ((F.col("n") == 0) | F.col("first"))
     named = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
     out = cut(out.select(named("id").alias("doc_id"), F.col("n").alias("n_shingles"), named("component_id").alias("component_id"),
-                         (F.col("component_id") == F.col("id")).alias("kept")))
+                         stays.alias("kept"), "hash"))
     shelf.close()
     return out
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate component; all columns as they are."""
-    gone = near_duplicates(docs, width, percent).where("not kept").select(
-        F.coalesce("doc_id", F.lit(LAST_ID)).alias("_gone_id")).distinct()
-    return docs.join(gone, F.coalesce(docs["doc_id"].cast("bigint"), F.lit(LAST_ID)) == gone["_gone_id"], "left_anti")
+    """The rows of ``docs`` that ``near_duplicates`` keeps; all columns as they are."""
+    gone = _judged(docs, width, percent).where("not kept").select(
+        F.coalesce("doc_id", F.lit(LAST_ID)).alias("_gone_id"), F.col("hash").alias("_gone_hash")).distinct()
+    same = (F.coalesce(docs["doc_id"].cast("bigint"), F.lit(LAST_ID)) == gone["_gone_id"]) & (
+        F.xxhash64(docs["text"]) == gone["_gone_hash"])
+    return docs.join(gone, same, "left_anti")
 
 
 def _apart(met: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -186,7 +206,7 @@ def _apart(met: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> D
     mixed = rooted.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
     open_ids = rooted.join(mixed.select("band", "key"), ["band", "key"]).groupBy("id", "root").agg(
         F.count("*").alias("bands")).where(F.col("bands") >= OPEN_BANDS).select("id", "root")
-    items = sets.dropDuplicates(["id"]).join(open_ids, "id").select("id", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("x"))
+    items = sets.join(open_ids, "id").select("id", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("x"))
     items = cut(items)
     often = items.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
     # Shingles of one document only match nothing; they still take their places in the prefix.

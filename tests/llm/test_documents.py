@@ -203,6 +203,31 @@ def test_near_duplicates_edge_rows(edge, odd, empty):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.where("doc_id < 8").collect()) == [1, 4, 5, 6, 7]
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_rows_of_one_id_link_by_their_own_texts(spark, shared):
+    """Null ids, or one that several rows have, make no link between texts that share nothing."""
+    x, y, z = (" ".join(f"{c}{i}" for i in range(100)) for c in "xyz")
+    docs = [(1, x), (2, y), (shared, x + " end"), (shared, y + " end"), (shared, z), (shared, z), (9, z + " end"), (shared, "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dups.near_duplicates(df, width=2).collect())
+    first = 9 if shared is None else shared
+    assert got == Counter({(1, 99, 1, True): 1, (2, 99, 2, True): 1, (shared, 100, 1, False): 1, (shared, 100, 2, False): 1,
+                           (shared, 99, first, shared == first): 2, (9, 100, first, first == 9): 1, (shared, 0, shared, True): 1})
+    kept = near_dups.drop_near_duplicates(df, width=2).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(
+        [(1, x), (2, y), (shared, "")] + ([(9, z + " end")] if shared is None else [(7, z), (7, z)]))
+    bench = spark.createDataFrame([(1, x)], "item_id bigint, text string")
+    clean = decontaminate.drop_contaminated(df, bench).collect()
+    assert Counter((r.doc_id, r.text) for r in clean) == Counter(d for d in docs if not d[1].startswith("x"))
+
+
+def test_texts_of_one_id_in_one_component_leave_one(spark):
+    words = [f"w{i}" for i in range(100)]
+    docs = [(None, " ".join(words)), (None, " ".join(words[1:])), (None, "else " * 60)]
+    kept = near_dups.drop_near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), width=2).collect()
+    assert len(kept) == 2 and docs[2][1] in {r.text for r in kept}
+
+
 def test_sketch_coordinates_agree_as_the_sets_do():
     rng = np.random.default_rng(2)
     whole = rng.integers(0, 2**63, 3000).astype(np.uint64)
