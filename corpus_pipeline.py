@@ -15,8 +15,8 @@ from flowtide.llm.spark_help import Shelf, cut
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return line_quality.keep_good(docs)
+    """Documents that the quality rules keep, without the lines that are common in their host."""
+    return line_quality.clean_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,6 +77,11 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     a null text has no words and fails. Repeated rows get equal verdicts. Other columns are not read. An empty table
     gives an empty result.
     """
+    return _judged(docs, rules).drop("id", "lost_lines")
+
+
+def _judged(docs: DataFrame, rules: QualityRules, with_lines: bool = False) -> DataFrame:
+    """The rows of ``judge`` with id and lost_lines, the hashes of the lines that go (null unless ``with_lines``)."""
     shelf = Shelf(docs.sparkSession, "line-quality")
     host = F.coalesce(F.xxhash64("source"), F.lit(0))
     lines = docs.select(ident().alias("id"), F.xxhash64("text").alias("mark"), host.alias("host"),
@@ -92,7 +97,8 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
         F.col("documents") > rules.line_documents)
     common = counts.join(hosts.withColumnRenamed("documents", "all"), "host").where(
         F.col("documents") * 100 > F.col("all") * rules.line_percent).select("h", "first")
-    lost = lines.join(common, "h").where(F.col("id") != F.col("first")).groupBy("id", "mark").agg(F.sum("words").alias("lost"))
+    lost = lines.join(common, "h").where(F.col("id") != F.col("first")).groupBy("id", "mark").agg(
+        F.sum("words").alias("lost"), (F.collect_set("h") if with_lines else F.lit(None).cast("array<bigint>")).alias("lost_lines"))
     lost = cut(lost)
     shelf.close()
 
@@ -102,7 +108,7 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     out = base.join(lost, ["id", "mark"], "left").withColumn(
         "words_left", F.greatest(F.lit(0), words - F.coalesce("lost", F.lit(0))))
     depleted = 100 * F.col("words_left") < rules.min_left_percent * words
-    return out.select("doc_id", "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    return out.select("id", "lost_lines", "doc_id", "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       failed.alias("base_failed"), "words_left", (~failed & ~depleted).alias("kept"))
 
 
@@ -113,3 +119,26 @@ def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFram
     same = (F.coalesce(docs["doc_id"].cast("bigint"), F.lit(LAST_ID)) == bad["_bad_id"]) & (
         F.xxhash64(docs["text"]) == bad["_bad_mark"])
     return docs.join(bad, same, "left_anti")
+
+
+def clean_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """The rows that ``judge`` keeps, their text without the host's common lines (the first document keeps them).
+
+    Columns stay as they are; n_chars is counted anew where a line went. Other texts are not touched.
+    """
+    touched = _judged(docs, rules, True).where("not kept or lost_lines is not null").select(
+        F.col("id").alias("_q_id"), F.col("mark").alias("_q_mark"), F.col("kept").alias("_q_kept"),
+        F.col("lost_lines").alias("_q_lines")).dropDuplicates(["_q_id", "_q_mark"])
+    same = (F.coalesce(docs["doc_id"].cast("bigint"), F.lit(LAST_ID)) == touched["_q_id"]) & (
+        F.xxhash64(docs["text"]) == touched["_q_mark"])
+    host = F.coalesce(F.xxhash64("source"), F.lit(0))
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda line: ~F.array_contains(
+        F.col("_q_lines"), F.xxhash64(host, normal_line(line)))), "\n")
+    good = docs.join(touched, same, "left").where(F.coalesce("_q_kept", F.lit(True)))
+    good = good.withColumn("_q_text", F.when(F.col("_q_lines").isNull(), F.col("text")).otherwise(left))
+    out = {f.name: F.col(f"`{f.name}`") for f in docs.schema.fields}
+    out["text"] = F.col("_q_text")
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("_q_lines").isNull(), F.col("n_chars")).otherwise(
+            F.length("_q_text").cast(docs.schema["n_chars"].dataType))
+    return good.select(*[c.alias(n) for n, c in out.items()])

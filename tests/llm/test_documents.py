@@ -79,6 +79,17 @@ def test_quality_rejects_boilerplate_and_keeps_clean_and_first(spark):
     assert kept.columns == df.columns and kept.count() == 1 + 60 + 1 + 40
 
 
+def test_common_lines_leave_the_text(spark):
+    own = ["\n".join(f"own {d} {k} " + " ".join(f"w{chr(97 + k)}{chr(97 + i)}{'x' * (d % 7)}" for i in range(26)) for k in range(5)) for d in range(30)]
+    docs = [(d, f"Page {d} of 30\n{t}\n\nlast", "host", 7) for d, t in enumerate(own)] + [(90, own[0], "other", 5), (None, None, "host", 0)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string, n_chars bigint")
+    got = {r.doc_id: r for r in line_quality.clean_good(df).collect()}
+    assert set(got) == {r.doc_id for r in line_quality.keep_good(df).collect()} and len(got) > 25
+    assert got[0].text == docs[0][1] and got[0].n_chars == 7 and got[90].text == own[0]
+    assert "Page 0 of 30" in got[0].text and not any("Page" in got[d].text or "last" in got[d].text for d in range(1, 30) if d in got)
+    assert all(r.n_chars == len(r.text) for d, r in got.items() if d not in (0, 90))
+
+
 # Packing ----------------------------------------------------------------------------------------------------------
 
 
