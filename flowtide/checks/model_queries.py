@@ -150,7 +150,7 @@ def q_roc_auc(spark, p):
     return met.roc_auc(p, "label", {"BENIGN": F.col("score")}).select(F.round("roc_auc", 6).alias("roc_auc"))
 
 
-# -- estimators: rows only, on all flow rows, with few trees and steps -------------------------------
+# -- estimators: rows only, on all flow rows, with the trainers' own parameters -------------------------------
 
 def _labelled(r):
     from flowtide.session import materialize
@@ -158,14 +158,10 @@ def _labelled(r):
     return materialize(rows), features
 
 
-_SMALL = {"random_forest": dict(numTrees=5, maxDepth=5), "decision_tree": dict(maxDepth=5),
-          "logistic_regression": dict(maxIter=5), "svm": dict(maxIter=3, dimensions=8)}
-
-
 def _scored(r, model_type):
     from flowtide.plans import training
     rows, features = _labelled(r)
-    model = training.fit_pipeline(rows, prep.fit_stats(rows, features), model_type, "v1", _SMALL[model_type])
+    model = training.fit_pipeline(rows, prep.fit_stats(rows, features), model_type, "v1")
     return training.apply_model(rows, model, ("row_id", "label")), model
 
 
@@ -176,14 +172,14 @@ def _register_trainer(model_type):
         return met.confusion_matrix(scored, "label", "raw_prediction")
 
 
-for _type in _SMALL:
+for _type in ("random_forest", "decision_tree", "logistic_regression", "svm"):
     _register_trainer(_type)
 
 
 @query("train_model", "flow_rows")
 def q_train_model(spark, r):
     from flowtide.plans.training import train_model
-    _, record = train_model(r, "decision_tree", row_id="row_id", params=_SMALL["decision_tree"], min_features=4)
+    _, record = train_model(r, "decision_tree", row_id="row_id", min_features=4)
     return record.select("version", "model_type", "feature_count", "training_samples", "test_samples", "total_samples",
                          F.size("classes").alias("n_classes"), F.col("metrics")["accuracy"].alias("accuracy"))
 
@@ -191,7 +187,7 @@ def q_train_model(spark, r):
 @query("compare_models", "flow_rows")
 def q_compare_models(spark, r):
     from flowtide.plans.training import compare_models
-    return compare_models(r, row_id="row_id", params=_SMALL, min_features=4).drop("training_time", "error")
+    return compare_models(r, row_id="row_id", min_features=4).drop("training_time", "error")
 
 
 @query("evaluate_saved_model", "flow_rows")
@@ -202,7 +198,7 @@ def q_evaluate_saved_model(spark, r):
     from flowtide.sources.models import save_model
     import uuid
     rows, features = _labelled(r)
-    model = fit_pipeline(rows, prep.fit_stats(rows, features), "decision_tree", "v1", _SMALL["decision_tree"])
+    model = fit_pipeline(rows, prep.fit_stats(rows, features), "decision_tree", "v1")
     path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
     save_model(model, path)
     return evaluate_saved_model(spark, path, r)
@@ -213,7 +209,7 @@ def q_score_batch(spark, r):
     from flowtide.plans.scoring import score_batch
     from flowtide.plans.training import fit_pipeline
     rows, features = _labelled(r)
-    model = fit_pipeline(rows, prep.fit_stats(rows, features), "decision_tree", "v1", _SMALL["decision_tree"])
+    model = fit_pipeline(rows, prep.fit_stats(rows, features), "decision_tree", "v1")
     return score_batch(r, model, ("row_id",)).drop("probabilities")
 
 
@@ -242,5 +238,5 @@ def q_detect_alerts(spark, packets):
     label = F.when(F.col("rst_flag_count") + F.col("fin_flag_count") > 0, "PortScan").when(F.col("syn_flag_count") > 1, "DoS").otherwise("BENIGN")
     raw = with_canonical_names(flows.withColumn("Label", label))
     rows, features = prep.prepare_raw(raw)
-    model = fit_pipeline(rows, prep.fit_stats(rows, features), "decision_tree", "v1", dict(maxDepth=4))
+    model = fit_pipeline(rows, prep.fit_stats(rows, features), "decision_tree", "v1")
     return verdicts(as_scored_input(flows), model, CFG).groupBy("prediction", "severity", "should_alert").agg(F.count("*").alias("n"))

@@ -276,3 +276,29 @@ def test_duplicate_rows_compare_text_columns_as_text(spark):
 def test_auc_of_missing_scores_is_null(spark):
     df = spark.createDataFrame([("b", 0.9), ("a", 0.1), ("b", float("nan")), ("a", None)], "y string, s double")
     assert met.roc_auc(df, "y", {"b": F.col("s")}).first()[0] is None
+
+
+def test_model_queries_train_with_the_default_parameters(monkeypatch):
+    from flowtide.checks import model_queries, registry
+    from flowtide.plans import training
+
+    calls = []
+
+    class Stop(Exception):
+        pass
+
+    def fit(*args, **kw):
+        calls.append((args[4] if len(args) > 4 else None) or kw.get("params"))
+        raise Stop
+
+    for name in ("fit_pipeline", "train_model", "compare_models"):
+        monkeypatch.setattr(training, name, fit)
+    monkeypatch.setattr(registry, "frame", lambda *a: None)
+    monkeypatch.setattr(model_queries, "_labelled", lambda r: (None, []))
+    monkeypatch.setattr(model_queries.prep, "fit_stats", lambda *a: None)
+    names = ["train_random_forest", "train_decision_tree", "train_logistic_regression", "train_svm", "train_model", "compare_models",
+             "evaluate_saved_model", "score_batch", "feature_importance", "rank_importance"]
+    for name in names:
+        with pytest.raises(Stop):
+            registry.QUERIES[name](None, "")
+    assert calls == [None] * len(names)
