@@ -35,8 +35,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 1024 tokens."""
-    return packing.pack_documents(docs, tokenizer_path(), packing.Limits(tokens=1024), end_id=2)
+    """The pieces of all documents with their ids, and their places in sequences of 1024 tokens."""
+    return packing.pack_documents_ids(docs, tokenizer_path(), packing.Limits(tokens=1024), end_id=2)
 
 
 STAGES = [

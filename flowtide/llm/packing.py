@@ -3,8 +3,8 @@
 Every sequence has three residual capacities: tokens, documents and attention cost (the sum of squared piece lengths,
 as attention stays inside a document). Pieces are taken from the longest; a piece may go to any sequence in which no
 residual would fall below zero, and goes to the one with the best score: the smallest weighted norm of what would be
-left (``norm``), or the largest weighted product of demand and residual (``dot``). Documents are dealt to blocks of a
-bounded number of pieces by a hash of doc_id; blocks are packed in parallel, and what only one block in many leaves
+left (``norm``), or the largest weighted product of demand and residual (``dot``). Pieces are dealt to blocks of a
+bounded number of pieces by a hash of doc_id, piece and row number, so a null or repeated id fills no block; blocks are packed in parallel, and what only one block in many leaves
 half empty does not matter at that size.
 """
 
@@ -210,7 +210,8 @@ def pack(pieces: DataFrame, limits: Limits = Limits(), block_rows: int = 40_000)
         return frame.drop(columns=["_block", "_id"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    packed = (rest.withColumn("_id", ident()).withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)))
+    packed = (rest.withColumn("_id", ident()).withColumn("_block", F.pmod(
+        F.xxhash64("_id", "piece", "length", F.monotonically_increasing_id()), F.lit(blocks)))
               .groupBy("_block").applyInPandas(block, f"{fields}, sequence_id bigint, offset bigint"))
     alone = full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")})
     return packed.unionByName(alone)
@@ -230,3 +231,12 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
     pieces = token_pieces(docs, path, limits.tokens, end_id)
     narrow = cut(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return pack(narrow, limits)
+
+
+def pack_documents_ids(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 2) -> DataFrame:
+    """The rows of ``pack_documents`` with ``ids``. Only the places are packed; the stored ids are joined back by row number."""
+    pieces = token_pieces(docs, path, limits.tokens, end_id).withColumn("ids_crc32", F.crc32("ids"))
+    stored = cut(pieces.withColumn("row", F.monotonically_increasing_id()))
+    placed = pack(stored.select("row", "doc_id", "piece", "length"), limits).select("row", "sequence_id", "offset")
+    return stored.join(placed, "row").select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")

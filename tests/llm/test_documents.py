@@ -131,6 +131,17 @@ def test_packed_sequences_hold_the_ids(documents):
         assert len(r.ids) // 4 <= 1024 and r.doc_starts[0] == 0 and len(r.doc_starts) == len(r.doc_ids)
 
 
+def test_one_id_fills_many_blocks_and_ids_come_back(spark):
+    many = spark.range(600).selectExpr("CAST(NULL AS bigint) AS doc_id", "0 AS piece", "500L AS length").localCheckpoint()
+    blocks = Counter(r.sequence_id >> 22 for r in packing.pack(many, packing.Limits(), block_rows=100).collect())
+    assert len(blocks) == 6 and max(blocks.values()) < 200
+    docs = spark.createDataFrame([(None, f"text {k} of many " * (k * 40)) for k in range(12)] + [(3, "same")] * 2, "doc_id bigint, text string")
+    got = packing.pack_documents_ids(docs, tokenizer_path()).collect()
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in got)
+    facts = lambda rs: Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rs)
+    assert facts(got) == facts(packing.pack_documents(docs, tokenizer_path()).collect())
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_every_capacity_holds(score):
     rng = np.random.default_rng(3)
