@@ -103,5 +103,108 @@ FROM doc_rows d JOIN item_rows i ON d.x = i.x GROUP BY doc_id, item_id, n_shingl
 HAVING 100 * count(*) >= 80 * n_shingles
 """
 
+_DAMAGED_KEY = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+#: CRC-32 of a short ASCII string, bit by bit.
+_CRC = f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({_DAMAGED_KEY}, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def _edit(cost: str, letter: str, turn: str, after: str) -> str:
+    return f"{{'cost': {cost} + {after}.cost, 'audit': '{letter}' || {after}.audit, 'text': {turn} || {after}.text}}"
+
+
+def _repair_step() -> str:
+    """The list of the four states' cheapest rests before a row, from that after it (``b``): nothing yet, s, u, a."""
+    after, role = (3, 3, 4, 3), ("user", "user", "assistant", "user")
+    kept = ({"s": 2, "u": 3}, {"u": 3}, {"a": 4}, {"u": 3})
+    turn = lambda r: f"chr(10) || {r} || ':' || text"
+    taken = []
+    for s in range(4):
+        keeps = [f"CASE WHEN NOT gone AND initial = '{i}' THEN {_edit('late', 'K', turn('role'), f'b[{t}]')} END" for i, t in kept[s].items()]
+        fix = _edit("late + 1", "R", turn(f"'{role[s]}'"), f"b[{after[s]}]")
+        gone = _edit("2", "D", "''", f"b[{s + 1}]")
+        taken.append(f"list_min([{', '.join([gone, *keeps, f'CASE WHEN NOT gone THEN {fix} END'])}])")
+    insert = lambda s, x: _edit("5", "I", f"chr(10) || '{role[s]}:'", x)
+    best = [f"list_min([t[{s + 1}], {insert(s, f't[{after[s]}]')}, {insert(s, insert(after[s] - 1, f't[{after[after[s] - 1]}]'))}])"
+            for s in range(4)]
+    return f"SELECT key, i, [{', '.join(best)}] AS b FROM (SELECT key, i, [{', '.join(taken)}] AS t FROM step)"
+
+
+OP11 = f"""
+WITH RECURSIVE marked AS (
+  SELECT coalesce(conv_id::VARCHAR, ' ') AS key, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS kind
+  FROM conversations),
+damaged AS (
+  SELECT key, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS time FROM marked WHERE kind <> 0)),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial,
+         rtrim(text, {_SPACES}) AS core FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN core = '' THEN 1 WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY i) > 1 THEN 2
+                 WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+         lag(initial) OVER (PARTITION BY key ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS breaks FROM ordered),
+rests AS (
+  SELECT key, max(i) + 1 AS i, [{{'cost': 0::BIGINT, 'audit': '', 'text': ''}},
+         {{'cost': 10::BIGINT, 'audit': 'II', 'text': chr(10) || 'user:' || chr(10) || 'assistant:'}},
+         {{'cost': 5::BIGINT, 'audit': 'I', 'text': chr(10) || 'assistant:'}}, {{'cost': 0::BIGINT, 'audit': '', 'text': ''}}] AS b
+  FROM faulty GROUP BY key
+  UNION ALL
+  SELECT * FROM (
+    WITH step AS (SELECT r.key, f.i, r.b, f.role, f.text, f.initial, f.fault IN (1, 2) AS gone, CASE WHEN f.fault = 3 THEN 5 ELSE 0 END AS late
+                  FROM rests r JOIN faulty f ON r.key = f.key AND f.i = r.i - 1)
+    {_repair_step()})),
+counts AS (
+  SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+         count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (breaks) AS illegal
+  FROM faulty GROUP BY key),
+found AS (
+  SELECT c.*, r.b[1].cost AS cost, r.b[1].audit AS audit, substr(r.b[1].text, 2) AS text FROM counts c JOIN rests r ON c.key = r.key AND r.i = 1)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN found ON found.key = coalesce(e.conv_id::VARCHAR, ' ')
+"""
+
+OP12 = f"""
+WITH pieces AS (
+  SELECT lang, {_words('piece', '[\\x20\\x09]+')} AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents)),
+singles AS (SELECT lang, w1, count(*) AS f FROM (SELECT lang, unnest(w) AS w1 FROM pieces) GROUP BY lang, w1),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM singles GROUP BY lang),
+pairs AS (
+  SELECT lang, p.a AS w1, p.b AS w2, count(*) AS f FROM (
+    SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: {{'a': w[i], 'b': w[i + 1]}})) AS p FROM pieces WHERE len(w) > 1)
+  GROUP BY ALL HAVING count(*) >= 10),
+triples AS (
+  SELECT lang, p.a AS w1, p.b AS w2, p.c AS w3, count(*) AS f FROM (
+    SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: {{'a': w[i], 'b': w[i + 1], 'c': w[i + 2]}})) AS p FROM pieces WHERE len(w) > 2)
+  GROUP BY ALL HAVING count(*) >= 10),
+around AS (
+  SELECT lang, w1, w2, max(f) AS f FROM (
+    SELECT lang, w1, w2, f FROM triples UNION ALL SELECT lang, w2, w3, f FROM triples) GROUP BY ALL),
+cuts AS (
+  SELECT p.lang, p.w1 || ' ' || p.w2 AS phrase, p.f AS a, l.f AS l, r.f AS r, 1 AS k
+  FROM pairs p JOIN singles l ON p.lang = l.lang AND p.w1 = l.w1 JOIN singles r ON p.lang = r.lang AND p.w2 = r.w1
+  LEFT JOIN around o ON p.lang = o.lang AND p.w1 = o.w1 AND p.w2 = o.w2 WHERE o.f IS NULL OR 100 * o.f < 50 * p.f
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, l.f, r.f, 1
+  FROM triples t JOIN singles l ON t.lang = l.lang AND t.w1 = l.w1 JOIN pairs r ON t.lang = r.lang AND t.w2 = r.w1 AND t.w3 = r.w2
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, l.f, r.f, 2
+  FROM triples t JOIN pairs l ON t.lang = l.lang AND t.w1 = l.w1 AND t.w2 = l.w2 JOIN singles r ON t.lang = r.lang AND t.w3 = r.w1),
+scored AS (SELECT *, (1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS score FROM cuts),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+OP13 = f"""
+WITH texts AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents),
+groups AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM texts JOIN groups USING (t)
+"""
+
 ORACLES = {"op2_line_dedup": OP2, "op3_quality_rules": OP3, "op6_near_duplicates": OP6, "op7_chat_formatting": OP7,
-           "op9_decontamination": OP9}
+           "op9_decontamination": OP9, "op11_turn_repair": OP11, "op12_collocations": OP12, "op13_exact_dedup": OP13}

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtide.llm.oracles import ORACLES  # noqa: F401
-from flowtide.llm import chat_events, credentials, decontaminate, html_regions, line_quality, line_runs, near_dups, packing, sharding, toxicity
+from flowtide.llm import (
+    chat_events, collocations, credentials, decontaminate, fingerprints, html_regions, line_quality, line_runs, near_dups, packing, sharding,
+    toxicity, turn_repair)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,7 +80,26 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_regions.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    got = turn_repair.repair_conversations(turn_repair.damage(turns))
+    # Conversations that lost all their rows stand for themselves.
+    every = turns.select(F.col("conv_id").cast("bigint").alias("conv_id")).distinct().withColumnRenamed("conv_id", "every")
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(got, F.col("every").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("every").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(table(spark, sf_dir, "documents"), least=10, percent=50, top=2000)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_line_dedup, op3_quality_rules, op4_best_fit_packing, op5_toxicity, op6_near_duplicates, op7_chat_formatting,
-    op8_secret_scan, op9_decontamination, op10_html_extraction)}
+    op8_secret_scan, op9_decontamination, op10_html_extraction, op11_turn_repair, op12_collocations, op13_exact_dedup)}
 
