@@ -1,15 +1,17 @@
 """Phrases of two and three words that stand together more often than their parts would, counted by double-array tries.
 
-Three passes over the texts, each cut into portions of a bounded number of words whose distinct words have numbers:
+The texts are split once and stored as portions: the distinct words of about ``PORTION`` words, and a number for every
+word of the text. Three passes read them:
 
 1. Words are counted, and every pair and triple adds to one of ``2**BUCKET_BITS`` hashed counters. A portion sends its
    counters in ranges, as Golomb-coded numbers; a range is summed in one place and becomes a bitmap of the counters that
-   reach the least frequency.
+   reach the least frequency. (The pass that writes the portions.)
 2. A phrase can only be frequent where its counter and those of all pairs in it are (the Apriori rule; a counter never
    counts too little). What passes is a candidate.
-3. The candidates are split into blocks of about ``BLOCK_PHRASES``; every block becomes a double-array trie in a task of
-   its own. ``BLOCKS_A_SCAN`` tries at a time are broadcast, all text positions advance through a trie together, and
-   the accepting states are counted; the portions' counts are added up by Spark.
+3. The candidates are split into blocks of about ``BLOCK_PHRASES`` by their first word, a first word of very many phrases
+   over several blocks; every block becomes a double-array trie in a task of its own. ``BLOCKS_A_SCAN`` tries at a time
+   are broadcast, all text positions advance through a trie together, and the accepting states are counted; the
+   portions' counts are added up by block.
 
 What is broadcast has a fixed size: two bitmaps of ``2**BUCKET_BITS`` bits, and so many blocks. With more text the
 bitmaps let more candidates pass, which costs blocks and changes no count.
@@ -21,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,11 +34,15 @@ from flowtide.llm.shingles import mix
 from flowtide.llm.spark_help import Shelf, buckets_for, cut
 
 BUCKET_BITS, RANGE_BITS = 26, 20
-BLOCK_PHRASES, BLOCKS_A_SCAN = 200_000, 4
+BLOCK_PHRASES, BLOCKS_A_SCAN = 150_000, 2
 #: Words of a portion, about; bounds a task's memory.
-PORTION = 2_000_000
+PORTION = 1_500_000
 #: Bytes of a text that are split at once; the cut lies at the end of a piece.
-SLICE = 4_000_000
+SLICE = 1_000_000
+#: Word numbers of a portion have so many bits, so that three fit into one integer; a giant piece may need more.
+_BITS = 21
+#: Longer words stand in a trie's list by their hash.
+_LONG = 64
 #: The counts of a portion are sent up to this.
 _MOST = 65_535
 
@@ -103,23 +110,24 @@ def _counters(lang: str, words: list[bytes], numbers: np.ndarray):
     with np.errstate(over="ignore"):
         pair = mix(hashes[:-1] * _STEP + hashes[1:])
         triple = mix(pair[:-1] * _STEP + hashes[2:])
-    return two, three, (pair >> shift).astype(np.int64), (triple >> shift).astype(np.int64)
+    return two, three, (pair >> shift).astype(np.uint32), (triple >> shift).astype(np.uint32)
 
 
-_SEEN = "lang string, word binary, count bigint, kind int, range int, entries int, shift int, code binary, extra binary"
+_SEEN = ("lang string, words array<binary>, counts array<bigint>, numbers binary, kind int, range int, entries int, shift int, code binary, "
+         "extra binary")
 
 
 def _seen(batches):
-    """Word counts, and the counters of pairs and triples by range."""
-    types = {"lang": pa.string(), "word": pa.binary(), "count": pa.int64(), "kind": pa.int32(), "range": pa.int32(), "entries": pa.int32(),
-             "shift": pa.int32(), "code": pa.binary(), "extra": pa.binary()}
+    """Portions with the counts of their words, and the counters of their pairs and triples by range."""
+    types = {"lang": pa.string(), "words": pa.list_(pa.binary()), "counts": pa.list_(pa.int64()), "numbers": pa.binary(), "kind": pa.int32(),
+             "range": pa.int32(), "entries": pa.int32(), "shift": pa.int32(), "code": pa.binary(), "extra": pa.binary()}
 
     def made(columns: dict, rows: int):
         return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in types.items()], list(types))
 
     for lang, words, numbers in _portions(batches):
         counts = np.bincount(numbers, minlength=len(words))
-        yield made({"lang": [lang] * (len(words) - 1), "word": words[1:], "count": counts[1:]}, len(words) - 1)
+        yield made({"lang": [lang], "words": [words], "counts": [counts], "numbers": [numbers.tobytes()]}, 1)
         if len(numbers) < 3:
             continue
         two, three, pair, triple = _counters(lang, words, numbers)
@@ -128,7 +136,7 @@ def _seen(batches):
             where, times = np.unique(at, return_counts=True)
             edges = np.searchsorted(where, np.arange((1 << BUCKET_BITS - RANGE_BITS) + 1) << RANGE_BITS)
             for k in np.flatnonzero(np.diff(edges)):
-                ids, n = where[edges[k] : edges[k + 1]] - (int(k) << RANGE_BITS), times[edges[k] : edges[k + 1]]
+                ids, n = where[edges[k] : edges[k + 1]] - np.uint32(int(k) << RANGE_BITS), times[edges[k] : edges[k + 1]]
                 shift, code = golomb_encode(ids.astype(np.uint64))
                 more = np.flatnonzero(n > 1)
                 # Most counts are 1; the others follow as (place in the list, count).
@@ -138,6 +146,13 @@ def _seen(batches):
         yield made(rows, len(rows["kind"]))
 
 
+def _stored(batches):
+    """The portions that ``_seen`` wrote; the words as an Arrow array."""
+    for batch in batches:
+        for lang, words, numbers in zip(*(batch.column(k) for k in range(3))):
+            yield lang.as_py(), words.values, np.frombuffer(numbers.as_py(), np.int32)
+
+
 def _heavy(least: int):
     """Counters of some ranges, summed: one bitmap a range. A range takes 4 bytes a counter while it is summed."""
 
@@ -159,6 +174,18 @@ def _heavy(least: int):
     return run
 
 
+def _distinct(size: int, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct rows of two or three columns of numbers below ``size``."""
+    if size > 1 << _BITS:
+        return tuple(np.unique(np.stack(columns), axis=1))
+    key = columns[0].astype(np.int64)
+    for c in columns[1:]:
+        key = key << _BITS | c
+    key.sort()
+    key, low = key[np.diff(key, prepend=-1) > 0], (1 << _BITS) - 1
+    return tuple(key >> _BITS * (len(columns) - 1 - k) & low for k in range(len(columns)))
+
+
 def _candidates(bitmaps):
     """Distinct phrases of a portion whose counters, and those of the pairs in them, are heavy."""
 
@@ -166,31 +193,24 @@ def _candidates(bitmaps):
         return (bitmaps.value[kind][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
     def run(batches):
-        for lang, words, numbers in _portions(batches):
+        for lang, text, numbers in _stored(batches):
             if len(numbers) < 3:
                 continue
-            two, three, pair, triple = _counters(lang, words, numbers)
+            two, three, pair, triple = _counters(lang, text.to_pylist(), numbers)
             two[two] = heavy(2, pair[two])
             three &= two[:-1] & two[1:]
             three[three] = heavy(3, triple[three])
-            numbers, size = numbers.astype(np.int64), len(words)
-            pairs, which = np.unique((numbers[:-1] * size + numbers[1:])[two], return_inverse=True)
-            place = np.zeros(len(two), np.int64)
-            place[two] = which
-            triples = np.unique((place[:-1] * size + numbers[2:])[three])
-            text = pa.array(words, pa.binary())
-            for first, last in ((pairs, None), (pairs[triples // size], triples % size)):
-                third = pa.nulls(len(first), pa.binary()) if last is None else text.take(pa.array(last))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(first), pa.string()), text.take(pa.array(first // size)), text.take(pa.array(first % size)), third],
-                    ["lang", "w1", "w2", "w3"])
+            for found in (_distinct(len(text), numbers[:-1][two], numbers[1:][two]),
+                          _distinct(len(text), numbers[:-2][three], numbers[1:-1][three], numbers[2:][three])):
+                columns = [text.take(pa.array(c)) for c in found] + [pa.nulls(len(found[0]), pa.binary())] * (3 - len(found))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found[0]), pa.string()), *columns], ["lang", "w1", "w2", "w3"])
 
     return run
 
 
 def _key(word: bytes) -> bytes:
     """What stands for a word in a trie's list of words: a long word's 128-bit hash, behind a byte no word holds."""
-    return word if len(word) <= 64 else b"\xff" + hashlib.blake2b(word, digest_size=16).digest()
+    return word if len(word) <= _LONG else b"\xff" + hashlib.blake2b(word, digest_size=16).digest()
 
 
 _TRIE = ("block bigint, number bigint, lang string, w1 binary, w2 binary, w3 binary, words binary, lengths binary, langs array<string>, "
@@ -218,28 +238,47 @@ def _build(block: pa.Table) -> pa.Table:
 
 
 def _count(tries):
-    """(block, number, count) of the phrases that stand in the task's texts."""
+    """(block, numbers, counts) of the phrases that stand in the task's portions."""
 
     def run(batches):
         known = []
         for t in tries.value:
-            words, at = {}, 0
-            for i, n in enumerate(t["lengths"]):
-                words[t["words"][at : at + n]] = i + 1
-                at += n
+            ends = np.cumsum(np.frombuffer(t["lengths"], np.uint8), dtype=np.int32)
+            words = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(np.int32(0), ends)), pa.py_buffer(t["words"])])
             trie = DoubleArray.of(t)
             known.append((t["block"], words, {lang: k for k, lang in enumerate(t["langs"])}, trie, np.zeros(len(trie.ends), np.int64)))
-        for lang, words, numbers in _portions(batches):
-            keys = [_key(w) for w in words]
+        for lang, words, numbers in _stored(batches):
+            if pc.max(pc.binary_length(words)).as_py() > _LONG:
+                words = pa.array([_key(w) for w in words.to_pylist()], pa.binary())
             for _, index, langs, trie, totals in known:
                 if lang in langs:
-                    own = np.fromiter((index.get(k, 0) for k in keys), np.int32, len(keys))
-                    own[0] = 0
-                    trie.count(langs[lang], own[numbers], 3, totals)
+                    own = pc.fill_null(pc.index_in(words, index), -1).to_numpy() + np.int32(1)
+                    trie.count(langs[lang], own, numbers, 3, totals)
         for block, _, _, _, totals in known:
             found = np.flatnonzero(totals)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.array(found), pa.array(totals[found])],
-                                             ["block", "number", "count"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int64()), pa.array([found.astype(np.uint32).tobytes()], pa.binary()), pa.array([totals[found].tobytes()], pa.binary())],
+                ["block", "numbers", "counts"])
+
+    return run
+
+
+def _summed(least: int):
+    """The tasks' counts of some blocks -> (block, number, f) with f >= ``least``."""
+
+    def run(batches):
+        sums = {}
+        for batch in batches:
+            for block, numbers, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                at = np.frombuffer(numbers, np.uint32)
+                total = sums.get(block, np.zeros(0, np.int64))
+                if len(at) and at[-1] >= len(total):
+                    total = np.concatenate([total, np.zeros(int(at[-1]) + 1 - len(total), np.int64)])
+                total[at] += np.frombuffer(counts, np.int64)
+                sums[block] = total
+        for block, total in sums.items():
+            found = np.flatnonzero(total >= least)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.array(found), pa.array(total[found])], ["block", "number", "f"])
 
     return run
 
@@ -249,7 +288,11 @@ def _frequencies(docs: DataFrame, shelf: Shelf, least: int) -> tuple[DataFrame,
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
     seen = shelf.put(texts.mapInArrow(_seen, _SEEN), "seen")
-    words = shelf.put(seen.where("word IS NOT NULL").groupBy("lang", "word").agg(F.sum("count").alias("f")), "words")
+    portions = seen.where("numbers IS NOT NULL").select("lang", "words", "numbers")
+    counted = seen.where("numbers IS NOT NULL").select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
+    # The first word of a portion is the end of a piece.
+    words = shelf.put(counted.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f")).where(
+        F.col("word") != F.lit(".").cast("binary")), "words")
     ranges = seen.where("code IS NOT NULL").select("kind", "range", "entries", "shift", "code", "extra")
     heavy = ranges.repartition("kind", "range").mapInArrow(_heavy(least), "kind int, range int, bits binary")
     bitmaps = {k: np.zeros(1 << BUCKET_BITS - 3, np.uint8) for k in (2, 3)}
@@ -257,22 +300,24 @@ def _frequencies(docs: DataFrame, shelf: Shelf, least: int) -> tuple[DataFrame,
     for r in heavy.toLocalIterator():
         bitmaps[r.kind][r.range * size : (r.range + 1) * size] = np.frombuffer(r.bits, np.uint8)
     sent = spark.sparkContext.broadcast(bitmaps)
-    shelf.remove("seen")
+    del bitmaps
+    found = shelf.put(portions.mapInArrow(_candidates(sent), "lang string, w1 binary, w2 binary, w3 binary").distinct(), "candidates")
+    sent.destroy()
 
-    found = shelf.put(texts.mapInArrow(_candidates(sent), "lang string, w1 binary, w2 binary, w3 binary").distinct(), "candidates")
-    sent.unpersist()
     blocks = buckets_for(found.count(), BLOCK_PHRASES)
-    tries = shelf.put(found.withColumn("block", F.pmod(F.xxhash64("lang", "w1", "w2", "w3"), F.lit(blocks))).groupBy("block").applyInArrow(
-        _build, _TRIE), "tries")
-    counted = []
+    wide = found.groupBy("lang", "w1").agg(F.ceil(4 * F.count("*") / BLOCK_PHRASES).alias("over"))
+    blocked = found.join(wide, ["lang", "w1"]).withColumn(
+        "block", F.pmod(F.xxhash64("lang", "w1", F.pmod(F.xxhash64("w2", "w3"), "over")), F.lit(blocks))).drop("over")
+    tries = shelf.put(blocked.groupBy("block").applyInArrow(_build, _TRIE), "tries")
+    done = []
     for start in range(0, blocks, BLOCKS_A_SCAN):
         some = tries.where(F.col("base").isNotNull() & F.col("block").between(start, start + BLOCKS_A_SCAN - 1))
         sent = spark.sparkContext.broadcast([r.asDict() for r in some.drop("number", "lang", "w1", "w2", "w3").toLocalIterator()])
-        shelf.put(texts.mapInArrow(_count(sent), "block bigint, number bigint, count bigint").groupBy("block", "number").agg(
-            F.sum("count").alias("f")).where(F.col("f") >= least), f"counts-{start}")
-        counted.append(f"counts-{start}")
-        sent.unpersist()
-    counts = shelf.read("block bigint, number bigint, f bigint", *counted)
+        counts = portions.mapInArrow(_count(sent), "block bigint, numbers binary, counts binary").repartition("block")
+        shelf.put(counts.mapInArrow(_summed(least), "block bigint, number bigint, f bigint"), f"counts-{start}")
+        done.append(f"counts-{start}")
+        sent.destroy()
+    counts = shelf.read("block bigint, number bigint, f bigint", *done)
     phrases = tries.where("number IS NOT NULL").select("block", "number", "lang", "w1", "w2", "w3").join(counts, ["block", "number"])
     return words, shelf.put(phrases.select("lang", "w1", "w2", "w3", "f"), "phrases")
 

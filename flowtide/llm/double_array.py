@@ -119,22 +119,32 @@ class DoubleArray:
         alive = np.flatnonzero(self.check[to] == states)
         return alive, to[alive]
 
-    def count(self, root: int, words: np.ndarray, width: int, totals: np.ndarray) -> None:
-        """Adds to ``totals`` (by phrase) how often each phrase stands in ``words``; 0 is no word of any phrase.
-
-        All positions advance together, digit by digit; those that fall off are dropped.
+    def _word(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which states have the word (0 is none), and where they lead: a step for either digit."""
+        first, to = self._step(states, words >> self.bits)
+        second, to = self._step(to, words[first] & ((1 << self.bits) - 1))
+        return first[second], to
+
+    def count(self, root: int, own: np.ndarray, numbers: np.ndarray, width: int, totals: np.ndarray) -> None:
+        """Adds to ``totals`` (by phrase) how often each phrase stands in a text.
+
+        The text is given as ``numbers``, and ``own`` turns a number into the trie's word, or 0 where no phrase has it.
+        The first word's steps are taken once a distinct word; then all positions advance together, digit by digit, and
+        those that fall off are dropped.
         """
-        low = np.int32((1 << self.bits) - 1)
-        at = np.flatnonzero(words)
-        states = np.full(len(at), self.roots[root], np.int32)
+        start = np.zeros(len(own), np.int32)
+        known = np.flatnonzero(own)
+        alive, to = self._word(np.full(len(known), self.roots[root], np.int32), own[known])
+        start[known[alive]] = to
+        states = start[numbers]
+        at = np.flatnonzero(states)
+        states = states[at]
         for k in range(width):
             if k:
-                inside = at + k < len(words)
+                inside = at + k < len(numbers)
                 at, states = at[inside], states[inside]
-            alive, states = self._step(states, words[at + k] >> self.bits)
-            at = at[alive]
-            alive, states = self._step(states, words[at + k] & low)
-            at = at[alive]
+                alive, states = self._word(states, own[numbers[at + k]])
+                at = at[alive]
             hits = self.accept[states]
             found = np.bincount(hits[hits >= 0])
             totals[: len(found)] += found

@@ -238,7 +238,7 @@ def test_double_array_counts_what_plain_counting_does():
         text = (rng.zipf(1.3, 20_000) % n_words + 1).astype(np.int32)
         text[rng.random(len(text)) < 0.1] = 0
         totals = np.zeros(len(both), np.int64)
-        trie.count(1, text, 3, totals)
+        trie.count(1, np.arange(n_words + 1, dtype=np.int32), text, 3, totals)
         seq, seen = text.tolist(), Counter()
         for i in range(len(seq)):
             for k in (2, 3):
