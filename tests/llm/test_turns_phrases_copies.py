@@ -182,8 +182,11 @@ def plain_phrases(docs, least, percent, top):
                 f[lang].update(tuple(w[i:i + k]) for i in range(len(w) - k + 1))
     for lang, count in f.items():
         some = {p: a for p, a in count.items() if len(p) > 1 and a >= least}
-        kept = {p: a for p, a in some.items() if not any(
-            len(q) > len(p) and 100 * b >= percent * a and any(q[i:i + len(p)] == p for i in range(len(q) - len(p) + 1)) for q, b in some.items())}
+        around = Counter()
+        for q, b in some.items():
+            for p in (q[:2], q[1:]) if len(q) == 3 else ():
+                around[p] = max(around[p], b)
+        kept = {p: a for p, a in some.items() if p not in around or 100 * around[p] < percent * a}
         scored = []
         for p, a in kept.items():
             s, k = min((10**6 * a * a // (count[p[:k]] * count[p[k:]]), k) for k in range(1, len(p)))
