@@ -36,7 +36,7 @@ from flowtide.llm.spark_help import Shelf, buckets_for, cut
 BUCKET_BITS, RANGE_BITS = 26, 20
 BLOCK_PHRASES, BLOCKS_A_SCAN = 150_000, 2
 #: Words of a portion, about; bounds a task's memory.
-PORTION = 1_500_000
+PORTION = 700_000
 #: Bytes of a text that are split at once; the cut lies at the end of a piece.
 SLICE = 1_000_000
 #: Word numbers of a portion have so many bits, so that three fit into one integer; a giant piece may need more.
@@ -154,22 +154,29 @@ def _stored(batches):
 
 
 def _heavy(least: int):
-    """Counters of some ranges, summed: one bitmap a range. A range takes 4 bytes a counter while it is summed."""
+    """Counters sorted by range, summed: one bitmap a range."""
 
     def run(batches):
-        sums = {}
+        at, total = None, None
+
+        def closed():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())],
+                ["kind", "range", "bits"])
+
         for batch in batches:
-            for kind, part, entries, shift, code, extra in zip(*(c.to_pylist() for c in batch.columns)):
-                times = np.ones(entries, np.uint32)
+            for kind, part, entries, shift, code, extra in zip(*batch.columns):
+                if (kind.as_py(), part.as_py()) != at:
+                    if at:
+                        yield closed()
+                    at, total = (kind.as_py(), part.as_py()), np.zeros(1 << RANGE_BITS, np.uint32)
+                times, extra = np.ones(entries.as_py(), np.uint32), extra.as_py()
                 m = len(extra) // 6
                 times[np.frombuffer(extra, np.uint32, m)] = np.frombuffer(extra, np.uint16, m, 4 * m)
-                total = sums.setdefault((kind, part), np.zeros(1 << RANGE_BITS, np.uint32))
-                at = golomb_decode(entries, shift, code).astype(np.int64)
-                total[at] = np.minimum(total[at] + times, least)
-        for (kind, part), total in sums.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())],
-                ["kind", "range", "bits"])
+                places = golomb_decode(entries.as_py(), shift.as_py(), code.as_py()).astype(np.int64)
+                total[places] = np.minimum(total[places] + times, least)
+        if at:
+            yield closed()
 
     return run
 
@@ -217,24 +224,29 @@ _TRIE = ("block bigint, number bigint, lang string, w1 binary, w2 binary, w3 bin
          "base binary, `check` binary, ends binary, roots binary, bits int")
 
 
+def _keys(words: pa.Array) -> pa.Array:
+    longest = pc.max(pc.binary_length(words)).as_py()
+    return words if longest is None or longest <= _LONG else pa.array([None if w is None else _key(w) for w in words.to_pylist()], pa.binary())
+
+
 def _build(block: pa.Table) -> pa.Table:
     """The phrases of a block with their numbers, and a last row with the trie."""
-    keys = [[_key(w) if w is not None else None for w in block.column(c).to_pylist()] for c in ("w1", "w2", "w3")]
-    words = sorted({k for column in keys for k in column if k is not None})
-    number = {k: i + 1 for i, k in enumerate(words)} | {None: 0}
-    langs, root = np.unique(np.array(block.column("lang").to_pylist(), object), return_inverse=True)
-    phrases = np.array([[number[k] for k in column] for column in keys], np.int64).T
-    parts = DoubleArray.build(root, phrases, len(words)).parts()
-    n = len(block)
-    rest = {"words": b"".join(words), "lengths": np.fromiter(map(len, words), np.uint8, len(words)).tobytes(), "langs": list(langs)} | parts
-    out = {"block": block.column("block").to_pylist() + [block.column("block")[0].as_py()], "number": [*range(n), None]}
-    for c in ("lang", "w1", "w2", "w3"):
-        out[c] = block.column(c).to_pylist() + [None]
-    for c, v in rest.items():
-        out[c] = [None] * n + [v]
+    keys = [_keys(block.column(c).combine_chunks()) for c in ("w1", "w2", "w3")]
+    words = pc.unique(pa.concat_arrays(keys)).drop_null()
+    lang = block.column("lang").combine_chunks().dictionary_encode()
+    number = lambda column: pc.fill_null(pc.index_in(column, words, skip_nulls=True), -1).to_numpy().astype(np.int64) + 1
+    trie = DoubleArray.build(lang.indices.to_numpy().astype(np.int64), np.stack([number(k) for k in keys], axis=1), len(words))
+    lengths = pc.binary_length(words).to_numpy().astype(np.uint8).tobytes()
+    last = {"block": block.column("block")[0].as_py(), "words": b"".join(words.to_pylist()), "lengths": lengths,
+            "langs": lang.dictionary.to_pylist()} | trie.parts()
     kinds = {"block": pa.int64(), "number": pa.int64(), "lang": pa.string(), "langs": pa.list_(pa.string()), "bits": pa.int32()}
-    order = [c.split()[0].strip("`") for c in _TRIE.split(", ")]
-    return pa.table({c: pa.array(out[c], kinds.get(c, pa.binary())) for c in order})
+    n = len(block)
+    own = {c: block.column(c).combine_chunks() for c in ("block", "lang", "w1", "w2", "w3")} | {"number": pa.array(np.arange(n))}
+    parts = {}
+    for c in (x.split()[0].strip("`") for x in _TRIE.split(", ")):
+        kind = kinds.get(c, pa.binary())
+        parts[c] = pa.chunked_array([own.get(c, pa.nulls(n, kind)).cast(kind), pa.array([last.get(c)], kind)])
+    return pa.table(parts)
 
 
 def _count(tries):
@@ -248,8 +260,7 @@ def _count(tries):
             trie = DoubleArray.of(t)
             known.append((t["block"], words, {lang: k for k, lang in enumerate(t["langs"])}, trie, np.zeros(len(trie.ends), np.int64)))
         for lang, words, numbers in _stored(batches):
-            if pc.max(pc.binary_length(words)).as_py() > _LONG:
-                words = pa.array([_key(w) for w in words.to_pylist()], pa.binary())
+            words = _keys(words)
             for _, index, langs, trie, totals in known:
                 if lang in langs:
                     own = pc.fill_null(pc.index_in(words, index), -1).to_numpy() + np.int32(1)
@@ -264,21 +275,27 @@ def _count(tries):
 
 
 def _summed(least: int):
-    """The tasks' counts of some blocks -> (block, number, f) with f >= ``least``."""
+    """The tasks' counts sorted by block -> (block, number, f) with f >= ``least``."""
 
     def run(batches):
-        sums = {}
-        for batch in batches:
-            for block, numbers, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                at = np.frombuffer(numbers, np.uint32)
-                total = sums.get(block, np.zeros(0, np.int64))
-                if len(at) and at[-1] >= len(total):
-                    total = np.concatenate([total, np.zeros(int(at[-1]) + 1 - len(total), np.int64)])
-                total[at] += np.frombuffer(counts, np.int64)
-                sums[block] = total
-        for block, total in sums.items():
+        at, total = None, np.zeros(0, np.int64)
+
+        def closed():
             found = np.flatnonzero(total >= least)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.array(found), pa.array(total[found])], ["block", "number", "f"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), at)), pa.array(found), pa.array(total[found])], ["block", "number", "f"])
+
+        for batch in batches:
+            for block, numbers, counts in zip(*batch.columns):
+                if block.as_py() != at:
+                    if at is not None:
+                        yield closed()
+                    at, total = block.as_py(), np.zeros(0, np.int64)
+                places = np.frombuffer(numbers.as_py(), np.uint32)
+                if len(places) and places[-1] >= len(total):
+                    total = np.concatenate([total, np.zeros(int(places[-1]) + 1 - len(total), np.int64)])
+                total[places] += np.frombuffer(counts.as_py(), np.int64)
+        if at is not None:
+            yield closed()
 
     return run
 
@@ -294,7 +311,7 @@ def _frequencies(docs: DataFrame, shelf: Shelf, least: int) -> tuple[DataFrame,
     words = shelf.put(counted.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f")).where(
         F.col("word") != F.lit(".").cast("binary")), "words")
     ranges = seen.where("code IS NOT NULL").select("kind", "range", "entries", "shift", "code", "extra")
-    heavy = ranges.repartition("kind", "range").mapInArrow(_heavy(least), "kind int, range int, bits binary")
+    heavy = ranges.repartition("kind", "range").sortWithinPartitions("kind", "range").mapInArrow(_heavy(least), "kind int, range int, bits binary")
     bitmaps = {k: np.zeros(1 << BUCKET_BITS - 3, np.uint8) for k in (2, 3)}
     size = 1 << RANGE_BITS - 3
     for r in heavy.toLocalIterator():
@@ -313,7 +330,7 @@ def _frequencies(docs: DataFrame, shelf: Shelf, least: int) -> tuple[DataFrame,
     for start in range(0, blocks, BLOCKS_A_SCAN):
         some = tries.where(F.col("base").isNotNull() & F.col("block").between(start, start + BLOCKS_A_SCAN - 1))
         sent = spark.sparkContext.broadcast([r.asDict() for r in some.drop("number", "lang", "w1", "w2", "w3").toLocalIterator()])
-        counts = portions.mapInArrow(_count(sent), "block bigint, numbers binary, counts binary").repartition("block")
+        counts = portions.mapInArrow(_count(sent), "block bigint, numbers binary, counts binary").repartition("block").sortWithinPartitions("block")
         shelf.put(counts.mapInArrow(_summed(least), "block bigint, number bigint, f bigint"), f"counts-{start}")
         done.append(f"counts-{start}")
         sent.destroy()
