@@ -104,17 +104,31 @@ def policy_cascade(df: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFra
     Order: benign, infrastructure, port-scan evidence, flood volume, confidence, duplicate. Probe history
     holds every PortScan row past the infrastructure rule; burst history only confirmed rows.
     """
-    c = F.col
-    benign = c("prediction").eqNullSafe(BENIGN)
+    rows = mark_probes(df, cfg)
+    rows = rule_of(portscan_probe_count(rows, cfg.probe_window_us, F.col("_probes")), cfg)
+    return verdict_columns(alert_dedup(rows, cfg.dedup_window_us, F.col("_rule") == "confirmed"), cfg)
+
+
+def mark_probes(df: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
+    """First step of the cascade, row by row: adds ``_benign``, ``_infra`` and ``_probes`` (counts as a probe)."""
+    benign = F.col("prediction").eqNullSafe(BENIGN)
     rows = df.withColumns({"_benign": benign, "_infra": ~benign & infrastructure_rule(cfg)})
-    is_probe = ~c("_infra") & c("prediction").eqNullSafe("PortScan")
-    rows = portscan_probe_count(rows, cfg.probe_window_us, is_probe)
+    return rows.withColumn("_probes", ~F.col("_infra") & F.col("prediction").eqNullSafe("PortScan"))
+
+
+def rule_of(rows: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
+    """Second step, row by row, after ``distinct_targets`` is known: adds ``_rule``, the rule that decides."""
+    c = F.col
     few = F.coalesce(c("distinct_targets") < cfg.min_probes, F.lit(False))
     thin = ~c("_infra") & F.coalesce(c("prediction").isin("DoS", "DDoS"), F.lit(False)) & low_volume(cfg)
-    rows = rows.withColumn("_rule", F.when(c("_benign"), "benign").when(c("_infra"), "infrastructure")
+    return rows.withColumn("_rule", F.when(c("_benign"), "benign").when(c("_infra"), "infrastructure")
                            .when(few, "probes").when(thin, "volume")
                            .when(c("confidence") < cfg.confidence_threshold, "confidence").otherwise("confirmed"))
-    rows = alert_dedup(rows, cfg.dedup_window_us, c("_rule") == "confirmed")
+
+
+def verdict_columns(rows: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
+    """Last step, row by row, after ``is_duplicate`` is known."""
+    c = F.col
     rule, ok = c("_rule"), c("_rule") == "confirmed"
     port = c("destination_port").cast("string")
     # The texts of a verdict.
@@ -144,4 +158,4 @@ def policy_cascade(df: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFra
         "validation_note": note,
         "dedup_key": F.when(ok, F.struct(c("source_ip").alias("src"), c("destination_ip").alias("dst"),
                                          c("raw_prediction").alias("attack"))),
-    }).drop("_benign", "_infra", "_rule")
+    }).drop("_benign", "_infra", "_probes", "_rule")

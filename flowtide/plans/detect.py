@@ -35,6 +35,22 @@ def detect(packets: DataFrame, model: TrainedModel, flow_cfg: FlowConfig = FlowC
     return verdicts(as_scored_input(flow_features(packets, flow_cfg)), model, policy_cfg)
 
 
+def score_stream(packets: DataFrame, model: TrainedModel, flow_cfg: FlowConfig = FlowConfig(), policy_cfg: PolicyConfig = PolicyConfig(),
+                 watermark: str = "10 seconds") -> DataFrame:
+    """``detect`` on a stream, in one plan: packets -> flows -> scores -> cascade, three keyed states in a row.
+
+    A verdict comes out when the watermark is the idle timeout past the flow's end, because until then a flow that ended
+    earlier may still be open; from there on it equals the batch. ``id`` is of the key and the start, without the batch's
+    ``flow_seq``; flows of one key that start at the same microsecond share it. Late packets are dropped.
+    """
+    from flowtide.streaming.flows import stream_flows
+    from flowtide.streaming.verdicts import stream_cascade
+
+    flows = as_scored_input(stream_flows(packets, watermark, flow_cfg, chained=True).withColumn("flow_seq", F.lit(0)))
+    scored = score_flows(flows, model, (*(c for c in _FLOW if c != "features"), "seen_at")).drop("raw_prediction", "status")
+    return stream_cascade(scored, policy_cfg, flow_cfg.idle_us).withColumns({"mode": F.lit("LIVE"), "batch": F.lit(False)})
+
+
 def verdicts(flows: DataFrame, model: TrainedModel, policy_cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
     """``detect`` from ``as_scored_input`` rows on."""
     scored = materialize(score_flows(flows, model, _FLOW).drop("raw_prediction", "status"))

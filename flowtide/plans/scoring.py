@@ -20,14 +20,11 @@ def score_batch(df: DataFrame, model: TrainedModel, keep: tuple[str, ...] = ())
 
 
 def score_flows(features: DataFrame, model: TrainedModel, keep: tuple[str, ...]) -> DataFrame:
-    """``flow_features`` rows -> ``keep`` plus the prediction columns."""
+    """``flow_features`` rows, of a batch or a stream -> ``keep`` plus the prediction columns."""
     renamed = features.select(*keep, *[F.col(c).alias(n) for c, n in zip(FEATURE_COLUMNS, FEATURE_NAMES)])
     return _predictions(apply_model(renamed, model, keep), model)
 
 
-score_stream = score_flows
-
-
 def _predictions(scored: DataFrame, model: TrainedModel) -> DataFrame:
     done = scored.withColumns({"prediction": normalize_label(F.col("raw_prediction")),
                                "confidence": max_probability(F.col("_p"))}).drop("_p")

@@ -18,6 +18,7 @@ from flowtide.config import FlowConfig
 from flowtide.functions.network import KEY_COLUMNS, packet_defaults, with_flow_key
 from flowtide.operators.features import derive_features
 from flowtide.schema import TCP_FLAGS
+from flowtide.streaming.verdicts import passed_on
 
 _MOMENTS = ["fl", "bl", "al", "gap", "fg", "bg", "act", "idl"]
 _SUMS = ["n_fwd", "n_bwd", "len_fwd", "len_bwd", "fg_sum", "bg_sum", "hdr_fwd", "hdr_bwd", "data_fwd",
@@ -50,8 +51,8 @@ def _add(m: list, x: float) -> None:
 class FlowProcessor(StatefulProcessor):
     """State: packets ahead of the watermark, and the sums of the open flow."""
 
-    def __init__(self, cfg: FlowConfig):
-        self.cfg = cfg
+    def __init__(self, cfg: FlowConfig, chained: bool = False):
+        self.cfg, self.chained = cfg, chained
 
     def init(self, handle):
         self.handle = handle
@@ -82,15 +83,15 @@ class FlowProcessor(StatefulProcessor):
             aged = flow is not None and p["ts_us"] - flow["start_us"] >= self.cfg.active_us
             if flow is not None and (p["ts_us"] - flow["last_us"] >= self.cfg.idle_us
                                      or (aged and self.cfg.active_rule == "exclusive")):
-                yield self._emit(key, flow)
+                yield self._emit(key, flow, mark)
                 flow = None
             flow = self._take(flow, p)
             if p["tcp_flags"] & 5 or (self.cfg.active_rule == "inclusive"
                                       and p["ts_us"] - flow["start_us"] >= self.cfg.active_us):
-                yield self._emit(key, flow)
+                yield self._emit(key, flow, mark)
                 flow = None
         if flow is not None and mark >= flow["last_us"] + self.cfg.idle_us:
-            yield self._emit(key, flow)
+            yield self._emit(key, flow, mark)
             flow = None
         if flow is None:
             self.open.clear()
@@ -142,8 +143,10 @@ class FlowProcessor(StatefulProcessor):
                 flow["seg"] = p["header_len"]
         return flow
 
-    @staticmethod
-    def _emit(key, flow):
+    def out(self) -> T.StructType:
+        return T.StructType([*_OUT.fields, T.StructField("seen_at", T.TimestampType())]) if self.chained else _OUT
+
+    def _emit(self, key, flow, mark):
         seg = flow["seg"]
         out = dict(zip(KEY_COLUMNS, key))
         out.update(flow_start_us=flow["start_us"], end_us=flow["last_us"], last_island_us=flow["island_us"],
@@ -154,20 +157,26 @@ class FlowProcessor(StatefulProcessor):
             n, mean, m2, low, high = flow[m]
             stats = (high, low, mean, math.sqrt(max(m2, 0.0) / n)) if n else (None,) * 4
             out.update(zip((f"{m}_max", f"{m}_min", f"{m}_mean", f"{m}_std"), stats))
-        return Row(**{f: out[f] for f in _OUT.fieldNames()})
+        if self.chained:
+            out["seen_at"] = passed_on(mark // 1000)
+        return Row(**{f: out[f] for f in self.out().fieldNames()})
 
 
-def stream_flows(packets: DataFrame, watermark: str = "10 seconds", cfg: FlowConfig = FlowConfig()) -> DataFrame:
+def stream_flows(packets: DataFrame, watermark: str = "10 seconds", cfg: FlowConfig = FlowConfig(), chained: bool = False) -> DataFrame:
     """Streaming packets -> finished flows with all features (as ``flow_features``, without ``flow_seq``).
 
-    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``). ``chained`` adds ``seen_at``, the
+    event time of the flows for a stateful step behind this one: a flow comes out when the watermark is at most the idle
+    timeout past its last packet, so its own time can't be that.
     """
     keyed = with_flow_key(packet_defaults(packets.where("ts IS NOT NULL"))).withWatermark("ts", watermark)
     ints = [F.col(n).cast("bigint").alias(n) for n in _PACKET if n not in ("ts_us", "is_lo")]
     narrow = keyed.select(*KEY_COLUMNS, "ts", F.unix_micros("ts").alias("ts_us"), "is_lo", *ints)
+    processor = FlowProcessor(cfg, chained)
     sums = narrow.groupBy(*KEY_COLUMNS).transformWithState(
-        statefulProcessor=FlowProcessor(cfg), outputStructType=_OUT, outputMode="Append", timeMode="EventTime")
-    return derive_features(sums, [*KEY_COLUMNS, "flow_start_us"])
+        statefulProcessor=processor, outputStructType=processor.out(), outputMode="Append", timeMode="EventTime",
+        eventTimeColumnName="seen_at" if chained else "")
+    return derive_features(sums, [*KEY_COLUMNS, "flow_start_us", *(["seen_at"] if chained else [])])
 
 
 class LateRows(StreamingQueryListener):
