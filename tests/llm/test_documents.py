@@ -1,5 +1,6 @@
 """Document operators against plain versions, on the small tables and on edge cases."""
 
+import functools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -93,10 +94,15 @@ def test_common_lines_leave_the_text(spark):
 # Packing ----------------------------------------------------------------------------------------------------------
 
 
-def tokens(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(tokenizer_path()).encode(text or "", add_special_tokens=False).ids + [2]
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def tokens(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [2]
 
 
 @pytest.mark.parametrize("frame", ["edge", "odd", "documents", "empty"])
