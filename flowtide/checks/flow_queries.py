@@ -211,3 +211,45 @@ def q_merge_directions(spark, packets):
     lengths = packets.select("src_ip", "dst_ip", "pkt_len", (F.col("seq") % 3 != 0).alias("fwd"))
     both = merge_directions(lengths.where("fwd").drop("fwd"), lengths.where("not fwd").drop("fwd"))
     return both.groupBy("src_ip", "dst_ip", "pkt_len").agg(F.count("*").alias("n"))
+
+
+# Frames made of the packets: by ``seq``, up to two VLAN tags, every fifth IPv6, every other of these with two extension headers.
+_SIX, _EXTENDED = "seq % 5 = 0", "seq % 10 = 0"
+
+
+def frames_of(packets):
+    """``seq``, ``ts`` and the Ethernet frame of every packet."""
+    h = lambda c, n: F.lpad(F.hex(c if not isinstance(c, (str, int)) else F.expr(str(c))), 2 * n, "0")
+    octets = lambda c: F.concat(*[h(F.split(c, r"\.")[i].cast("bigint"), 1) for i in range(4)])
+    six = lambda c: F.concat(F.lit("20010db8" + "00" * 8), octets(c))
+    proto = h("CASE protocol WHEN 'tcp' THEN 6 ELSE 17 END", 1)
+    ports = F.concat(h("src_port", 2), h("dst_port", 2))
+    tcp = F.concat(ports, F.lit("00" * 8 + "50"), h("tcp_flags", 1), h("win_size", 2), F.lit("0000" * 2))
+    udp = F.concat(ports, h("8 + payload_len", 2), F.lit("0000"))
+    body = F.concat(F.when(F.col("protocol") == "tcp", tcp).otherwise(udp), F.repeat(F.lit("ab"), F.col("payload_len")))
+    size = "CASE protocol WHEN 'tcp' THEN 20 ELSE 8 END + payload_len"
+    four = F.concat(F.lit("08004500"), h(f"20 + {size}", 2), F.lit("0001000040"), proto, F.lit("0000"), octets("src_ip"), octets("dst_ip"))
+    more = F.concat(F.lit("3c00" + "00" * 6), proto, F.lit("01" + "00" * 14))
+    long = F.expr(_EXTENDED)
+    six_head = F.concat(F.lit("86dd60000000"), h(f"CASE WHEN {_EXTENDED} THEN 24 ELSE 0 END + {size}", 2), F.when(long, F.lit("00")).otherwise(proto),
+                        F.lit("40"), six("src_ip"), six("dst_ip"), F.when(long, more).otherwise(F.lit("")))
+    tags = F.repeat(F.lit("81000005"), F.expr("CAST(seq % 3 AS int)"))
+    return packets.select("seq", "ts", F.unhex(F.concat(F.lit("00" * 12), tags, F.when(F.expr(_SIX), six_head).otherwise(four), body)).alias("frame"))
+
+
+_V6 = """concat('2001:db8::', lower(to_hex(cast(split_part({0}, '.', 1) AS int) * 256 + cast(split_part({0}, '.', 2) AS int))), ':',
+    lower(to_hex(cast(split_part({0}, '.', 3) AS int) * 256 + cast(split_part({0}, '.', 4) AS int))))"""
+
+
+@query("decode_frames", "packets", sql=f"""WITH p AS (SELECT *, CASE WHEN {_EXTENDED} THEN 64 WHEN {_SIX} THEN 40 ELSE 20 END AS ip_header,
+    CASE protocol WHEN 'tcp' THEN 20 ELSE 8 END AS l4 FROM $packets)
+  SELECT epoch_us(ts) AS us, CASE WHEN {_SIX} THEN {_V6.format("src_ip")} ELSE src_ip END AS src_ip,
+         CASE WHEN {_SIX} THEN {_V6.format("dst_ip")} ELSE dst_ip END AS dst_ip, src_port, dst_port, upper(protocol) AS protocol,
+         14 + 4 * (seq % 3) + ip_header + l4 + payload_len AS pkt_len, CASE protocol WHEN 'tcp' THEN tcp_flags ELSE 0 END AS tcp_flags,
+         ip_header + l4 AS header_len, CASE protocol WHEN 'tcp' THEN win_size ELSE 0 END AS win_size, payload_len FROM p""")
+def q_decode_frames(spark, packets):
+    from flowtide.functions.time import micros
+    from flowtide.sources.packets import decode_frames
+
+    got = decode_frames(frames_of(packets))
+    return got.withColumn("us", micros(got, "ts")).drop("ts")

@@ -225,6 +225,18 @@ def q_rank_importance(spark, r):
     return met.rank_importance(met.feature_importance(model.pipeline.stages[-2], list(model.stats.names), spark))
 
 
+def flow_model(spark, packets):
+    """A tree trained on the flows themselves, labelled by a rule."""
+    from flowtide.checks.mapping import FLOW
+    from flowtide.operators.features import flow_features, with_canonical_names
+    from flowtide.plans.training import fit_pipeline
+    from flowtide.session import materialize
+    flows = materialize(flow_features(packets, FLOW))
+    label = F.when(F.col("rst_flag_count") + F.col("fin_flag_count") > 0, "PortScan").when(F.col("syn_flag_count") > 1, "DoS").otherwise("BENIGN")
+    rows, features = prep.prepare_raw(with_canonical_names(flows.withColumn("Label", label)))
+    return fit_pipeline(rows, prep.fit_stats(rows, features), "decision_tree", "v1")
+
+
 @query("detect_alerts", "packets")
 def q_detect_alerts(spark, packets):
     """Packets to alerts, with a model trained on the flows themselves."""

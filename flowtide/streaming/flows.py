@@ -206,6 +206,31 @@ class LateRows(StreamingQueryListener):
         pass
 
 
+def stream_late_rows(rows: DataFrame, time_column: str, delay_us: int, path: str, checkpoint: str, trigger: dict | None = None):
+    """Counts, batch by batch, the rows that a watermark of ``delay_us`` on ``time_column`` drops as late.
+
+    Writes one row a batch into ``path``: batch_id, rows, late, and ``high_us``, the newest time so far. A batch's mark is
+    the newest time of the batches before, less the delay, in whole milliseconds; rows not behind it are in time. A
+    repeated batch writes the same row again, and the count goes on after a restart from the same checkpoint. Rows
+    without a time are not late. ``late_rows`` adds the batches up.
+    """
+    at = F.unix_micros(time_column)
+
+    def count(batch: DataFrame, batch_id: int) -> None:
+        before = batch.sparkSession.read.parquet(f"{path}/batch_id={batch_id - 1}").first() if batch_id else None
+        high = before["high_us"] if before else None
+        mark = -1 if high is None else max(high // 1000 * 1000 - delay_us, 0)
+        batch.agg(F.count("*").alias("rows"), F.count_if(at <= mark).alias("late"), F.greatest(
+            F.max(at), F.lit(high).cast("bigint")).alias("high_us")).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (rows.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(count).start())
+
+
+def late_rows(spark, path: str) -> DataFrame:
+    """The batches that ``stream_late_rows`` has counted."""
+    return spark.read.schema("rows bigint, late bigint, high_us bigint, batch_id bigint").parquet(path)
+
+
 def late_packets(query) -> int:
     """Rows a streaming query has dropped behind the watermark in its last batches.
 

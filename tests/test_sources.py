@@ -55,6 +55,29 @@ def test_decode_frames(spark):
     assert (got[5].protocol, got[5].src_port) == ("IP", 0)
 
 
+def test_decode_tags_and_extension_headers(spark):
+    udp = struct.pack(">HHHH", 5353, 53, 12, 0) + b"abcd"
+    tag = lambda kind, *rest: frame(b"".join(struct.pack(">HH", 5, k) for k in rest) + v4(17, udp), kind=kind)
+
+    def six(first, chain, body, src="0" * 31 + "1", dst="fe80" + "0" * 24 + "00ab"):
+        payload = chain + body
+        return frame(struct.pack(">IHBB", 0x60000000, len(payload), first, 64) + bytes.fromhex(src) + bytes.fromhex(dst) + payload, kind=0x86DD)
+
+    hop, auth = bytes([51, 1]) + b"\0" * 14, bytes([17, 4]) + b"\0" * 22
+    fragment = lambda nxt, offset: bytes([nxt, 0]) + struct.pack(">HI", offset << 3 | 1, 7)
+    frames = [tag(0x8100, 0x0800), tag(0x88A8, 0x8100, 0x9100, 0x0800), tag(0x8100, 0x0806), six(0, hop + auth, udp), six(44, fragment(17, 0), udp),
+              six(44, fragment(17, 3), udp), six(60, b"", b"\x11"), six(58, b"", b"\0" * 8, src="0" * 32), frame(b"", kind=0x8100), b"\0" * 9]
+    df = spark.createDataFrame([(bytearray(f), i) for i, f in enumerate(frames)], "frame binary, ts int")
+    got = {r.ts: r for r in decode_frames(df).collect()}
+    assert set(got) == {0, 1, 3, 4, 5, 6, 7}
+    for i in (0, 1):
+        assert (got[i].src_ip, got[i].protocol, got[i].src_port, got[i].header_len, got[i].payload_len) == ("10.0.0.1", "UDP", 5353, 28, 4)
+    assert (got[3].src_ip, got[3].dst_ip, got[3].protocol, got[3].dst_port, got[3].header_len, got[3].payload_len) == ("::1", "fe80::ab", "UDP", 53, 88, 4)
+    assert (got[4].protocol, got[4].header_len, got[4].payload_len) == ("UDP", 56, 4)
+    assert (got[5].protocol, got[5].src_port) == ("IP", 0) and got[6].protocol == "IP"
+    assert (got[7].protocol, got[7].src_ip) == ("IP", "::")
+
+
 def test_tables_and_reports(spark, tmp_path):
     det = spark.createDataFrame(
         [(1, "a", "b", "BENIGN", "LOW", 0.9, datetime(2024, 1, 1)), (2, "a", "c", "DoS", "HIGH", 0.8, datetime(2024, 1, 2))],
