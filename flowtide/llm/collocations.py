@@ -34,7 +34,7 @@ from flowtide.llm.shingles import mix
 from flowtide.llm.spark_help import Shelf, buckets_for, cut
 
 BUCKET_BITS, RANGE_BITS = 26, 20
-BLOCK_PHRASES, BLOCKS_A_SCAN = 150_000, 2
+BLOCK_PHRASES, BLOCKS_A_SCAN = 150_000, 4
 #: Words of a portion, about; bounds a task's memory.
 PORTION = 700_000
 #: Bytes of a text that are split at once; the cut lies at the end of a piece.

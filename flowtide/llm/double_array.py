@@ -1,18 +1,21 @@
 """Double-array tries over phrases of word numbers, built and walked with whole-array operations (numpy, inside a task).
 
-A word number is two digits below ``1 << bits``; a phrase of k words is a path of 2k digits below the root of its
-language. A state is a place in ``check``: digit d leads from s to t = base[s] + d where check[t] = s.
+A word number is ``DIGITS`` digits below ``1 << bits``; a phrase of k words is a path of k times as many digits below the
+root of its language. A state is a place in ``check``: digit d leads from s to t = base[s] + d where check[t] = s.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Few digits make few steps, many make small sets of children, which leave fewer places free.
+DIGITS = 3
+
 
 def _place(groups: np.ndarray, digits: np.ndarray, used: np.ndarray, radix: int, rng) -> tuple[np.ndarray, np.ndarray]:
     """Bases for groups of digits (``groups`` ascending, from 0) so that no two of base + digit meet, and the places used.
 
-    Groups of an eighth of all digits get a window of their own. Others take places by size, the largest first, in
+    Groups of half of all digits get a window of their own. Others take places by size, the largest first, in
     rounds of random tries; of those that meet in a round the first stays. Where few find a place, the array grows.
     """
     sizes = np.bincount(groups)
@@ -26,7 +29,7 @@ def _place(groups: np.ndarray, digits: np.ndarray, used: np.ndarray, radix: int,
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(reps) - reps, reps)
         return owner, digits[np.repeat(starts[todo], reps) + inside]
 
-    dense = np.flatnonzero(sizes >= max(2, radix // 8))
+    dense = np.flatnonzero(sizes >= max(2, radix // 2))
     bases[dense] = len(used) - radix + radix * np.arange(len(dense))
     used = np.concatenate([used, np.zeros(radix * len(dense), bool)])
     owner, digit = spread(dense)
@@ -73,19 +76,19 @@ class DoubleArray:
         self.accept[ends] = np.arange(len(ends))
 
     @classmethod
-    def build(cls, roots: np.ndarray, phrases: np.ndarray, n_words: int, slack: float = 2.0) -> DoubleArray:
+    def build(cls, roots: np.ndarray, phrases: np.ndarray, n_words: int, slack: float = 1.3) -> DoubleArray:
         """A trie of distinct phrases: row i is the words of phrase i (from 1, padded with 0) below root ``roots[i]``."""
-        bits = max(1, (int(n_words).bit_length() + 1) // 2)
+        bits = max(1, -(-int(n_words).bit_length() // DIGITS))
         radix = 1 << bits
         n, width = phrases.shape
-        path = np.stack([phrases >> bits, phrases & (radix - 1)], axis=2).reshape(n, 2 * width)
+        path = np.stack([phrases >> bits * d & (radix - 1) for d in reversed(range(DIGITS))], axis=2).reshape(n, DIGITS * width)
         n_roots = int(roots.max()) + 1 if n else 1
         # Nodes level by level: a node is (its parent, digit); node numbers are dense over all levels.
         parents, digits, node, total = [], [], roots.astype(np.int64), n_roots
         ends = np.full(n, -1, np.int64)
         active = np.arange(n)
-        for level in range(2 * width):
-            active = active[phrases[active, level // 2] > 0]
+        for level in range(DIGITS * width):
+            active = active[phrases[active, level // DIGITS] > 0]
             if not len(active):
                 break
             key = node[active] * radix + path[active, level]
@@ -94,7 +97,7 @@ class DoubleArray:
             digits.append(distinct % radix)
             node[active] = total + which
             total += len(distinct)
-            if level % 2:
+            if level % DIGITS == DIGITS - 1:
                 ends[active] = node[active]
         parents = np.concatenate(parents) if parents else np.zeros(0, np.int64)
         digits = np.concatenate(digits) if digits else np.zeros(0, np.int64)
@@ -120,10 +123,12 @@ class DoubleArray:
         return alive, to[alive]
 
     def _word(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which states have the word (0 is none), and where they lead: a step for either digit."""
-        first, to = self._step(states, words >> self.bits)
-        second, to = self._step(to, words[first] & ((1 << self.bits) - 1))
-        return first[second], to
+        """Which states have the word (0 is none), and where they lead: a step for every digit."""
+        kept, to = np.arange(len(states)), states
+        for d in reversed(range(DIGITS)):
+            alive, to = self._step(to, words[kept] >> self.bits * d & ((1 << self.bits) - 1))
+            kept = kept[alive]
+        return kept, to
 
     def count(self, root: int, own: np.ndarray, numbers: np.ndarray, width: int, totals: np.ndarray) -> None:
         """Adds to ``totals`` (by phrase) how often each phrase stands in a text.
