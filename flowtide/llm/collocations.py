@@ -19,6 +19,7 @@ bitmaps let more candidates pass, which costs blocks and changes no count.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import numpy as np
@@ -34,7 +35,7 @@ from flowtide.llm.shingles import mix
 from flowtide.llm.spark_help import Shelf, buckets_for, cut
 
 BUCKET_BITS, RANGE_BITS = 26, 20
-BLOCK_PHRASES, BLOCKS_A_SCAN = 150_000, 4
+BLOCK_PHRASES, BLOCKS_A_SCAN = 300_000, 2
 #: Words of a portion, about; bounds a task's memory.
 PORTION = 700_000
 #: Bytes of a text that are split at once; the cut lies at the end of a piece.
@@ -74,6 +75,14 @@ def _slices(text: bytes):
     yield text[start:]
 
 
+def _give_back() -> None:
+    """Returns freed memory to the machine: a reused worker else keeps the largest arrays it ever had."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _portions(batches):
     """(lang, words, numbers): distinct words and the numbers of all words in text order, pieces parted by 0."""
     held, open_ = 0, {}
@@ -144,6 +153,8 @@ def _seen(batches):
                 for c, v in zip(rows, (kind, int(k), len(ids), shift, code, extra)):
                     rows[c].append(v)
         yield made(rows, len(rows["kind"]))
+        del two, three, pair, triple, rows
+        _give_back()
 
 
 def _stored(batches):
@@ -211,6 +222,8 @@ def _candidates(bitmaps):
                           _distinct(len(text), numbers[:-2][three], numbers[1:-1][three], numbers[2:][three])):
                 columns = [text.take(pa.array(c)) for c in found] + [pa.nulls(len(found[0]), pa.binary())] * (3 - len(found))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found[0]), pa.string()), *columns], ["lang", "w1", "w2", "w3"])
+            del two, three, pair, triple, found, columns
+            _give_back()
 
     return run
 
@@ -253,6 +266,7 @@ def _count(tries):
     """(block, numbers, counts) of the phrases that stand in the task's portions."""
 
     def run(batches):
+        _give_back()
         known = []
         for t in tries.value:
             ends = np.cumsum(np.frombuffer(t["lengths"], np.uint8), dtype=np.int32)

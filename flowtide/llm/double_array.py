@@ -141,9 +141,8 @@ class DoubleArray:
         known = np.flatnonzero(own)
         alive, to = self._word(np.full(len(known), self.roots[root], np.int32), own[known])
         start[known[alive]] = to
-        states = start[numbers]
-        at = np.flatnonzero(states)
-        states = states[at]
+        at = np.flatnonzero((start > 0)[numbers])
+        states = start[numbers[at]]
         for k in range(width):
             if k:
                 inside = at + k < len(numbers)
