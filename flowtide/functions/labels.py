@@ -30,8 +30,15 @@ LABEL_CATEGORIES = {
     "brute force": "Brute Force",
     "brute-force": "Brute Force",
     "bot": "Bot",
-    **{f"web attack{gap}{kind}": "Web Attack"
-       for gap in ("  ", " – ", "-") for kind in ("brute force", "xss", "sql injection")},
+    "web attack  brute force": "Web Attack",
+    "web attack  xss": "Web Attack",
+    "web attack  sql injection": "Web Attack",
+    "web attack – brute force": "Web Attack",
+    "web attack – xss": "Web Attack",
+    "web attack – sql injection": "Web Attack",
+    "web attack-brute force": "Web Attack",
+    "web attack-xss": "Web Attack",
+    "web attack-sql injection": "Web Attack",
     "web attack": "Web Attack",
     "infiltration": "Infiltration",
 }
