@@ -111,15 +111,15 @@ def q_detections_with_model(spark, d, r):
 
 
 @query("alerted_detections", "detections", "alerts", sql="""SELECT id FROM $detections
-  WHERE id IN (SELECT detection_id FROM $alerts WHERE severity = 'HIGH')""")
+  WHERE id IN (SELECT detection_id FROM $alerts)""")
 def q_alerted_detections(spark, d, a):
-    return joins.alerted_detections(d, a.where("severity = 'HIGH'")).select("id")
+    return joins.alerted_detections(d, a).select("id")
 
 
 @query("unalerted_intrusions", "detections", "alerts", sql=f"""SELECT id FROM $detections
-  WHERE {_IS} AND id NOT IN (SELECT detection_id FROM $alerts WHERE severity = 'HIGH')""")
+  WHERE {_IS} AND id NOT IN (SELECT detection_id FROM $alerts)""")
 def q_unalerted_intrusions(spark, d, a):
-    return joins.unalerted_intrusions(d, a.where("severity = 'HIGH'")).select("id")
+    return joins.unalerted_intrusions(d, a).select("id")
 
 
 _DAY = 86_400_000_000

@@ -93,7 +93,7 @@ FROM {orders}
 """
 
 ALERTS = """
-SELECT concat('a', cast(o_orderkey as varchar(20))) AS id, o_orderkey AS detection_id, o_orderdate AS timestamp,
+SELECT concat('a', cast(o_orderkey as varchar(20))) AS id, o_orderkey * 3 AS detection_id, o_orderdate AS timestamp,
        CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'DDoS' WHEN '2' THEN 'DoS' WHEN '3' THEN 'PortScan'
             WHEN '4' THEN 'Bot' ELSE 'Web Attack' END AS attack_type,
        CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'CRITICAL' WHEN '2' THEN 'HIGH' WHEN '3' THEN 'MEDIUM'

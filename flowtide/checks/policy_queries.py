@@ -99,19 +99,15 @@ _CASCADE = f"""r AS (
       WHEN 'infrastructure' THEN concat('Normal infrastructure network traffic (', destination_ip, ':', destination_port, ' ', protocol, ').')
       WHEN 'probes' THEN concat('Single/isolated connection to port ', destination_port, ' (PortScan requires >={CFG.min_probes} probes).')
       WHEN 'volume' THEN 'Normal traffic volume (insufficient volumetric evidence for DoS).'
-      WHEN 'confidence' THEN 'ML confidence below detection threshold.'
-      ELSE concat('Confirmed ', coalesce(prediction, 'null')) END AS note,
+      WHEN 'confidence' THEN printf('ML confidence (%.2f) below detection threshold ({CFG.confidence_threshold:.2f}).', confidence)
+      ELSE printf('Confirmed %s intrusion with %.1f%% confidence.', coalesce(prediction, 'null'), confidence * 100) END AS note,
     CASE WHEN ok THEN concat(coalesce(source_ip, '?'), '|', destination_ip, '|', coalesce(prediction, '?')) END AS dedup_key
   FROM verdict""")
 def q_policy_cascade(spark, d):
     k = F.col("dedup_key")
     got = pol.policy_cascade(d, CFG)
-    # The two notes with rounded numbers are compared without them.
-    note = F.regexp_replace("validation_note", r"^ML confidence \(.*\) below detection threshold \(0.75\)\.$",
-                            "ML confidence below detection threshold.")
-    note = F.regexp_replace(note, r"^(Confirmed .*) intrusion with [0-9.]+% confidence\.$", "$1")
     return got.select(
-        "id", "prediction", "is_intrusion", "confidence", "severity", "should_alert", "is_duplicate", note.alias("note"),
+        "id", "prediction", "is_intrusion", "confidence", "severity", "should_alert", "is_duplicate", F.col("validation_note").alias("note"),
         F.when(k.isNotNull(), F.concat_ws("|", F.coalesce(k["src"], F.lit("?")), k["dst"], F.coalesce(k["attack"], F.lit("?")))
                ).alias("dedup_key"))
 

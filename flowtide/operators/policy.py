@@ -131,6 +131,8 @@ def verdict_columns(rows: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> Data
     c = F.col
     rule, ok = c("_rule"), c("_rule") == "confirmed"
     port = c("destination_port").cast("string")
+    # Rounds the double itself, so 0.605, which lies below the middle, becomes 0.60.
+    rounded = lambda x, digits: F.coalesce(F.format_number(x, digits), F.lit("null"))
     # The texts of a verdict.
     note = (
         F.when(rule == "benign", "Classified as normal benign traffic by ML model.")
@@ -141,10 +143,10 @@ def verdict_columns(rows: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> Data
             F.lit("Single/isolated connection to port "), port,
             F.lit(f" (PortScan requires >={cfg.min_probes} probes).")))
         .when(rule == "volume", "Normal traffic volume (insufficient volumetric evidence for DoS).")
-        .when(rule == "confidence", F.format_string(
-            f"ML confidence (%.2f) below detection threshold ({cfg.confidence_threshold:.2f}).", c("confidence")))
-        .otherwise(F.format_string("Confirmed %s intrusion with %.1f%% confidence.", c("prediction"),
-                                   c("confidence") * 100))
+        .when(rule == "confidence", F.concat(F.lit("ML confidence ("), rounded(c("confidence"), 2), F.lit(
+            f") below detection threshold ({cfg.confidence_threshold:.2f}).")))
+        .otherwise(F.concat(F.lit("Confirmed "), F.coalesce("prediction", F.lit("null")), F.lit(" intrusion with "),
+                            rounded(c("confidence") * 100, 1), F.lit("% confidence.")))
     )
     return rows.withColumnsRenamed({
         "prediction": "raw_prediction", "confidence": "raw_confidence", "severity": "raw_severity",
