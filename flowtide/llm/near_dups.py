@@ -7,10 +7,12 @@ agrees between two sets with the probability of their similarity, and the share
 
 Documents with equal shingle sets form a class, which is a node with a number of its own; one text stands for it. Bands of the sketch give buckets.
 First each class is confirmed against one leader: of the leaders of its buckets (the members that meet most others) the
-one it meets most often. That joins most of a group at once. What is still apart in a common bucket goes through an
-exact prefix-filter join: shingles are ordered from the rarest, and two sets of the required similarity share one of
-the first n - ceil(n * percent / 100) + 1 shingles of either, at places that leave enough shingles behind them. No pair
-inside a component is made, and the members of a large group differ in their rare shingles, so its pairs hardly meet.
+one it meets most often. That joins most of a group at once. What is still apart in a common bucket follows a pivot, a
+member of its leader's component. Classes of one pivot are compared by what they do not share with it: a link asks that
+enough of these differences agree, and a prefix join over the differences, the rarest first, finds such pairs. Classes of
+different pivots go through the same join over whole sets: two sets of the required similarity share one of the first
+n - ceil(n * percent / 100) + 1 shingles of either, at places that leave enough shingles behind them. Both are exact, no
+pair inside a component is made, and elements with many rows are dealt over salts.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ PORTION = 400_000
 #: A class goes to the exact join when it shares so many buckets with other components; a pair at similarity 0.8
 #: shares fewer than two bands with probability 1e-6.
 OPEN_BANDS = 2
+#: Rows of one key that a join keeps together; more are dealt over several tasks.
+DEALT = 1000
 
 
 def fast_sketches(values: np.ndarray, sizes: np.ndarray, bins: int) -> np.ndarray:
@@ -163,11 +167,12 @@ def _judged(docs: DataFrame, width: int, percent: int, bands: int = BANDS, rows:
     chosen = (met.join(leaders, ["band", "key"]).where("leader <> id").groupBy("id", "leader").agg(F.count("*").alias("votes"))
               .groupBy("id").agg(F.max(F.struct("votes", (-F.col("leader")).alias("low"))).alias("best"))
               .select((-F.col("best.low")).alias("a"), F.col("id").alias("b")))
+    chosen = shelf.put(chosen, "chosen")
     links = shelf.put(_confirmed(chosen, sets, percent), "links-1")
     roots = components(links)
 
-    pairs = _apart(met, roots, sets, percent)
-    more = shelf.put(_confirmed(pairs, sets, percent), "links-2")
+    direct, pairs = _apart(shelf, met, roots, chosen, wanted, sets, percent)
+    more = shelf.put(_confirmed(pairs, sets, percent).unionByName(direct), "links-2")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
@@ -196,33 +201,107 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     return docs.join(gone, same, "left_anti")
 
 
-def _apart(met: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of different components that the exact prefix filter cannot rule out.
+def _dealt(left: DataFrame, right: DataFrame, keys: list[str], rows: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``keys`` with a column ``salt`` more: the ``right`` rows of a key that ``rows`` (a column
+    of both sides) counts are dealt over one salt per ``DEALT`` of them, and the ``left`` rows go to every salt."""
+    salts = F.ceil(F.col(rows) / DEALT).cast("int")
+    return (left.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))),
+            right.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")))
 
-    Taken are the classes that share buckets with other components in at least ``OPEN_BANDS`` bands.
+
+def _ordered(items: DataFrame, scope: list[str]) -> DataFrame:
+    """Per id its elements (``x``) as ``order``, an array of (df, x) from the rarest; ``df`` counts inside ``scope``."""
+    often = items.groupBy(*scope, "x").agg(F.count("*").alias("df")).where("df > 1")
+    # What only one document has matches nothing; it still takes its place in the order.
+    return items.join(often, [*scope, "x"], "left").groupBy(*[c for c in items.columns if c != "x"]).agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "x"))).alias("order"))
+
+
+def _prefix(ordered: DataFrame, length) -> DataFrame:
+    """The first ``length`` elements of every order that another document has too: columns p, x, df in place of order."""
+    keep = [c for c in ordered.columns if c != "order"]
+    return ordered.select(*keep, F.posexplode(F.slice("order", F.lit(1), length)).alias("p", "s")).where("s.df > 1").select(
+        *keep, "p", F.col("s.x").alias("x"), F.col("s.df").alias("df"))
+
+
+def _sides(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``left`` and ``right`` joined on ``keys``; ``columns`` get the endings _a and _b. Without its rows' conditions."""
+    left, right = _dealt(left, right, keys, "df")
+    a, b = (f.select(*keys, "salt", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for f, side in ((left, "a"), (right, "b")))
+    return a.join(b, [*keys, "salt"])
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def _apart(shelf: Shelf, met: DataFrame, roots: DataFrame, chosen: DataFrame, wanted: DataFrame, sets: DataFrame,
+           percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, pairs) of classes in different components: confirmed ones, and those no filter can rule out.
+
+    Taken are the classes that share buckets with other components in at least ``OPEN_BANDS`` bands. Each follows a
+    pivot, the most met member of its leader's component.
     """
     rooted = met.join(roots, met["id"] == roots["node"], "left").select(
         "band", "key", "id", F.coalesce("root", "id").alias("root"))
     mixed = rooted.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
     open_ids = rooted.join(mixed.select("band", "key"), ["band", "key"]).groupBy("id", "root").agg(
         F.count("*").alias("bands")).where(F.col("bands") >= OPEN_BANDS).select("id", "root")
-    items = sets.join(open_ids, "id").select("id", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("x"))
-    items = cut(items)
-    often = items.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
-    # Shingles of one document only match nothing; they still take their places in the prefix.
-    ranked = items.join(often, "x", "left").groupBy("id", "root", "n").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "x"))).alias("order"))
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    prefix = ranked.select("id", "root", "n", F.posexplode(F.slice("order", F.lit(1), length)).alias("p", "s")).where(
-        "s.df > 1").select("id", "root", "n", "p", F.col("s.x").alias("x"))
-    # Along a shingle the largest component need not meet itself: only the others look for partners.
-    major = prefix.groupBy("x", "root").agg(F.count("*").alias("m")).groupBy("x").agg(
-        F.max(F.struct("m", "root"))["root"].alias("major"))
-    seekers = prefix.join(major, "x").where("root <> major").drop("major")
-    a, b = (f.select("x", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "root", "n", "p")])
-            for f, side in ((seekers, "a"), (prefix, "b")))
-    # If this is the first common shingle, no more than this can be common.
+    known = wanted.join(roots, wanted["id"] == roots["node"], "left").select("id", "reach", F.coalesce("root", "id").alias("root"))
+    pivots = known.groupBy("root").agg((-F.max(F.struct("reach", (-F.col("id")).alias("low")))["low"]).alias("pivot"))
+    led = chosen.select(F.col("b").alias("id"), F.col("a").alias("leader"))
+    follow = known.select(F.col("id").alias("leader"), F.col("root").alias("leader_root"))
+    open_ids = shelf.put(
+        open_ids.join(led, "id", "left").withColumn("leader", F.coalesce("leader", "id")).join(follow, "leader")
+        .join(pivots.withColumnRenamed("root", "leader_root"), "leader_root").select("id", "root", "pivot"), "open")
+    links, pairs = _same_pivot(shelf, open_ids, sets, percent)
+    return links, pairs.unionByName(_other_pivot(open_ids, sets, percent)).distinct()
+
+
+def _same_pivot(shelf: Shelf, open_ids: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, pairs) of classes that follow one pivot P.
+
+    D(a) are the shingles in which a differs from P. Two sets differ in |D(a)| + |D(b)| - 2 |D(a) and D(b)| shingles, so
+    a link asks of the pair that their D share ``need`` elements; where it asks for none, both link with P itself, which
+    is seen directly. A prefix join over the D, the rarest elements first, finds the rest: what the group has in common
+    is in no D, so copies of one text with changes of their own do not meet.
+    """
+    groups = open_ids.groupBy("pivot").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("df")).where(
+        "r0 <> r1").select("pivot", "df")
+    rows = open_ids.join(groups, "pivot")
+    heads, rows = _dealt(groups.join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("_sp")), "pivot"), rows, ["pivot"], "df")
+    both = rows.join(sets, "id").drop("df").join(heads.drop("df"), ["pivot", "salt"])
+    delta = F.concat(F.array_except("shingles", "_sp"), F.array_except("_sp", "shingles"))
+    differ = shelf.put(both.select("id", "root", "pivot", F.size("shingles").alias("n"), F.size("_sp").alias("np"), delta.alias("delta")),
+                       "differ").withColumn("d", F.size("delta"))
+    q, r = 100 + percent, 100 - percent
+    linked = q * F.col("d") <= r * (F.col("n") + F.col("np"))
+    links = differ.where(linked & (F.col("id") != F.col("pivot"))).select(
+        F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+    ordered = shelf.put(_ordered(differ.select("id", "root", "pivot", "n", "np", "d", linked.alias("linked"), F.explode("delta").alias("x")),
+                                 ["pivot"]), "differ-ordered")
+    # One of a pair, the seeker, does not link with P. The least ``need`` of a seeker, and of any class that meets one:
+    seeking = F.ceil((q * F.col("d") - r * (F.col("n") + F.col("np"))) / (2 * q))
+    meeting = F.floor((q * F.col("d") - r * (F.col("n") - F.col("np"))) / (2 * q)) + 1
+    length = lambda need: (F.col("d") - F.greatest(need, F.lit(1)) + 1).cast("int")
+    met = _sides(_prefix(ordered.where("not linked"), F.greatest(length(seeking), F.lit(0))),
+                 _prefix(ordered, F.greatest(length(meeting), F.lit(0))), ["pivot", "x"], ["id", "root", "n", "d", "p"])
+    # If this is the first common element, no more than this can be common.
+    most = F.least(F.col("d_a") - F.col("p_a"), F.col("d_b") - F.col("p_b"))
+    need2 = q * (F.col("d_a") + F.col("d_b")) - r * (F.col("n_a") + F.col("n_b"))
+    return links, _ends(met.where((F.col("root_a") != F.col("root_b")) & (2 * q * most >= need2)))
+
+
+def _other_pivot(open_ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes with different pivots that the exact prefix filter over whole sets cannot rule out."""
+    ordered = _ordered(cut(sets.join(open_ids, "id").select(
+        "id", "root", "pivot", F.size("shingles").alias("n"), F.explode("shingles").alias("x"))), [])
+    prefix = _prefix(ordered, F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
+    # Along a shingle the largest group of a pivot need not meet itself: only the others look for partners.
+    major = prefix.groupBy("x", "pivot").agg(F.count("*").alias("m")).groupBy("x").agg(
+        F.max(F.struct("m", "pivot"))["pivot"].alias("major"))
+    seekers = prefix.join(major, "x").where("pivot <> major").drop("major")
     most = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
     reachable = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
-    return a.join(b, "x").where((F.col("root_a") != F.col("root_b")) & reachable).select(
-        F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    return _ends(_sides(seekers, prefix, ["x"], ["id", "root", "pivot", "n", "p"]).where(
+        (F.col("pivot_a") != F.col("pivot_b")) & (F.col("root_a") != F.col("root_b")) & reachable))

@@ -219,6 +219,24 @@ def test_chain_of_changes_is_one_component(spark):
     assert {r.component_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_copies_with_changes_of_their_own(spark, seed):
+    """Copies of texts that are not there themselves: some link with the leader, some with each other only, some with none."""
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"v{i}" for i in range(300)]
+    docs, bases = [], [[str(x) for x in rng.choice(vocabulary, 120)] for _ in range(2)]
+    bases.append(bases[0][:60] + bases[1][60:])
+    for k in range(450):
+        words = list(bases[k % 3])
+        for at in rng.choice(120, rng.integers(1, 24), replace=False):
+            words[at] = str(rng.choice(vocabulary))
+        docs.append((k, " ".join(words)))
+    got = near_dups.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), width=2).collect()
+    want = brute.near_components(docs, 2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert 3 < len({c for _, c in want.values()}) < 440
+
+
 def test_near_duplicates_edge_rows(edge, odd, empty):
     got = near_dups.near_duplicates(odd, width=5)
     assert rows(got, "doc_id", "n_shingles", "component_id", "kept") == rows(
