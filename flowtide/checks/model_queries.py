@@ -168,7 +168,8 @@ def _scored(r, model_type):
 def _register_trainer(model_type):
     @query(f"train_{model_type}", "flow_rows")
     def q(spark, r):
-        scored, _ = _scored(r, model_type)
+        from flowtide.session import materialize
+        scored = materialize(_scored(r, model_type)[0].select("label", "raw_prediction"))
         return met.confusion_matrix(scored, "label", "raw_prediction")
 
 

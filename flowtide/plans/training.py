@@ -21,6 +21,7 @@ from flowtide.operators.filters import align_features
 from flowtide.operators.prep import (
     FeatureStats, _require_features, class_weights_balanced, fit_stats, prepare_raw, stratified_split)
 from flowtide.schema import MIN_FEATURES
+from flowtide.session import ensure_checkpoint_dir, materialize
 from flowtide.sources.flow_csv import read_head
 
 MIN_TRAINING_ROWS = 100
@@ -28,12 +29,16 @@ MIN_TRAINING_ROWS = 100
 
 @dataclass(frozen=True)
 class ModelType:
-    """A registered estimator: ``build(params, rows)`` gives the MLlib estimator."""
+    """A registered estimator: ``build(params, rows)`` gives the MLlib estimator.
+
+    ``task_rows``: an input with fewer partitions than one per so many rows is dealt over more of them, up to the cores.
+    """
 
     label: str
     build: Callable
     params: dict = field(default_factory=dict)
     fourier: bool = False
+    task_rows: int | None = None
 
 
 def _random_forest(p, rows):
@@ -55,8 +60,10 @@ def _svm(p, rows):
 
 
 MODEL_TYPES: dict[str, ModelType] = {
+    # The node of every row and tree is kept with the rows; without that each pass ships the trees grown so far.
     "random_forest": ModelType("Random Forest", _random_forest, dict(
-        numTrees=100, maxDepth=20, minInstancesPerNode=2, seed=42, maxMemoryInMB=512)),
+        numTrees=100, maxDepth=20, minInstancesPerNode=2, seed=42, maxMemoryInMB=512, cacheNodeIds=True, checkpointInterval=10),
+        task_rows=15_000),
     "logistic_regression": ModelType("Logistic Regression", _logistic_regression, dict(maxIter=1000)),
     "decision_tree": ModelType("Decision Tree", _decision_tree, dict(maxDepth=20, seed=42, maxMemoryInMB=512)),
     "svm": ModelType("Support Vector Machine", _svm, dict(maxIter=100, dimensions=64), fourier=True),
@@ -130,6 +137,11 @@ def fit_pipeline(train: DataFrame, stats: FeatureStats, model_type: str, version
     ready = PipelineModel(stages).transform(train.where("label IS NOT NULL").select(*stats.names, "label"))
     indexer = StringIndexerModel.from_labels(labels, inputCol="label", outputCol="y")
     instances = indexer.transform(ready.select("x", "label", weight[F.col("label")].alias("weight"))).select("x", "y", "weight")
+    if kind.task_rows:
+        ensure_checkpoint_dir(train.sparkSession)
+        wanted = min(-(-rows // kind.task_rows), train.sparkSession.sparkContext.defaultParallelism)
+        if instances.rdd.getNumPartitions() < wanted:
+            instances = instances.repartition(wanted)
     instances.persist()
     try:
         fitted = kind.build(params, rows).fit(instances)
@@ -179,7 +191,8 @@ def apply_model(df: DataFrame, model: TrainedModel, keep: tuple[str, ...] = ())
 
 def evaluate(model: TrainedModel, test: DataFrame) -> DataFrame:
     """One row: accuracy, macro and weighted scores, ROC-AUC of labelled numeric features."""
-    scored = apply_model(test, model, ("label",))
+    # Scored once: the metrics pass over the scores several times, and a large forest is slow to ship.
+    scored = materialize(apply_model(test, model, ("label",)).select("label", "raw_prediction", "_p"))
     report = met.classification_report(met.confusion_matrix(scored, "label", "raw_prediction"))
     places = {c: F.col("_p")[i] for i, c in enumerate(model.classes)}
     if len(places) == 2:
