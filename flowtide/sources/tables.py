@@ -1,8 +1,8 @@
-"""Append-only tables, versioned tables and exports."""
+"""Append-only tables and exports."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from flowtide.operators import aggregates as agg
@@ -84,29 +84,3 @@ def report_json(detections: DataFrame, alerts: DataFrame, models: DataFrame, pat
         F.to_json(F.map_from_entries(F.array_sort(F.collect_list("e"), lambda a, b: F.when(a["key"] < b["key"], -1).when(
             a["key"] > b["key"], 1).otherwise(0)))).alias("value"))
     document.coalesce(1).write.mode("overwrite").text(path)
-
-
-class VersionedTable:
-    """A small table rewritten as a whole, one directory per version; the newest complete one is current."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        done = [n for n in names if n.startswith("v=") and fs.exists(
-            jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n[2:]) for n in done)
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        """The newest version, or the newest older than ``before``."""
-        known = [v for v in self.versions() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.path}/v={known[-1]}") if known else None
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")

@@ -5,28 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.operators.alerts import upsert_alerts
-from flowtide.sources.tables import VersionedTable
-
-ALERT_COLUMNS = ("id bigint, source_ip string, destination_ip string, attack_type string, severity string, "
-                 "confidence double, status string, occurrences bigint, timestamp timestamp, last_seen timestamp")
+from flowtide.streaming.verdicts import stream_alert_changes
 
 
 def stream_alert_upsert(candidates: DataFrame, table_path: str, checkpoint: str, trigger: dict | None = None):
-    """Merges every micro-batch into the table. Batch n always reads the newest version below n and writes
-    version n, so a repeated batch gives the same table."""
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        table = VersionedTable(spark, table_path)
-        current = table.read(before=batch_id)
-        if current is None:
-            current = spark.createDataFrame([], ALERT_COLUMNS)
-        new = batch.select("id", "source_ip", "destination_ip", "attack_type", "severity", "confidence", "timestamp")
-        table.write(upsert_alerts(current, new), batch_id)
-
-    return (candidates.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"availableNow": True})).foreachBatch(merge).start())
+    """Appends the changes of alerts to a Parquet table; ``current_alerts`` over it is the alert table.
+
+    The open alerts are the stream's state, so nothing is read back or rewritten, and the file sink commits a batch once.
+    """
+    return (stream_alert_changes(candidates).writeStream.format("parquet").option("path", table_path)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).outputMode("append").start())
 
 
 def stream_detections(verdicts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):

@@ -11,6 +11,7 @@ from flowtide.operators.flows import flow_idle_sessions
 from flowtide.schema import FEATURE_COLUMNS, PACKET_SCHEMA
 from flowtide.sources.packets import packet_source
 from flowtide.streaming.alerts import stream_alert_upsert
+from flowtide.streaming.verdicts import current_alerts
 from flowtide.streaming.flows import flush_marker, late_packets, stream_flows
 from flowtide.streaming.windows import stream_dedup, stream_flow_sessions, stream_portscan, stream_trend
 
@@ -114,9 +115,11 @@ def test_upsert_is_idempotent(spark, tmp_path):
     source = detections(spark, str(tmp_path / "d"), rows).withColumnRenamed("prediction", "attack_type")
     q = stream_alert_upsert(source, str(tmp_path / "t"), str(tmp_path / "c"))
     q.awaitTermination(240)
-    from flowtide.sources.tables import VersionedTable
-    table = VersionedTable(spark, str(tmp_path / "t"))
-    got = {r.source_ip: r for r in table.read().collect()}
+    changes = spark.read.parquet(str(tmp_path / "t"))
+    got = {r.source_ip: r for r in current_alerts(changes).collect()}
     assert (got["10.0.0.99"].occurrences, got["10.0.0.99"].confidence, got["10.0.0.99"].status) == (3, 0.9, "ACTIVE")
     assert got["b"].occurrences == 1 and len(got) == 2
-    assert table.versions() == [0, 1] and table.read(before=1).count() == 1
+    assert sorted(r.change for r in changes.collect()) == [1, 1, 2] and current_alerts(changes.where("change = 1")).count() == 2
+    # A second run from the same checkpoint finds nothing new and appends nothing.
+    stream_alert_upsert(source, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(240)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
