@@ -107,9 +107,20 @@ def top_ips_share(detections: DataFrame, col: str = "source_ip", k: int = 10) ->
     return top.withColumn("share", share)
 
 
+def _since(detections: DataFrame, start: Column) -> DataFrame:
+    """Rows from ``start`` on. A table of ``write_detections`` has a directory per ``date``, which prunes earlier days.
+
+    A day more is read, as the table may have been written in another time zone.
+    """
+    recent = F.col("timestamp") >= start
+    if "date" in detections.columns:
+        recent = recent & (F.col("date") >= F.date_sub(F.to_date(start), 1))
+    return detections.where(recent)
+
+
 def trend_hourly(detections: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
     """Total and intrusion counts per hour since ``as_of`` minus ``hours``."""
-    recent = detections.where(F.col("timestamp") >= as_of - F.expr(f"INTERVAL {hours} HOURS"))
+    recent = _since(detections, as_of - F.expr(f"INTERVAL {hours} HOURS"))
     hour = F.date_trunc("hour", "timestamp")
     return (recent.groupBy(hour.alias("bucket"))
             .agg(F.count("*").alias("total"), F.count_if(is_intrusion(F.col("prediction"))).alias("intrusions"))
@@ -119,8 +130,7 @@ def trend_hourly(detections: DataFrame, as_of: Column, hours: int = 24) -> DataF
 
 def trend_daily_attacks(detections: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     """Intrusions per day and attack since ``as_of`` minus ``days``."""
-    recent = detections.where(
-        (F.col("timestamp") >= as_of - F.expr(f"INTERVAL {days} DAYS")) & is_intrusion(F.col("prediction")))
+    recent = _since(detections, as_of - F.expr(f"INTERVAL {days} DAYS")).where(is_intrusion(F.col("prediction")))
     return (recent.groupBy(F.to_date("timestamp").alias("date"), F.col("prediction").alias("attack"))
             .agg(F.count("*").alias("count"))
             .select(F.year("date").alias("year"), F.month("date").alias("month"), F.dayofmonth("date").alias("day"),
@@ -130,8 +140,7 @@ def trend_daily_attacks(detections: DataFrame, as_of: Column, days: int = 7) ->
 
 def trend_daily_pivot(detections: DataFrame, as_of: Column, attacks: list[str], days: int = 7) -> DataFrame:
     """Day by attack matrix; a missing attack is "Unknown", an empty cell 0."""
-    recent = detections.where(
-        (F.col("timestamp") >= as_of - F.expr(f"INTERVAL {days} DAYS")) & is_intrusion(F.col("prediction")))
+    recent = _since(detections, as_of - F.expr(f"INTERVAL {days} DAYS")).where(is_intrusion(F.col("prediction")))
     name = F.coalesce("prediction", F.lit("Unknown"))
     return (recent.select(F.date_format("timestamp", "yyyy-MM-dd").alias("day"), name.alias("attack"))
             .groupBy("day").pivot("attack", attacks).count().fillna(0).orderBy("day"))

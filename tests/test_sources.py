@@ -168,3 +168,19 @@ def test_flow_csv_matches_columns_by_name(spark, tmp_path):
 def test_flow_csv_finds_the_encoding(spark, tmp_path):
     (tmp_path / "l.csv").write_bytes("Lab\u00e9l\nWeb Attack \u00e9\n".encode("latin-1"))
     assert read_flow_csv(spark, str(tmp_path)).first().asDict() == {"Lab\u00e9l": "Web Attack \u00e9"}
+
+
+def test_trends_read_the_days_they_need(spark, tmp_path):
+    """The scan of a table of ``write_detections`` is cut by its date directories; the rows are those without it."""
+    from flowtide.operators import aggregates as agg
+
+    rows = [(datetime(2024, 1, d, h), "DoS" if h % 2 else "BENIGN") for d in range(1, 26) for h in (0, 5, 13, 23)]
+    det = spark.createDataFrame(rows, "timestamp timestamp, prediction string")
+    path = str(tmp_path / "d")
+    tables.write_detections(det, path)
+    stored, now = spark.read.parquet(path), F.lit(datetime(2024, 1, 25, 12))
+    for trend in (agg.trend_hourly, agg.trend_daily_attacks, lambda d, t: agg.trend_daily_pivot(d, t, ["DoS"])):
+        got = trend(stored, now)
+        assert got.collect() == trend(det, now).collect() and got.count()
+        scan = next(line for line in got._jdf.queryExecution().toString().splitlines() if "PartitionFilters" in line)
+        assert "date" in scan.split("PartitionFilters: [")[1].split("]")[0]
