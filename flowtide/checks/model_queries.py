@@ -70,6 +70,24 @@ def q_fit_median_binned(spark, r):
     return prep.fit_median_impute(_clean(r), _NAMES).toDF(*_OUT).select(*[F.round(o, 6).alias(o) for o in _OUT])
 
 
+_SKETCH_ACCURACY = 1000
+
+
+@query("fit_median_sketch", "flow_rows", sql=f"""WITH c AS ({_CLEAN})
+  {" UNION ALL ".join(f"SELECT '{n}' AS feature, count({o}) AS n, true AS within FROM c" for n, o in zip(_NAMES, _OUT))}""")
+def q_fit_median_sketch(spark, r):
+    """The sketch's median of every column, held against its true rank in all rows."""
+    rows = _clean(r)
+    medians = prep.sketched_medians(rows, _NAMES, _SKETCH_ACCURACY)
+    ranks = rows.agg(*[f.alias(f"{k}{i}") for i, c in enumerate(_NAMES) for k, f in (
+        ("n", F.count(f"`{c}`")), ("lo", F.count_if(F.col(f"`{c}`") < medians[c])), ("hi", F.count_if(F.col(f"`{c}`") <= medians[c])))])
+    off = lambda i: F.ceil(F.col(f"n{i}") / _SKETCH_ACCURACY)
+    return ranks.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"),
+        ((F.col(f"lo{i}") <= F.col(f"n{i}") / 2 + off(i)) & (F.col(f"hi{i}") >= F.col(f"n{i}") / 2 - off(i))).alias("within"))
+        for i, c in enumerate(_NAMES)])).alias("r")).select("r.*")
+
+
 @query("fit_standard_scale", "flow_rows", sql=f"""WITH c AS ({_CLEAN})
   {" UNION ALL ".join(f"SELECT '{n}' AS feature, round(avg({o}), 6) AS mean, round(stddev_pop({o}), 6) AS std FROM c" for n, o in zip(_NAMES, _OUT))}""")
 def q_fit_standard_scale(spark, r):
@@ -188,7 +206,7 @@ def q_train_model(spark, r):
 @query("compare_models", "flow_rows")
 def q_compare_models(spark, r):
     from flowtide.plans.training import compare_models
-    return compare_models(r, row_id="row_id", min_features=4).drop("training_time", "error")
+    return compare_models(r, row_id="row_id", min_features=4).drop("training_time")
 
 
 @query("evaluate_saved_model", "flow_rows")

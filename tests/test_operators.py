@@ -302,3 +302,10 @@ def test_model_queries_train_with_the_default_parameters(monkeypatch):
         with pytest.raises(Stop):
             registry.QUERIES[name](None, "")
     assert calls == [None] * len(names)
+
+
+def test_sketched_medians_keep_their_rank(spark):
+    values = [float((i * 7919) % 5003) ** 2 for i in range(5003)]
+    df = spark.createDataFrame([(v, None) for v in values], "a double, b double").repartition(7)
+    got = prep.sketched_medians(df, ["a", "b"], 200)
+    assert got["b"] == 0.0 and abs(sorted(values).index(got["a"]) - 2501) <= 5003 / 200 + 1
