@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Callable
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from flowtide.functions.labels import probability_map
 from flowtide.operators import metrics as met
+from flowtide.operators.calibration import fit_sigmoids, normalised
 from flowtide.operators.filters import align_features
 from flowtide.operators.prep import (
     FeatureStats, _require_features, class_weights_balanced, fit_stats, prepare_raw, stratified_split)
@@ -31,7 +33,8 @@ MIN_TRAINING_ROWS = 100
 class ModelType:
     """A registered estimator: ``build(params, rows)`` gives the MLlib estimator.
 
-    ``task_rows``: an input with fewer partitions than one per so many rows is dealt over more of them, up to the cores.
+    A parameter ``folds`` of margin models is the number of parts whose margins, from models fitted on the other parts,
+    calibrate the probabilities; 0 for none. ``task_rows``: an input with fewer partitions than one per so many rows is dealt over more of them, up to the cores.
     """
 
     label: str
@@ -55,7 +58,7 @@ def _logistic_regression(p, rows):
 
 
 def _svm(p, rows):
-    svc = LinearSVC(regParam=1.0 / max(rows, 1), standardization=False, **{k: v for k, v in p.items() if k != "dimensions"})
+    svc = LinearSVC(regParam=1.0 / max(rows, 1), standardization=False, **{k: v for k, v in p.items() if k not in ("dimensions", "folds")})
     return OneVsRest(classifier=svc, labelCol="y", featuresCol="x", weightCol="weight")
 
 
@@ -66,7 +69,7 @@ MODEL_TYPES: dict[str, ModelType] = {
         task_rows=15_000),
     "logistic_regression": ModelType("Logistic Regression", _logistic_regression, dict(maxIter=1000)),
     "decision_tree": ModelType("Decision Tree", _decision_tree, dict(maxDepth=20, seed=42, maxMemoryInMB=512)),
-    "svm": ModelType("Support Vector Machine", _svm, dict(maxIter=100, dimensions=64), fourier=True),
+    "svm": ModelType("Support Vector Machine", _svm, dict(maxIter=100, dimensions=64, folds=3), fourier=True),
 }
 
 
@@ -104,15 +107,36 @@ def _fourier(d: int, dimensions: int, seed: int = 42) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {cols} FROM __THIS__")
 
 
-def _margins(models, inputs: list[str], labels: list[str]) -> SQLTransformer:
-    """The margins of one linear model per class and the class with the largest, as plain expressions."""
+def _margins(models, inputs: list[str], labels: list[str], sigmoids: list[tuple[float, float]]) -> SQLTransformer:
+    """The margins of one linear model per class and the class with the largest, as plain expressions; with
+    ``sigmoids`` also the classes' probabilities, each on its own."""
     line = lambda m: " + ".join([f"{float(m.intercept)!r}D", *(
         f"{float(w)!r}D * {c}" for w, c in zip(m.coefficients.toArray(), inputs))])
     margins = ", ".join(line(m) for m in models)
     names = ", ".join("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in labels)
+    own = ", ".join(f"1.0D / (1.0D + exp(least({a!r}D * margins[{c}] + {b!r}D, 700.0D)))" for c, (a, b) in enumerate(sigmoids))
+    calibrated = f", array({own}) AS sigmoids" if sigmoids else ""
     return SQLTransformer(statement=(
-        f"SELECT *, element_at(array({names}), cast(array_position(margins, array_max(margins)) AS int)) AS raw_prediction "
-        f"FROM (SELECT *, array({margins}) AS margins FROM __THIS__)"))
+        f"SELECT *, element_at(array({names}), cast(array_position(margins, array_max(margins)) AS int)) AS raw_prediction"
+        f"{calibrated} FROM (SELECT *, array({margins}) AS margins FROM __THIS__)"))
+
+
+def _unseen_margins(instances: DataFrame, fit: Callable, folds: int) -> DataFrame:
+    """``y`` and the ``margins`` of every row, from models fitted on the parts of ``instances`` it does not belong to.
+
+    Parts are cut by a hash of the row, so equal rows share a part and a task that runs again gives the same parts.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    parted = instances.withColumn("part", F.pmod(F.xxhash64(vector_to_array("x"), "y"), F.lit(folds)))
+    out = []
+    for part in range(folds):
+        rows = parted.where(F.col("part") == part)
+        for c, m in enumerate(fit(parted.where(F.col("part") != part)).models):
+            rows = m.setRawPredictionCol(f"m{c}").setPredictionCol(f"p{c}").transform(rows).drop(f"p{c}").withColumn(
+                f"m{c}", vector_to_array(f"m{c}")[1])
+        out.append(rows.select("y", F.array(*[c for c in rows.columns if c[0] == "m"]).alias("margins")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def fit_pipeline(train: DataFrame, stats: FeatureStats, model_type: str, version: str,
@@ -143,12 +167,16 @@ def fit_pipeline(train: DataFrame, stats: FeatureStats, model_type: str, version
         if instances.rdd.getNumPartitions() < wanted:
             instances = instances.repartition(wanted)
     instances.persist()
+    sigmoids = []
     try:
-        fitted = kind.build(params, rows).fit(instances)
+        fit = kind.build(params, rows).fit
+        fitted = fit(instances)
+        if params.get("folds"):
+            sigmoids = fit_sigmoids(materialize(_unseen_margins(instances, fit, params["folds"])), len(labels))
     finally:
         instances.unpersist()
     if isinstance(fitted, OneVsRestModel):
-        stages[-1:] = [_margins(fitted.models, inputs, labels)]
+        stages[-1:] = [_margins(fitted.models, inputs, labels, sigmoids)]
     else:
         stages += [fitted, IndexToString(inputCol="prediction", outputCol="raw_prediction", labels=labels)]
     return TrainedModel(PipelineModel(stages), stats, tuple(labels), version, model_type)
@@ -173,13 +201,15 @@ def train_svm(train: DataFrame, stats: FeatureStats, **params) -> TrainedModel:
 def apply_model(df: DataFrame, model: TrainedModel, keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns, ``raw_prediction`` and ``probabilities`` (class -> probability, 4 decimals).
 
-    Models without probabilities get the softmax of their margins.
+    Models of margins give their calibrated probabilities, divided by their sum, or without these the softmax of the margins.
     """
     from pyspark.ml.functions import vector_to_array
 
     scored = model.pipeline.transform(align_features(df, list(model.stats.names), keep))
     if "probability" in scored.columns:
         scored = scored.withColumn("_p", vector_to_array("probability"))
+    elif "sigmoids" in scored.columns:
+        scored = scored.withColumn("_p", normalised(F.col("sigmoids")))
     else:
         # In steps, each used once per row.
         scored = scored.withColumn("_e", F.transform("margins", lambda m: F.exp(m - F.array_max("margins")))).withColumn(
