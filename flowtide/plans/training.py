@@ -58,8 +58,9 @@ def _logistic_regression(p, rows):
 
 
 def _svm(p, rows):
-    svc = LinearSVC(regParam=1.0 / max(rows, 1), standardization=False, **{k: v for k, v in p.items() if k not in ("dimensions", "folds")})
-    return OneVsRest(classifier=svc, labelCol="y", featuresCol="x", weightCol="weight")
+    svc = LinearSVC(regParam=1.0 / max(rows, 1), standardization=False, **{k: v for k, v in p.items() if k not in ("dimensions", "folds", "parallelism")})
+    # The classes' fits are many short jobs; side by side they fill the cores.
+    return OneVsRest(classifier=svc, labelCol="y", featuresCol="x", weightCol="weight", parallelism=p["parallelism"])
 
 
 MODEL_TYPES: dict[str, ModelType] = {
@@ -69,7 +70,7 @@ MODEL_TYPES: dict[str, ModelType] = {
         task_rows=15_000),
     "logistic_regression": ModelType("Logistic Regression", _logistic_regression, dict(maxIter=1000)),
     "decision_tree": ModelType("Decision Tree", _decision_tree, dict(maxDepth=20, seed=42, maxMemoryInMB=512)),
-    "svm": ModelType("Support Vector Machine", _svm, dict(maxIter=100, dimensions=64, folds=3), fourier=True),
+    "svm": ModelType("Support Vector Machine", _svm, dict(maxIter=100, dimensions=64, folds=3, parallelism=8), fourier=True),
 }
 
 

@@ -69,7 +69,7 @@ def test_calibrated_probabilities_beat_the_softmax(spark, tmp_path):
         assert len(scored) == 300 and all(abs(sum(r._p) - 1) < 1e-9 for r in scored)
         return -sum(math.log(r._p[model.classes.index(r.label)]) for r in scored) / len(scored)
 
-    params = dict(maxIter=20, dimensions=32)
+    params = dict(maxIter=8, dimensions=16)
     fitted = training.train_svm(train, stats, **params)
     assert loss(fitted) < loss(training.train_svm(train, stats, folds=0, **params))
     save_model(fitted, str(tmp_path / "m"))
