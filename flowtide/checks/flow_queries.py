@@ -9,7 +9,7 @@ from flowtide.checks.registry import query
 from flowtide.config import HOUR
 from flowtide.functions import network as net
 from flowtide.operators import features, flows
-from flowtide.schema import FEATURE_COLUMNS
+from flowtide.schema import FEATURE_COLUMNS, FEATURE_NAMES
 
 _KEYED = """
 keyed AS (
@@ -174,18 +174,18 @@ def q_flow_features(spark, packets):
     return got.select("k_proto", "k_ip_lo", "flow_seq", *[F.round(c, _digits(c)).alias(c) for c in FEATURE_COLUMNS])
 
 
-@query("project_feature_sample", "packets", sql=f"""WITH RECURSIVE {_GAPS}
-  SELECT k_proto, k_ip_lo, flow_seq, round(cast(max(us) - min(us) AS double), 4) AS flow_duration,
-         cast(count(*) FILTER (fwd) AS double) AS total_fwd_packets,
-         round(coalesce(stddev_pop(pkt_len) FILTER (NOT fwd), 0), 4) IS NOT NULL AS has_bwd_std, 12 AS n_features
-  FROM isl GROUP BY {_FLOW}""")
+_SAMPLE = list(zip(FEATURE_NAMES, FEATURE_COLUMNS))[:12]
+
+
+@query("project_feature_sample", "packets", sql=f"""SELECT * FROM (
+    SELECT k_proto, k_ip_lo, flow_seq, {", ".join(c for _, c in _SAMPLE)} FROM ({_features_sql()}) AS every_feature)""")
 def q_project_feature_sample(spark, packets):
-    got = features.project_feature_sample(features.flow_features(packets, FLOW), 12)
+    """All values of the sample map, which must hold these names only."""
+    got = features.project_feature_sample(features.flow_features(packets, FLOW), 12, digits=None)
     m = F.col("features")
-    return got.select("k_proto", "k_ip_lo", "flow_seq", m["Flow Duration"].alias("flow_duration"),
-                      m["Total Fwd Packets"].alias("total_fwd_packets"),
-                      F.map_contains_key(m, F.lit("Bwd Packet Length Min")).alias("has_bwd_std"),
-                      F.size(m).alias("n_features"))
+    names = F.array(*[F.lit(n) for n, _ in _SAMPLE])
+    return got.where(F.map_keys(m) == names).select(
+        "k_proto", "k_ip_lo", "flow_seq", *[F.round(m[n], _digits(c)).alias(c) for n, c in _SAMPLE])
 
 
 @query("tcp_flags_decode", "packets", sql="""

@@ -223,6 +223,52 @@ def q_evaluate_saved_model(spark, r):
     return evaluate_saved_model(spark, path, r)
 
 
+def _stored_tree(spark, r):
+    """A tree fitted on all labelled rows and the folder it is saved to."""
+    from flowtide.plans.training import fit_pipeline
+    from flowtide.session import ensure_checkpoint_dir
+    from flowtide.sources.models import save_model
+    import uuid
+    rows, features = _labelled(r)
+    model = fit_pipeline(rows, prep.fit_stats(rows, features), "decision_tree", "v1")
+    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    save_model(model, path)
+    return model, path
+
+
+@query("save_model", "flow_rows", sql=f"""WITH c AS ({_CLEAN}), m AS (SELECT {", ".join(f"quantile_cont({o}, 0.5) AS {o}" for o in _OUT)} FROM c),
+  f AS (SELECT {", ".join(f"coalesce(c.{o}, m.{o}) AS {o}" for o in _OUT)} FROM c, m)
+  {" UNION ALL ".join(f"SELECT '{n}' AS feature, round(any_value(m.{o}), 6) AS median, round(avg(f.{o}), 6) AS mean, "
+                      f"round(stddev_pop(f.{o}), 6) AS std FROM f, m" for n, o in zip(_NAMES, _OUT))}""")
+def q_save_model(spark, r):
+    """The fitted values that lie in the folder of a saved model."""
+    _, path = _stored_tree(spark, r)
+    stored = spark.read.schema("feature string, median double, mean double, std double").json(f"{path}/stats")
+    return stored.select("feature", *[F.round(c, 6).alias(c) for c in ("median", "mean", "std")])
+
+
+@query("load_model", "flow_rows", sql="""SELECT row_id, 'v1' AS model_version, count(*) AS n_rows, 0 AS unmatched, true AS sums_to_one,
+  true AS confidence_is_largest, 5 AS n_classes FROM $flow_rows GROUP BY row_id""")
+def q_load_model(spark, r):
+    """Every row scored by the model and by the model read back from its folder: scores of only one of them, and the laws
+    the scores keep. A row_id may repeat."""
+    from flowtide.plans.scoring import score_batch
+    from flowtide.sources.models import load_model
+    model, path = _stored_tree(spark, r)
+    ours, theirs = (score_batch(r, m, ("row_id",)).withColumns({"side": F.lit(k), "text": F.to_json("probabilities")})
+                    for m, k in ((model, -1), (load_model(spark, path), 1)))
+    values = F.map_values("probabilities")
+    total = F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    both = ours.unionByName(theirs).withColumns({
+        "sums": F.abs(total - 1) < 1e-3, "largest": F.abs(F.array_max(values) - F.col("confidence")) < 1e-4, "classes": F.size(values)})
+    scores = both.groupBy("row_id", "model_version", "prediction", "status", "severity", "confidence", "text").agg(
+        F.sum("side").alias("balance"), F.count_if(F.col("side") == 1).alias("n"), F.every("sums").alias("sums"),
+        F.every("largest").alias("largest"), F.max("classes").alias("classes"))
+    return scores.groupBy("row_id", "model_version").agg(
+        F.sum("n").alias("n_rows"), F.sum(F.abs("balance")).alias("unmatched"), F.every("sums").alias("sums_to_one"),
+        F.every("largest").alias("confidence_is_largest"), F.max("classes").alias("n_classes"))
+
+
 @query("score_batch", "flow_rows")
 def q_score_batch(spark, r):
     from flowtide.plans.scoring import score_batch
