@@ -168,6 +168,26 @@ def q_roc_auc(spark, p):
     return met.roc_auc(p, "label", {"BENIGN": F.col("score")}).select(F.round("roc_auc", 6).alias("roc_auc"))
 
 
+_T = "CASE WHEN own THEN (n1 + 1) / (n1 + 2) ELSE 1 / (n0 + 2) END"
+
+
+@query("platt_sigmoid", "predictions", sql=f"""WITH RECURSIVE d AS (SELECT doc_id, cast(score AS double) AS f, label = 'BENIGN' AS own FROM $predictions),
+  c AS (SELECT cast(count(*) FILTER (own) AS double) AS n1, cast(count(*) FILTER (NOT own) AS double) AS n0 FROM d),
+  newton AS (
+    SELECT 0 AS k, cast(0 AS double) AS a, ln((n0 + 1) / (n1 + 1)) AS b FROM c
+    UNION ALL
+    SELECT k + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+      SELECT k, a, b, sum(f * (t - p)) AS ga, sum(t - p) AS gb, sum(f * f * p * (1 - p)) AS haa, sum(f * p * (1 - p)) AS hab, sum(p * (1 - p)) AS hbb
+      FROM (SELECT k, a, b, f, {_T} AS t, 1 / (1 + exp(a * f + b)) AS p FROM newton, d, c WHERE k < 12) AS scored GROUP BY k, a, b) AS sums)
+  SELECT doc_id, round(1 / (1 + exp(a * f + b)), 4) AS probability FROM d, newton WHERE k = 12""")
+def q_platt_sigmoid(spark, p):
+    """Every row's score as a calibrated probability of its class."""
+    from flowtide.operators.calibration import fit_sigmoids, sigmoid
+    rows = p.select(F.when(F.col("label") == "BENIGN", 0.0).otherwise(1.0).alias("y"), F.array(F.col("score").cast("double")).alias("margins"))
+    (a, b), = fit_sigmoids(rows, 1)
+    return p.select("doc_id", F.round(sigmoid(F.col("score").cast("double"), F.lit(a), F.lit(b)), 4).alias("probability"))
+
+
 # -- estimators: rows only, on all flow rows, with the trainers' own parameters -------------------------------
 
 def _labelled(r):
