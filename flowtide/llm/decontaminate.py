@@ -141,7 +141,12 @@ def _found(docs: DataFrame, items: DataFrame, width: int, percent: int) -> DataF
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that hold an item; all columns and all other rows stay as they are."""
+    """``docs`` without the documents that hold an item; all columns, whatever their names, and all other rows stay as
+    they are.
+
+    Null, empty and blank texts hold nothing and stay; rows repeated with one doc_id and text go together. With no
+    items everything stays; an empty table stays empty.
+    """
     bad = _found(docs, items, width, percent).select(
         F.col("doc_id").alias("_held_id"), F.col("hash").alias("_held_hash")).distinct()
     # A null or repeated id says nothing about its other rows.

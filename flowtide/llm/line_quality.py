@@ -113,7 +113,10 @@ def _judged(docs: DataFrame, rules: QualityRules, with_lines: bool = False) -> D
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps; all columns as they are."""
+    """The rows of ``docs`` that ``judge`` keeps; all columns as they are, whatever their names.
+
+    Repeated rows stay or go together; a null text goes, as it has no words. An empty table stays empty.
+    """
     bad = judge(docs, rules).where("not kept").select(
         F.coalesce("doc_id", F.lit(LAST_ID)).alias("_bad_id"), F.col("mark").alias("_bad_mark")).distinct()
     same = (F.coalesce(docs["doc_id"].cast("bigint"), F.lit(LAST_ID)) == bad["_bad_id"]) & (
@@ -124,7 +127,10 @@ def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFram
 def clean_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The rows that ``judge`` keeps, their text without the host's common lines (the first document keeps them).
 
-    Columns stay as they are; n_chars is counted anew where a line went. Other texts are not touched.
+    Columns stay as they are, whatever their names; n_chars is counted anew where a line went. Other texts are not
+    touched. Repeated rows stay or go together and lose the same lines; a null text goes, as it has no words; a null
+    doc_id counts as the largest when the first document of a line is sought. An empty table stays empty. A text is
+    one row of any length; only the distinct common lines it loses are gathered beside it.
     """
     touched = _judged(docs, rules, True).where("not kept or lost_lines is not null").select(
         F.col("id").alias("_q_id"), F.col("mark").alias("_q_mark"), F.col("kept").alias("_q_kept"),

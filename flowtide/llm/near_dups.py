@@ -193,7 +193,11 @@ def _judged(docs: DataFrame, width: int, percent: int, bands: int = BANDS, rows:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps; all columns as they are."""
+    """The rows of ``docs`` that ``near_duplicates`` keeps; all columns as they are, whatever their names.
+
+    Null, empty and blank texts are linked with nothing and stay, as do all rows repeated with one doc_id and text
+    where that text stays. An empty table stays empty.
+    """
     gone = _judged(docs, width, percent).where("not kept").select(
         F.coalesce("doc_id", F.lit(LAST_ID)).alias("_gone_id"), F.col("hash").alias("_gone_hash")).distinct()
     same = (F.coalesce(docs["doc_id"].cast("bigint"), F.lit(LAST_ID)) == gone["_gone_id"]) & (

@@ -218,7 +218,12 @@ def pack(pieces: DataFrame, limits: Limits = Limits(), block_rows: int = 40_000)
 
 
 def packed_sequences(pieces: DataFrame) -> DataFrame:
-    """The sequences themselves: sequence_id, ids (binary), doc_starts and doc_ids, from packed pieces with ``ids``."""
+    """The sequences themselves: sequence_id, ids (binary), doc_starts and doc_ids, from packed pieces with ``ids``.
+
+    A sequence has at most ``Limits.tokens`` tokens, so at most so many pieces meet. Null ids of documents stay null
+    in ``doc_ids``; repeated pieces would stand twice. Columns other than these four are not read; an empty table
+    gives an empty result.
+    """
     parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids")))
     grouped = pieces.groupBy("sequence_id").agg(parts.alias("p"))
     return grouped.select(
@@ -227,14 +232,22 @@ def packed_sequences(pieces: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 2) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Reads doc_id and text. A null or empty text is the end id alone; a null doc_id stays null; repeated rows are packed
+    as often as they come. Longer texts are cut into pieces, none is dropped; one text is encoded whole in its task.
+    Which of several equal pieces goes where is open. Other columns are not read; an empty table gives an empty result.
+    """
     pieces = token_pieces(docs, path, limits.tokens, end_id)
     narrow = cut(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return pack(narrow, limits)
 
 
 def pack_documents_ids(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 2) -> DataFrame:
-    """The rows of ``pack_documents`` with ``ids``. Only the places are packed; the stored ids are joined back by row number."""
+    """The rows of ``pack_documents`` with ``ids``, for the same nulls, repeats and other columns.
+
+    Only the places are packed; the stored ids are joined back by row number.
+    """
     pieces = token_pieces(docs, path, limits.tokens, end_id).withColumn("ids_crc32", F.crc32("ids"))
     stored = cut(pieces.withColumn("row", F.monotonically_increasing_id()))
     placed = pack(stored.select("row", "doc_id", "piece", "length"), limits).select("row", "sequence_id", "offset")

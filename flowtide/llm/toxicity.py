@@ -173,7 +173,12 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: KnnConfig = KnnConfig()) -> Model:
-    """Learns from ``labels`` (doc_id, label), of which at most ``max_examples`` are used; counts over all ``docs``."""
+    """Learns from ``labels`` (doc_id, label), of which at most ``max_examples`` are used; counts over all ``docs``.
+
+    Labels with a null doc_id or label, or of a document that is not there, teach nothing; of several labels of one
+    doc_id the largest counts. The examples are those with the smallest hash of doc_id, ties by doc_id, so a repeated
+    run learns the same. Null texts have no terms. Columns other than doc_id and text are not read.
+    """
     spark = docs.sparkSession
     shelf = Shelf(spark, "toxicity")
     chosen = (labels.where("doc_id is not null and label is not null").groupBy(F.col("doc_id").cast("bigint").alias("_id"))
