@@ -1,7 +1,9 @@
 """A corpus made ready for training: quality rules, line dedup, near-duplicates, decontamination, packing.
 
 ``STAGES`` are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a DataFrame. ``run`` applies
-them to the documents of ``sf_dir``; every result is written as Parquet in the shared checkpoint folder and read again
+them to the documents of ``sf_dir``. Nulls, empty and very long texts, repeated rows, ties, empty tables and columns with
+clashing names are taken as the operator's docstring says: null and empty texts fail the quality rules; behind these every
+stage gives one result for rows repeated with one doc_id and text. Every result is written as Parquet in the shared checkpoint folder and read again
 as the next stage's documents, so a lost executor costs one stage at most.
 """
 
