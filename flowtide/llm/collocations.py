@@ -1,13 +1,15 @@
 """Phrases of two and three words that stand together more often than their parts would, counted by double-array tries.
 
 The texts are split once and stored as portions: the distinct words of about ``PORTION`` words, and a number for every
-word of the text. Three passes read them:
+word of the text, the commonest words first. Further passes read them:
 
 1. Words are counted, and every pair and triple adds to one of ``2**BUCKET_BITS`` hashed counters. A portion sends its
    counters in ranges, as Golomb-coded numbers; a range is summed in one place and becomes a bitmap of the counters that
-   reach the least frequency. (The pass that writes the portions.)
+   reach the least frequency.
 2. A phrase can only be frequent where its counter and those of all pairs in it are (the Apriori rule; a counter never
-   counts too little). What passes is a candidate.
+   counts too little). What passes is a candidate. A portion sends its distinct candidates in letters, one a bucket of
+   the first two words' hashes: the words that stand in them once, the phrases as Golomb-coded numbers of these words.
+   A bucket's letters are merged in one place.
 3. The candidates are split into blocks of about ``BLOCK_PHRASES`` by their first word, a first word of very many phrases
    over several blocks; every block becomes a double-array trie in a task of its own. ``BLOCKS_A_SCAN`` tries at a time
    are broadcast, all text positions advance through a trie together, and the accepting states are counted; the
@@ -44,8 +46,14 @@ SLICE = 1_000_000
 _BITS = 21
 #: Longer words stand in a trie's list by their hash.
 _LONG = 64
-#: The counts of a portion are sent up to this.
+#: ``least`` is at most this; the counters of a portion are sent up to ``least``.
 _MOST = 65_535
+#: A bucket gets the candidates of about so many words of text; bounds the memory of the task that merges them.
+BUCKET_WORDS = 8_000_000
+#: A task sends its candidates when it holds so many distinct ones, its counters after so many positions.
+HELD, POSITIONS = 500_000, 2_000_000
+#: Phrases of a letter at most.
+LETTER = 100_000
 
 #: Every end of a piece becomes a full stop, a tab a space.
 _TABLE = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b".........\x20")
@@ -108,52 +116,71 @@ def _portions(batches):
     yield from closed()
 
 
-def _counters(lang: str, words: list[bytes], numbers: np.ndarray):
-    """Positions of pairs and triples, and the counter of each."""
+def _planes(values: np.ndarray) -> bytes:
+    """All first bytes of the integers, then all second bytes, ...: the high ones are nearly all 0 and compress away."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _flat(planes: bytes, dtype) -> np.ndarray:
+    """The integers that ``_planes`` was given."""
+    wide = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(wide, -1).T).view(dtype).ravel()
+
+
+def _sparse(places: np.ndarray, times: np.ndarray) -> bytes:
+    """Ascending, distinct places and their counts. Most counts are 1; the others follow with their index."""
+    more = np.flatnonzero(times > 1)
+    (shift, code), (more_shift, more_code) = golomb_encode(places.astype(np.uint64)), golomb_encode(more.astype(np.uint64))
+    head = np.array([len(places), shift, len(code), len(more), more_shift, len(more_code)], np.int64)
+    return head.tobytes() + code + more_code + _planes(times[more])
+
+
+def _unpacked(letter: bytes, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The places and counts that ``_sparse`` was given."""
+    n, shift, size, m, more_shift, more_size = np.frombuffer(letter, np.int64, 6).tolist()
+    code, more, rest = letter[48 : 48 + size], letter[48 + size : 48 + size + more_size], letter[48 + size + more_size :]
+    times = np.ones(n, dtype)
+    times[golomb_decode(m, more_shift, more).astype(np.int64)] = _flat(rest, dtype)
+    return golomb_decode(n, shift, code).astype(np.int64), times
+
+
+def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
     seed = xxhash.xxh3_64_intdigest(lang.encode())
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))[numbers]
-    real = numbers > 0
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
+
+
+def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(first * _STEP + second)
+
+
+def _counters(hashes: np.ndarray, numbers: np.ndarray):
+    """Positions of pairs and triples, and the counter of each; ``hashes`` are those of the words."""
+    hashes, real = hashes[numbers], numbers > 0
     two = real[:-1] & real[1:]
     three = two[:-1] & real[2:]
     shift = np.uint64(64 - BUCKET_BITS)
-    with np.errstate(over="ignore"):
-        pair = mix(hashes[:-1] * _STEP + hashes[1:])
-        triple = mix(pair[:-1] * _STEP + hashes[2:])
+    pair = _pair_hash(hashes[:-1], hashes[1:])
+    triple = _pair_hash(pair[:-1], hashes[2:])
     return two, three, (pair >> shift).astype(np.uint32), (triple >> shift).astype(np.uint32)
 
 
-_SEEN = ("lang string, words array<binary>, counts array<bigint>, numbers binary, kind int, range int, entries int, shift int, code binary, "
-         "extra binary")
+_SEEN = "lang string, words array<binary>, counts array<bigint>, numbers binary"
 
 
 def _seen(batches):
-    """Portions with the counts of their words, and the counters of their pairs and triples by range."""
-    types = {"lang": pa.string(), "words": pa.list_(pa.binary()), "counts": pa.list_(pa.int64()), "numbers": pa.binary(), "kind": pa.int32(),
-             "range": pa.int32(), "entries": pa.int32(), "shift": pa.int32(), "code": pa.binary(), "extra": pa.binary()}
-
-    def made(columns: dict, rows: int):
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in types.items()], list(types))
-
+    """Portions with the counts of their words, the commonest word first."""
     for lang, words, numbers in _portions(batches):
         counts = np.bincount(numbers, minlength=len(words))
-        yield made({"lang": [lang], "words": [words], "counts": [counts], "numbers": [numbers.tobytes()]}, 1)
-        if len(numbers) < 3:
-            continue
-        two, three, pair, triple = _counters(lang, words, numbers)
-        rows = {c: [] for c in ("kind", "range", "entries", "shift", "code", "extra")}
-        for kind, at in ((2, pair[two]), (3, triple[three])):
-            where, times = np.unique(at, return_counts=True)
-            edges = np.searchsorted(where, np.arange((1 << BUCKET_BITS - RANGE_BITS) + 1) << RANGE_BITS)
-            for k in np.flatnonzero(np.diff(edges)):
-                ids, n = where[edges[k] : edges[k + 1]] - np.uint32(int(k) << RANGE_BITS), times[edges[k] : edges[k + 1]]
-                shift, code = golomb_encode(ids.astype(np.uint64))
-                more = np.flatnonzero(n > 1)
-                # Most counts are 1; the others follow as (place in the list, count).
-                extra = more.astype(np.uint32).tobytes() + np.minimum(n[more], _MOST).astype(np.uint16).tobytes()
-                for c, v in zip(rows, (kind, int(k), len(ids), shift, code, extra)):
-                    rows[c].append(v)
-        yield made(rows, len(rows["kind"]))
-        del two, three, pair, triple, rows
+        # The end of a piece keeps number 0.
+        order = np.append(0, 1 + np.argsort(-counts[1:], kind="stable"))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang], pa.string()), pa.array([[words[k] for k in order]], pa.list_(pa.binary())),
+             pa.array([counts[order]], pa.list_(pa.int64())), pa.array([_planes(place[numbers])], pa.binary())],
+            ["lang", "words", "counts", "numbers"])
+        del words, numbers, counts, order, place
         _give_back()
 
 
@@ -161,7 +188,43 @@ def _stored(batches):
     """The portions that ``_seen`` wrote; the words as an Arrow array."""
     for batch in batches:
         for lang, words, numbers in zip(*(batch.column(k) for k in range(3))):
-            yield lang.as_py(), words.values, np.frombuffer(numbers.as_py(), np.int32)
+            yield lang.as_py(), words.values, _flat(numbers.as_py(), np.int32)
+
+
+def _added(least: int):
+    """The counters of the portions' pairs and triples, by range, each up to ``least``."""
+
+    def letters(held):
+        rows = []
+        for kind, parts in held.items():
+            where, times = np.unique(np.concatenate(parts), return_counts=True)
+            times = np.minimum(times, least).astype(np.uint16)
+            edges = np.searchsorted(where, np.arange((1 << BUCKET_BITS - RANGE_BITS) + 1) << RANGE_BITS)
+            for k in np.flatnonzero(np.diff(edges)):
+                own = slice(edges[k], edges[k + 1])
+                rows.append((kind, int(k), _sparse(where[own] - np.uint32(int(k) << RANGE_BITS), times[own])))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["kind", "range", "letter"])
+
+    def run(batches):
+        held, size = {2: [], 3: []}, 0
+        for lang, words, numbers in _stored(batches):
+            if len(numbers) < 3:
+                continue
+            two, three, pair, triple = _counters(_hashes(lang, words.to_pylist()), numbers)
+            held[2].append(pair[two])
+            held[3].append(triple[three])
+            size += len(numbers)
+            del two, three, pair, triple
+            if size >= POSITIONS:
+                yield letters(held)
+                held, size = {2: [], 3: []}, 0
+        if size:
+            yield letters(held)
+        del held
+        _give_back()
+
+    return run
 
 
 def _heavy(least: int):
@@ -176,15 +239,12 @@ def _heavy(least: int):
                 ["kind", "range", "bits"])
 
         for batch in batches:
-            for kind, part, entries, shift, code, extra in zip(*batch.columns):
+            for kind, part, letter in zip(*batch.columns):
                 if (kind.as_py(), part.as_py()) != at:
                     if at:
                         yield closed()
                     at, total = (kind.as_py(), part.as_py()), np.zeros(1 << RANGE_BITS, np.uint32)
-                times, extra = np.ones(entries.as_py(), np.uint32), extra.as_py()
-                m = len(extra) // 6
-                times[np.frombuffer(extra, np.uint32, m)] = np.frombuffer(extra, np.uint16, m, 4 * m)
-                places = golomb_decode(entries.as_py(), shift.as_py(), code.as_py()).astype(np.int64)
+                places, times = _unpacked(letter.as_py(), np.uint16)
                 total[places] = np.minimum(total[places] + times, least)
         if at:
             yield closed()
@@ -204,30 +264,129 @@ def _distinct(size: int, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(key >> _BITS * (len(columns) - 1 - k) & low for k in range(len(columns)))
 
 
-def _candidates(bitmaps):
-    """Distinct phrases of a portion whose counters, and those of the pairs in them, are heavy."""
+class _Phrases:
+    """Distinct phrases of one language, as numbers of their words; 0 is no word."""
+
+    def __init__(self):
+        self.known, self.parts, self.held, self.kept = _Numbers(), [], 0, 0
+
+    def add(self, words: list[bytes], columns: list[np.ndarray]) -> None:
+        """Phrases whose columns hold places in ``words``, from 1."""
+        number = np.fromiter(map(self.known.__getitem__, [b".", *words]), np.int32, len(words) + 1)
+        self.parts.append([number[c] for c in columns])
+        self.held += len(columns[0])
+        if self.held > 2 * self.kept + HELD:
+            self.distinct()
+
+    def distinct(self) -> list[np.ndarray]:
+        found = [c.astype(np.int32) for c in _distinct(len(self.known), *(np.concatenate(c) for c in zip(*self.parts)))]
+        self.parts, self.held, self.kept = [found], len(found[0]), len(found[0])
+        return found
+
+    def words(self) -> pa.Array:
+        return pa.array(list(self.known), pa.binary())
+
+
+_LETTER = "bucket int, lang string, words array<binary>, entries int, shift int, code binary"
+
+
+def _written(words: pa.Array, first: np.ndarray, second: np.ndarray, third: np.ndarray) -> tuple:
+    """A letter: the phrases' own words, and the phrases as numbers of these (from 1; 0 is none)."""
+    used, own = np.unique(np.concatenate([first, second, third]), return_inverse=True)
+    own = own.astype(np.uint64)
+    if used[0] == 0:
+        used = used[1:]
+    else:
+        own += np.uint64(1)
+    bits = np.uint64(len(used).bit_length())
+    a, b, c = np.split(own, 3)
+    shift, code = golomb_encode(np.sort((a << bits | b) << bits | c))
+    return words.take(pa.array(used)), len(first), shift, code
+
+
+def _read(words: int, entries: int, shift: int, code: bytes) -> list[np.ndarray]:
+    """The first, second and third words' numbers of a letter of so many words."""
+    bits, keys = np.uint64(words.bit_length()), golomb_decode(entries, shift, code)
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    return [(keys >> bits * np.uint64(k) & low).astype(np.int64) for k in (2, 1, 0)]
+
+
+def _candidates(bitmaps, buckets: int):
+    """Letters by bucket: the distinct phrases of a task's portions whose counters, and those of the pairs in them, are heavy."""
 
     def heavy(kind: int, at: np.ndarray) -> np.ndarray:
         return (bitmaps.value[kind][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
+    def letters(lang: str, phrases: _Phrases):
+        found, words = phrases.distinct(), phrases.words()
+        hashes = _hashes(lang, words.to_pylist())
+        to = (_pair_hash(hashes[found[0]], hashes[found[1]]) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        ends = np.cumsum(np.bincount(to, minlength=buckets))
+        for bucket, end in enumerate(ends):
+            for start in range(ends[bucket - 1] if bucket else 0, end, LETTER):
+                own, entries, shift, code = _written(words, *(c[order[start : min(start + LETTER, end)]] for c in found))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([bucket], pa.int32()), pa.array([lang], pa.string()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own),
+                     pa.array([entries], pa.int32()), pa.array([shift], pa.int32()), pa.array([code], pa.binary())],
+                    ["bucket", "lang", "words", "entries", "shift", "code"])
+
     def run(batches):
+        open_ = {}
         for lang, text, numbers in _stored(batches):
             if len(numbers) < 3:
                 continue
-            two, three, pair, triple = _counters(lang, text.to_pylist(), numbers)
+            two, three, pair, triple = _counters(_hashes(lang, text.to_pylist()), numbers)
             two[two] = heavy(2, pair[two])
             three &= two[:-1] & two[1:]
             three[three] = heavy(3, triple[three])
-            for found in (_distinct(len(text), numbers[:-1][two], numbers[1:][two]),
-                          _distinct(len(text), numbers[:-2][three], numbers[1:-1][three], numbers[2:][three])):
-                columns = [text.take(pa.array(c)) for c in found] + [pa.nulls(len(found[0]), pa.binary())] * (3 - len(found))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found[0]), pa.string()), *columns], ["lang", "w1", "w2", "w3"])
-            del two, three, pair, triple, found, columns
-            _give_back()
+            doubles = _distinct(len(text), numbers[:-1][two], numbers[1:][two])
+            triples = _distinct(len(text), numbers[:-2][three], numbers[1:-1][three], numbers[2:][three])
+            del two, three, pair, triple
+            if len(doubles[0]):
+                found = [np.concatenate(c) for c in zip((*doubles, np.zeros(len(doubles[0]), np.int64)), triples)]
+                used, own = np.unique(np.concatenate([[0], *found]), return_inverse=True)
+                open_.setdefault(lang, _Phrases()).add(text.take(pa.array(used[1:])).to_pylist(), np.split(own[1:], 3))
+                del found, used, own
+            del doubles, triples
+            if sum(p.held for p in open_.values()) >= 2 * HELD and sum(len(p.distinct()[0]) for p in open_.values()) >= HELD:
+                for at, phrases in open_.items():
+                    yield from letters(at, phrases)
+                open_ = {}
+                _give_back()
+        for at, phrases in open_.items():
+            yield from letters(at, phrases)
+        del open_
+        _give_back()
 
     return run
 
 
+def _merged(batches):
+    """Letters sorted by bucket and language -> their distinct phrases; w3 is null in pairs."""
+    at, phrases = None, None
+
+    def closed():
+        found, words = phrases.distinct(), phrases.words()
+        columns = [words.take(pa.array(c, mask=c == 0)) for c in found]
+        for k in range(0, len(found[0]), LETTER):
+            own = [c.slice(k, LETTER) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array([at[1]] * len(own[0]), pa.string()), *own], ["lang", "w1", "w2", "w3"])
+
+    for batch in batches:
+        for bucket, lang, words, entries, shift, code in zip(*batch.columns):
+            if (bucket.as_py(), lang.as_py()) != at:
+                if at:
+                    yield from closed()
+                at, phrases = (bucket.as_py(), lang.as_py()), _Phrases()
+            words = words.as_py()
+            phrases.add(words, _read(len(words), entries.as_py(), shift.as_py(), code.as_py()))
+    if at:
+        yield from closed()
+    phrases = None
+    _give_back()
+
+
 def _key(word: bytes) -> bytes:
     """What stands for a word in a trie's list of words: a long word's 128-bit hash, behind a byte no word holds."""
     return word if len(word) <= _LONG else b"\xff" + hashlib.blake2b(word, digest_size=16).digest()
@@ -263,7 +422,7 @@ def _build(block: pa.Table) -> pa.Table:
 
 
 def _count(tries):
-    """(block, numbers, counts) of the phrases that stand in the task's portions."""
+    """(block, letter) with the numbers and counts of the phrases that stand in the task's portions."""
 
     def run(batches):
         _give_back()
@@ -281,35 +440,49 @@ def _count(tries):
                     trie.count(langs[lang], own, numbers, 3, totals)
         for block, _, _, _, totals in known:
             found = np.flatnonzero(totals)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([found.astype(np.uint32).tobytes()], pa.binary()), pa.array([totals[found].tobytes()], pa.binary())],
-                ["block", "numbers", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_sparse(found, totals[found])], pa.binary())], ["block", "letter"])
 
     return run
 
 
-def _summed(least: int):
-    """The tasks' counts sorted by block -> (block, number, f) with f >= ``least``."""
+def _summed(batches):
+    """The tasks' letters sorted by block -> (block, counts): the counts of all its phrases up to the last that was seen."""
+    at, total = None, np.zeros(0, np.int64)
 
-    def run(batches):
-        at, total = None, np.zeros(0, np.int64)
+    def closed():
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([_planes(total)], pa.binary())], ["block", "counts"])
 
-        def closed():
-            found = np.flatnonzero(total >= least)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), at)), pa.array(found), pa.array(total[found])], ["block", "number", "f"])
+    for batch in batches:
+        for block, letter in zip(*batch.columns):
+            if block.as_py() != at:
+                if at is not None:
+                    yield closed()
+                at, total = block.as_py(), np.zeros(0, np.int64)
+            places, times = _unpacked(letter.as_py(), np.int64)
+            if len(places) and places[-1] >= len(total):
+                total = np.concatenate([total, np.zeros(int(places[-1]) + 1 - len(total), np.int64)])
+            total[places] += times
+    if at is not None:
+        yield closed()
 
+
+_COUNTED = "lang string, w1 binary, w2 binary, w3 binary, f bigint"
+
+
+def _frequent(counts, least: int):
+    """Phrases of a scan's blocks with f >= ``least``; a phrase's number is its place in its block's counts."""
+
+    def run(batches):
+        totals = {block: _flat(planes, np.int64) for block, planes in counts.value.items()}
         for batch in batches:
-            for block, numbers, counts in zip(*batch.columns):
-                if block.as_py() != at:
-                    if at is not None:
-                        yield closed()
-                    at, total = block.as_py(), np.zeros(0, np.int64)
-                places = np.frombuffer(numbers.as_py(), np.uint32)
-                if len(places) and places[-1] >= len(total):
-                    total = np.concatenate([total, np.zeros(int(places[-1]) + 1 - len(total), np.int64)])
-                total[places] += np.frombuffer(counts.as_py(), np.int64)
-        if at is not None:
-            yield closed()
+            block, number = (batch.column(k).to_numpy() for k in range(2))
+            f = np.zeros(len(number), np.int64)
+            for at, total in totals.items():
+                own = np.flatnonzero((block == at) & (number < len(total)))
+                f[own] = total[number[own]]
+            often = np.flatnonzero(f >= least)
+            words = [batch.column(k).take(pa.array(often)) for k in range(2, 6)]
+            yield pa.RecordBatch.from_arrays([*words, pa.array(f[often])], ["lang", "w1", "w2", "w3", "f"])
 
     return run
 
@@ -318,13 +491,13 @@ def _frequencies(docs: DataFrame, shelf: Shelf, least: int) -> tuple[DataFrame,
     """(lang, word, f) of all words, and (lang, w1, w2, w3, f) of the phrases with f >= ``least``; w3 may be null."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    seen = shelf.put(texts.mapInArrow(_seen, _SEEN), "seen")
-    portions = seen.where("numbers IS NOT NULL").select("lang", "words", "numbers")
-    counted = seen.where("numbers IS NOT NULL").select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
+    seen = shelf.put(texts.mapInArrow(_seen, _SEEN), "seen", compression="zstd")
+    portions = seen.select("lang", "words", "numbers")
+    counted = seen.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
     # The first word of a portion is the end of a piece.
     words = shelf.put(counted.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f")).where(
         F.col("word") != F.lit(".").cast("binary")), "words")
-    ranges = seen.where("code IS NOT NULL").select("kind", "range", "entries", "shift", "code", "extra")
+    ranges = portions.mapInArrow(_added(least), "kind int, range int, letter binary")
     heavy = ranges.repartition("kind", "range").sortWithinPartitions("kind", "range").mapInArrow(_heavy(least), "kind int, range int, bits binary")
     bitmaps = {k: np.zeros(1 << BUCKET_BITS - 3, np.uint8) for k in (2, 3)}
     size = 1 << RANGE_BITS - 3
@@ -332,25 +505,32 @@ def _frequencies(docs: DataFrame, shelf: Shelf, least: int) -> tuple[DataFrame,
         bitmaps[r.kind][r.range * size : (r.range + 1) * size] = np.frombuffer(r.bits, np.uint8)
     sent = spark.sparkContext.broadcast(bitmaps)
     del bitmaps
-    found = shelf.put(portions.mapInArrow(_candidates(sent), "lang string, w1 binary, w2 binary, w3 binary").distinct(), "candidates")
+    buckets = buckets_for(words.agg(F.sum("f")).first()[0] or 0, BUCKET_WORDS)
+    letters = portions.mapInArrow(_candidates(sent, buckets), _LETTER).repartition("bucket").sortWithinPartitions("bucket", "lang")
+    found = shelf.put(letters.mapInArrow(_merged, "lang string, w1 binary, w2 binary, w3 binary"), "candidates")
     sent.destroy()
 
     blocks = buckets_for(found.count(), BLOCK_PHRASES)
-    wide = found.groupBy("lang", "w1").agg(F.ceil(4 * F.count("*") / BLOCK_PHRASES).alias("over"))
-    blocked = found.join(wide, ["lang", "w1"]).withColumn(
-        "block", F.pmod(F.xxhash64("lang", "w1", F.pmod(F.xxhash64("w2", "w3"), "over")), F.lit(blocks))).drop("over")
+    # Few first words have so many phrases.
+    wide = found.groupBy("lang", "w1").agg(F.ceil(4 * F.count("*") / BLOCK_PHRASES).alias("over")).where("over > 1")
+    blocked = found.join(F.broadcast(wide), ["lang", "w1"], "left").withColumn("block", F.pmod(
+        F.xxhash64("lang", "w1", F.pmod(F.xxhash64("w2", "w3"), F.coalesce("over", F.lit(1).cast("bigint")))), F.lit(blocks))).drop("over")
     tries = shelf.put(blocked.groupBy("block").applyInArrow(_build, _TRIE), "tries")
+    shelf.remove("candidates")
     done = []
     for start in range(0, blocks, BLOCKS_A_SCAN):
         some = tries.where(F.col("base").isNotNull() & F.col("block").between(start, start + BLOCKS_A_SCAN - 1))
         sent = spark.sparkContext.broadcast([r.asDict() for r in some.drop("number", "lang", "w1", "w2", "w3").toLocalIterator()])
-        counts = portions.mapInArrow(_count(sent), "block bigint, numbers binary, counts binary").repartition("block").sortWithinPartitions("block")
-        shelf.put(counts.mapInArrow(_summed(least), "block bigint, number bigint, f bigint"), f"counts-{start}")
-        done.append(f"counts-{start}")
+        letters = portions.mapInArrow(_count(sent), "block bigint, letter binary").repartition("block").sortWithinPartitions("block")
+        counts = {r.block: bytes(r.counts) for r in letters.mapInArrow(_summed, "block bigint, counts binary").toLocalIterator()}
+        sent.destroy()
+        sent = spark.sparkContext.broadcast(counts)
+        some = tries.where(F.col("number").isNotNull() & F.col("block").between(start, start + BLOCKS_A_SCAN - 1))
+        shelf.put(some.select("block", "number", "lang", "w1", "w2", "w3").mapInArrow(_frequent(sent, least), _COUNTED), f"phrases-{start}")
+        done.append(f"phrases-{start}")
         sent.destroy()
-    counts = shelf.read("block bigint, number bigint, f bigint", *done)
-    phrases = tries.where("number IS NOT NULL").select("block", "number", "lang", "w1", "w2", "w3").join(counts, ["block", "number"])
-    return words, shelf.put(phrases.select("lang", "w1", "w2", "w3", "f"), "phrases")
+    shelf.remove("seen", "tries")
+    return words, shelf.read(_COUNTED, *done)
 
 
 def _score(l: str, r: str):

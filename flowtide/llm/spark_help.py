@@ -29,8 +29,8 @@ class Shelf:
         self.spark = spark
         self.folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.folder}/{name}")
+    def put(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}", compression=compression)
         return self.read(df.schema, name)
 
     def read(self, schema, *names: str) -> DataFrame:

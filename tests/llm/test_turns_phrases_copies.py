@@ -1,5 +1,6 @@
 """Turn repair, phrase mining and exact duplicates against plain versions."""
 
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -249,3 +250,61 @@ def test_double_array_counts_what_plain_counting_does():
                 if len(part) == k and 0 not in part:
                     seen[part + (0,) * (3 - k)] += 1
         assert totals.tolist() == [seen[tuple(p)] if root == 1 else 0 for root, *p in both.tolist()]
+
+
+def test_phrase_tables_stay_below_the_texts(documents, monkeypatch, tmp_path):
+    """What lies on disk while phrases are mined: no stored table is as large as the texts, letters hold few bytes a phrase."""
+    from flowtide.llm.spark_help import Shelf
+
+    sizes, put = {}, Shelf.put
+
+    def measured(self, df, name, *rest, **named):
+        got = put(self, df, name, *rest, **named)
+        folder = self.folder.removeprefix("file:")
+        sizes[name] = sum(os.path.getsize(f"{folder}/{name}/{f}") for f in os.listdir(f"{folder}/{name}") if f.endswith(".parquet"))
+        return got
+
+    monkeypatch.setattr(Shelf, "put", measured)
+    texts = documents.selectExpr("sum(octet_length(text))").first()[0]
+    assert collocations.mine_phrases(documents.coalesce(1), least=4, percent=50, top=40).count() > 0
+    assert max(sizes.values()) < texts, (sizes, texts)
+
+
+def test_letters_of_phrases_and_counts_come_back():
+    rng = np.random.default_rng(5)
+    words = pa.array([b"."] + [f"word{i}".encode() for i in range(900)], pa.binary())
+    found = [c.astype(np.int64) for c in np.unique(rng.integers(1, 901, (3, 20_000)), axis=1)]
+    found[2][rng.random(len(found[2])) < 0.4] = 0
+    found = list(np.unique(np.stack(found), axis=1))
+    own, entries, shift, code = collocations._written(words, *found)
+    assert entries == len(found[0]) and len(code) < 5 * entries
+    got = np.stack(collocations._read(len(own), entries, shift, code))
+    text = [None, *own.to_pylist()]
+    want = {tuple(words[int(w)].as_py() if w else None for w in p) for p in zip(*found)}
+    assert {tuple(text[w] for w in p) for p in got.T} == want and got.shape[1] == len(want)
+    for dtype, most in ((np.uint16, 65_535), (np.int64, 2**40)):
+        places = np.flatnonzero(rng.random(50_000) < 0.1)
+        times = np.where(rng.random(len(places)) < 0.8, 1, rng.integers(1, most, len(places))).astype(dtype)
+        back = collocations._unpacked(collocations._sparse(places, times), dtype)
+        assert (back[0] == places).all() and (back[1] == times).all()
+    empty = collocations._unpacked(collocations._sparse(np.zeros(0, np.int64), np.zeros(0, np.int64)), np.int64)
+    assert len(empty[0]) == len(empty[1]) == 0
+
+
+def test_merged_letters_hold_each_phrase_once(monkeypatch):
+    monkeypatch.setattr(collocations, "HELD", 50)
+    monkeypatch.setattr(collocations, "LETTER", 30)
+    rng, want, rows_ = np.random.default_rng(6), {}, []
+    for letter in range(40):
+        lang = "de" if letter >= 20 else "en"
+        words = pa.array([b"."] + [f"w{k}".encode() for k in rng.permutation(12)], pa.binary())
+        phrases = np.unique(rng.integers(1, 13, (20, 3)), axis=0)
+        phrases[::3, 2] = 0
+        phrases = np.unique(phrases, axis=0)
+        own, entries, shift, code = collocations._written(words, *phrases.T)
+        rows_.append((1, lang, own.to_pylist(), entries, shift, code))
+        want.setdefault(lang, set()).update(tuple(words[int(w)].as_py() if w else None for w in p) for p in phrases)
+    types = [pa.int32(), pa.string(), pa.list_(pa.binary()), pa.int32(), pa.int32(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_), types)], ["bucket", "lang", "words", "entries", "shift", "code"])
+    got = [tuple(r.values()) for b in collocations._merged([batch]) for r in b.to_pylist()]
+    assert len(got) == len(set(got)) and set(got) == {(lang, *p) for lang, v in want.items() for p in v}
