@@ -4,6 +4,7 @@ import struct
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from flowtide.operators import prep
@@ -152,6 +153,17 @@ def test_compare_models(spark, raw):
         training.train_model(raw.limit(60), row_id="id")
 
 
+@pytest.mark.parametrize("classes", [2, 3])
+def test_models_train_in_a_session_that_observed(spark, raw, classes):
+    """Once a DataFrame was observed, Spark cannot serialize the session, which summaries of fitted models hold."""
+    seen = Observation()
+    assert spark.range(7).observe(seen, F.count("*").alias("n")).count() == 7 and seen.get["n"] == 7
+    rows = raw if classes == 3 else raw.where("trim(` Label`) <> 'PortScan'")
+    got = training.compare_models(rows, row_id="id", params=SMALL).collect()
+    assert {r.model_type: (r.status, r.accuracy > 0.6 if r.accuracy else r.error[:200]) for r in got} == {
+        t: ("success", True) for t in training.MODEL_TYPES}
+
+
 def test_svm_projection_is_deterministic(raw):
     rows, features = prep.prepare_raw(raw, ("id",))
     stats = prep.fit_stats(rows, features)
