@@ -3,30 +3,28 @@
 The texts are split once and stored as portions: the distinct words of about ``PORTION`` words, and a number for every
 word of the text, the commonest words first. Further passes read them:
 
-1. Words are counted, and every pair and triple adds to one of ``2**BUCKET_BITS`` hashed counters. A portion sends its
-   counters in ranges, as Golomb-coded numbers; a range is summed in one place and becomes a bitmap of the counters that
-   reach the least frequency.
+1. Words are counted, and every pair and triple adds to one of ``2**BUCKET_BITS`` or more hashed counters. A portion
+   sends its counters in ranges, as Golomb-coded numbers; a range is summed in one place and becomes a bitmap of the
+   counters that reach the least frequency.
 2. A phrase can only be frequent where its counter and those of all pairs in it are (the Apriori rule; a counter never
-   counts too little). What passes is a candidate. A portion sends its distinct candidates in letters, one a bucket of
-   the first two words' hashes: the words that stand in them once, the phrases as Golomb-coded numbers of these words.
-   A bucket's letters are merged in one place.
-3. The candidates are split into blocks of about ``BLOCK_PHRASES`` by their first word, a first word of very many phrases
-   over several blocks; every block becomes a double-array trie in a task of its own. ``BLOCKS_A_SCAN`` tries at a time
-   are broadcast, all text positions advance through a trie together, and the accepting states are counted; the
-   portions' counts are added up by block.
-
-What is broadcast has a fixed size: two bitmaps of ``2**BUCKET_BITS`` bits, and so many blocks. With more text the
-bitmaps let more candidates pass, which costs blocks and changes no count.
+   counts too little). What passes is a candidate. A task sends its distinct candidates and how often it has them in
+   letters, one a bucket of the first two words' hashes: the words that stand in them once, the phrases as Golomb-coded
+   numbers of these words, and the counts above 1.
+3. A bucket's letters meet in one place, and counters of its own, which know how often each phrase was sent, thin the
+   candidates once more. What is left is dealt into double-array tries of about ``BLOCK_PHRASES``; all phrases of a letter
+   advance through a trie together, and their counts are added up at the accepting states.
+
+The portions are read twice, however many candidates there are. What is broadcast has a bounded size: two bitmaps of at
+most ``2**MOST_BITS`` bits. With more text they let more candidates pass, which costs letters and changes no count.
 """
 
 from __future__ import annotations
 
 import ctypes
-import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,19 +34,20 @@ from flowtide.llm.fingerprints import golomb_decode, golomb_encode
 from flowtide.llm.shingles import mix
 from flowtide.llm.spark_help import Shelf, buckets_for, cut
 
-BUCKET_BITS, RANGE_BITS = 26, 20
-BLOCK_PHRASES, BLOCKS_A_SCAN = 300_000, 2
+#: There are ``2**BUCKET_BITS`` counters, with more text one for two words, up to ``2**MOST_BITS``.
+BUCKET_BITS, MOST_BITS, RANGE_BITS = 26, 28, 20
+#: A bucket's own counters are at most ``2**OWN_BITS``.
+OWN_BITS = 23
+BLOCK_PHRASES = 300_000
 #: Words of a portion, about; bounds a task's memory.
 PORTION = 700_000
 #: Bytes of a text that are split at once; the cut lies at the end of a piece.
 SLICE = 1_000_000
 #: Word numbers of a portion have so many bits, so that three fit into one integer; a giant piece may need more.
 _BITS = 21
-#: Longer words stand in a trie's list by their hash.
-_LONG = 64
 #: ``least`` is at most this; the counters of a portion are sent up to ``least``.
 _MOST = 65_535
-#: A bucket gets the candidates of about so many words of text; bounds the memory of the task that merges them.
+#: A bucket gets the candidates of about so many words of text; bounds the memory of the task that counts them.
 BUCKET_WORDS = 8_000_000
 #: A task sends its candidates when it holds so many distinct ones, its counters after so many positions.
 HELD, POSITIONS = 500_000, 2_000_000
@@ -154,12 +153,17 @@ def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return mix(first * _STEP + second)
 
 
-def _counters(hashes: np.ndarray, numbers: np.ndarray):
+def _bits(words: int) -> int:
+    """The counters of so many words of text are two to this power."""
+    return max(BUCKET_BITS, min(MOST_BITS, (max(words, 1) // 2).bit_length()))
+
+
+def _counters(hashes: np.ndarray, numbers: np.ndarray, bits: int):
     """Positions of pairs and triples, and the counter of each; ``hashes`` are those of the words."""
     hashes, real = hashes[numbers], numbers > 0
     two = real[:-1] & real[1:]
     three = two[:-1] & real[2:]
-    shift = np.uint64(64 - BUCKET_BITS)
+    shift = np.uint64(64 - bits)
     pair = _pair_hash(hashes[:-1], hashes[1:])
     triple = _pair_hash(pair[:-1], hashes[2:])
     return two, three, (pair >> shift).astype(np.uint32), (triple >> shift).astype(np.uint32)
@@ -191,7 +195,7 @@ def _stored(batches):
             yield lang.as_py(), words.values, _flat(numbers.as_py(), np.int32)
 
 
-def _added(least: int):
+def _added(least: int, bits: int):
     """The counters of the portions' pairs and triples, by range, each up to ``least``."""
 
     def letters(held):
@@ -199,7 +203,7 @@ def _added(least: int):
         for kind, parts in held.items():
             where, times = np.unique(np.concatenate(parts), return_counts=True)
             times = np.minimum(times, least).astype(np.uint16)
-            edges = np.searchsorted(where, np.arange((1 << BUCKET_BITS - RANGE_BITS) + 1) << RANGE_BITS)
+            edges = np.searchsorted(where, np.arange((1 << bits - RANGE_BITS) + 1) << RANGE_BITS)
             for k in np.flatnonzero(np.diff(edges)):
                 own = slice(edges[k], edges[k + 1])
                 rows.append((kind, int(k), _sparse(where[own] - np.uint32(int(k) << RANGE_BITS), times[own])))
@@ -211,7 +215,7 @@ def _added(least: int):
         for lang, words, numbers in _stored(batches):
             if len(numbers) < 3:
                 continue
-            two, three, pair, triple = _counters(_hashes(lang, words.to_pylist()), numbers)
+            two, three, pair, triple = _counters(_hashes(lang, words.to_pylist()), numbers, bits)
             held[2].append(pair[two])
             held[3].append(triple[three])
             size += len(numbers)
@@ -252,42 +256,56 @@ def _heavy(least: int):
     return run
 
 
-def _distinct(size: int, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The distinct rows of two or three columns of numbers below ``size``."""
+def _distinct(size: int, columns: list[np.ndarray], times: np.ndarray | None = None) -> list[np.ndarray]:
+    """The distinct rows, ascending, of two or three columns of numbers below ``size``, and the sums of their ``times``
+    (by default each row counts once)."""
     if size > 1 << _BITS:
-        return tuple(np.unique(np.stack(columns), axis=1))
+        found, which = np.unique(np.stack(columns), axis=1, return_inverse=True)
+        total = np.zeros(found.shape[1], np.int64)
+        np.add.at(total, which.ravel(), 1 if times is None else times)
+        return [*found, total]
     key = columns[0].astype(np.int64)
     for c in columns[1:]:
         key = key << _BITS | c
-    key.sort()
-    key, low = key[np.diff(key, prepend=-1) > 0], (1 << _BITS) - 1
-    return tuple(key >> _BITS * (len(columns) - 1 - k) & low for k in range(len(columns)))
+    if times is None:
+        key.sort()
+    else:
+        order = np.argsort(key)
+        key, times = key[order], times[order]
+    starts, low = np.flatnonzero(np.diff(key, prepend=-1) > 0), (1 << _BITS) - 1
+    total = np.diff(starts, append=len(key)) if times is None else np.add.reduceat(times, starts) if len(starts) else times
+    key = key[starts]
+    return [*(key >> _BITS * (len(columns) - 1 - k) & low for k in range(len(columns))), total]
 
 
 class _Phrases:
-    """Distinct phrases of one language, as numbers of their words; 0 is no word."""
+    """Distinct phrases of one language, as numbers of their words (0 is no word), and how often each was given."""
 
     def __init__(self):
         self.known, self.parts, self.held, self.kept = _Numbers(), [], 0, 0
 
-    def add(self, words: list[bytes], columns: list[np.ndarray]) -> None:
-        """Phrases whose columns hold places in ``words``, from 1."""
-        number = np.fromiter(map(self.known.__getitem__, [b".", *words]), np.int32, len(words) + 1)
-        self.parts.append([number[c] for c in columns])
-        self.held += len(columns[0])
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of ``words``, behind a 0 for no word."""
+        return np.fromiter(map(self.known.__getitem__, [b".", *words]), np.int32, len(words) + 1)
+
+    def add(self, columns: list[np.ndarray], times: np.ndarray) -> None:
+        self.parts.append([*columns, times])
+        self.held += len(times)
         if self.held > 2 * self.kept + HELD:
             self.distinct()
 
     def distinct(self) -> list[np.ndarray]:
-        found = [c.astype(np.int32) for c in _distinct(len(self.known), *(np.concatenate(c) for c in zip(*self.parts)))]
-        self.parts, self.held, self.kept = [found], len(found[0]), len(found[0])
+        *columns, times = (np.concatenate(c) for c in zip(*self.parts)) if self.parts else (np.zeros(0, np.int32),) * 4
+        *found, times = _distinct(len(self.known), columns, times)
+        found = [*(c.astype(np.int32) for c in found), times]
+        self.parts, self.held, self.kept = [found], len(times), len(times)
         return found
 
     def words(self) -> pa.Array:
         return pa.array(list(self.known), pa.binary())
 
 
-_LETTER = "bucket int, lang string, words array<binary>, entries int, shift int, code binary"
+_LETTER = "bucket int, lang string, words array<binary>, entries int, shift int, code binary, times binary"
 
 
 def _written(words: pa.Array, first: np.ndarray, second: np.ndarray, third: np.ndarray) -> tuple:
@@ -306,48 +324,64 @@ def _written(words: pa.Array, first: np.ndarray, second: np.ndarray, third: np.n
 
 def _read(words: int, entries: int, shift: int, code: bytes) -> list[np.ndarray]:
     """The first, second and third words' numbers of a letter of so many words."""
-    bits, keys = np.uint64(words.bit_length()), golomb_decode(entries, shift, code)
+    return _split(golomb_decode(entries, shift, code), words)
+
+
+def _split(keys: np.ndarray, words: int) -> list[np.ndarray]:
+    bits = np.uint64(words.bit_length())
     low = (np.uint64(1) << bits) - np.uint64(1)
     return [(keys >> bits * np.uint64(k) & low).astype(np.int64) for k in (2, 1, 0)]
 
 
-def _candidates(bitmaps, buckets: int):
-    """Letters by bucket: the distinct phrases of a task's portions whose counters, and those of the pairs in them, are heavy."""
+def _candidates(bitmaps, buckets: int, bits: int):
+    """Letters by bucket: the distinct phrases of a task's portions whose counters, and those of the pairs in them, are
+    heavy, and the places and numbers of their further occurrences."""
 
     def heavy(kind: int, at: np.ndarray) -> np.ndarray:
         return (bitmaps.value[kind][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
     def letters(lang: str, phrases: _Phrases):
-        found, words = phrases.distinct(), phrases.words()
+        *found, times = phrases.distinct()
+        words = phrases.words()
         hashes = _hashes(lang, words.to_pylist())
         to = (_pair_hash(hashes[found[0]], hashes[found[1]]) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         ends = np.cumsum(np.bincount(to, minlength=buckets))
         for bucket, end in enumerate(ends):
             for start in range(ends[bucket - 1] if bucket else 0, end, LETTER):
-                own, entries, shift, code = _written(words, *(c[order[start : min(start + LETTER, end)]] for c in found))
+                # The phrases ascend, so a letter keeps their order.
+                part = order[start : min(start + LETTER, end)]
+                own, entries, shift, code = _written(words, *(c[part] for c in found))
+                more = np.flatnonzero(times[part] > 1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([bucket], pa.int32()), pa.array([lang], pa.string()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own),
-                     pa.array([entries], pa.int32()), pa.array([shift], pa.int32()), pa.array([code], pa.binary())],
-                    ["bucket", "lang", "words", "entries", "shift", "code"])
+                     pa.array([entries], pa.int32()), pa.array([shift], pa.int32()), pa.array([code], pa.binary()),
+                     pa.array([_sparse(more, times[part][more] - 1)], pa.binary())],
+                    ["bucket", "lang", "words", "entries", "shift", "code", "times"])
 
     def run(batches):
         open_ = {}
         for lang, text, numbers in _stored(batches):
             if len(numbers) < 3:
                 continue
-            two, three, pair, triple = _counters(_hashes(lang, text.to_pylist()), numbers)
+            two, three, pair, triple = _counters(_hashes(lang, text.to_pylist()), numbers, bits)
             two[two] = heavy(2, pair[two])
             three &= two[:-1] & two[1:]
             three[three] = heavy(3, triple[three])
-            doubles = _distinct(len(text), numbers[:-1][two], numbers[1:][two])
-            triples = _distinct(len(text), numbers[:-2][three], numbers[1:-1][three], numbers[2:][three])
+            *doubles, often = _distinct(len(text), [numbers[:-1][two], numbers[1:][two]])
+            *triples, more = _distinct(len(text), [numbers[:-2][three], numbers[1:-1][three], numbers[2:][three]])
             del two, three, pair, triple
-            if len(doubles[0]):
-                found = [np.concatenate(c) for c in zip((*doubles, np.zeros(len(doubles[0]), np.int64)), triples)]
-                used, own = np.unique(np.concatenate([[0], *found]), return_inverse=True)
-                open_.setdefault(lang, _Phrases()).add(text.take(pa.array(used[1:])).to_pylist(), np.split(own[1:], 3))
-                del found, used, own
+            if len(often):
+                found = [np.concatenate(c) for c in zip((*doubles, np.zeros(len(often), np.int64)), triples)]
+                used = np.zeros(len(text), bool)
+                for c in found:
+                    used[c] = True
+                used[0] = False
+                phrases = open_.setdefault(lang, _Phrases())
+                number = np.zeros(len(text), np.int32)
+                number[used] = phrases.numbers(text.filter(pa.array(used)).to_pylist())[1:]
+                phrases.add([number[c] for c in found], np.concatenate([often, more]))
+                del found, used, number
             del doubles, triples
             if sum(p.held for p in open_.values()) >= 2 * HELD and sum(len(p.distinct()[0]) for p in open_.values()) >= HELD:
                 for at, phrases in open_.items():
@@ -362,131 +396,88 @@ def _candidates(bitmaps, buckets: int):
     return run
 
 
-def _merged(batches):
-    """Letters sorted by bucket and language -> their distinct phrases; w3 is null in pairs."""
-    at, phrases = None, None
+class _Bucket:
+    """The letters of one bucket and language: the numbers of a letter's words, its sorted phrases and their times."""
+
+    def __init__(self):
+        self.phrases, self.letters = _Phrases(), []
+
+    def add(self, words: list[bytes], entries: int, shift: int, code: bytes, times: bytes | None) -> None:
+        own = np.ones(entries, np.int64)
+        if times is not None:
+            places, more = _unpacked(times, np.int64)
+            own[places] += more
+        self.letters.append((self.phrases.numbers(words), golomb_decode(entries, shift, code), own))
+
+    def rows(self, letter) -> list[np.ndarray]:
+        number, keys, _ = letter
+        return [number[c] for c in _split(keys, len(number) - 1)]
+
+    def _own(self, columns: list[np.ndarray], bits: int) -> np.ndarray:
+        a, b, c = (x.astype(np.uint64) for x in columns)
+        return (_pair_hash(_pair_hash(a, b), c) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def candidates(self, least: int) -> list[np.ndarray]:
+        """The distinct phrases whose counter reaches ``least``: their words' numbers, ascending."""
+        bits = min(OWN_BITS, 1 + sum(len(keys) for _, keys, _ in self.letters).bit_length())
+        counters = np.zeros(1 << bits, np.int64)
+        for letter in self.letters:
+            np.add.at(counters, self._own(self.rows(letter), bits), letter[2])
+        for letter in self.letters:
+            columns = self.rows(letter)
+            passed = counters[self._own(columns, bits)] >= least
+            self.phrases.add([c[passed] for c in columns], letter[2][passed])
+        return self.phrases.distinct()[:3]
+
+    def counted(self, least: int):
+        """(first, second and third words' numbers, f) of the phrases with f >= ``least``, a block of them at a time."""
+        found = np.stack(self.candidates(least), axis=1).astype(np.int64)
+        for start in range(0, len(found), BLOCK_PHRASES):
+            block = found[start : start + BLOCK_PHRASES]
+            trie = DoubleArray.build(np.zeros(len(block), np.int64), block, len(self.phrases.known))
+            totals = np.zeros(len(block), np.int64)
+            for letter in self.letters:
+                columns = self.rows(letter)
+                own = np.flatnonzero((columns[0] >= block[0, 0]) & (columns[0] <= block[-1, 0]))
+                trie.add(0, np.stack([c[own] for c in columns], axis=1), letter[2][own], totals)
+            often = totals >= least
+            yield block[often], totals[often]
+
+
+def _merged(batches, least: int = 1):
+    """Letters sorted by bucket and language -> their distinct phrases with f >= ``least``; w3 is null in pairs. Letters
+    without times give no f, and count their phrases once."""
+    at, bucket = None, None
 
     def closed():
-        found, words = phrases.distinct(), phrases.words()
-        columns = [words.take(pa.array(c, mask=c == 0)) for c in found]
-        for k in range(0, len(found[0]), LETTER):
-            own = [c.slice(k, LETTER) for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array([at[1]] * len(own[0]), pa.string()), *own], ["lang", "w1", "w2", "w3"])
+        words = bucket.phrases.words()
+        for rows, f in bucket.counted(least):
+            columns = [words.take(pa.array(c, mask=c == 0)) for c in rows.T]
+            for k in range(0, len(rows), LETTER):
+                own = [c.slice(k, LETTER) for c in columns]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([at[1]] * len(own[0]), pa.string()), *own, *([pa.array(f[k : k + LETTER])] if timed else [])],
+                    ["lang", "w1", "w2", "w3", "f"][: 4 + timed])
 
     for batch in batches:
-        for bucket, lang, words, entries, shift, code in zip(*batch.columns):
-            if (bucket.as_py(), lang.as_py()) != at:
+        timed = batch.num_columns > 6
+        for place, lang, words, entries, shift, code, *times in zip(*batch.columns):
+            if (place.as_py(), lang.as_py()) != at:
                 if at:
                     yield from closed()
-                at, phrases = (bucket.as_py(), lang.as_py()), _Phrases()
-            words = words.as_py()
-            phrases.add(words, _read(len(words), entries.as_py(), shift.as_py(), code.as_py()))
+                    bucket = None
+                    _give_back()
+                at, bucket = (place.as_py(), lang.as_py()), _Bucket()
+            bucket.add(words.as_py(), entries.as_py(), shift.as_py(), code.as_py(), times[0].as_py() if timed else None)
     if at:
         yield from closed()
-    phrases = None
+    bucket = None
     _give_back()
 
 
-def _key(word: bytes) -> bytes:
-    """What stands for a word in a trie's list of words: a long word's 128-bit hash, behind a byte no word holds."""
-    return word if len(word) <= _LONG else b"\xff" + hashlib.blake2b(word, digest_size=16).digest()
-
-
-_TRIE = ("block bigint, number bigint, lang string, w1 binary, w2 binary, w3 binary, words binary, lengths binary, langs array<string>, "
-         "base binary, `check` binary, ends binary, roots binary, bits int")
-
-
-def _keys(words: pa.Array) -> pa.Array:
-    longest = pc.max(pc.binary_length(words)).as_py()
-    return words if longest is None or longest <= _LONG else pa.array([None if w is None else _key(w) for w in words.to_pylist()], pa.binary())
-
-
-def _build(block: pa.Table) -> pa.Table:
-    """The phrases of a block with their numbers, and a last row with the trie."""
-    keys = [_keys(block.column(c).combine_chunks()) for c in ("w1", "w2", "w3")]
-    words = pc.unique(pa.concat_arrays(keys)).drop_null()
-    lang = block.column("lang").combine_chunks().dictionary_encode()
-    number = lambda column: pc.fill_null(pc.index_in(column, words, skip_nulls=True), -1).to_numpy().astype(np.int64) + 1
-    trie = DoubleArray.build(lang.indices.to_numpy().astype(np.int64), np.stack([number(k) for k in keys], axis=1), len(words))
-    lengths = pc.binary_length(words).to_numpy().astype(np.uint8).tobytes()
-    last = {"block": block.column("block")[0].as_py(), "words": b"".join(words.to_pylist()), "lengths": lengths,
-            "langs": lang.dictionary.to_pylist()} | trie.parts()
-    kinds = {"block": pa.int64(), "number": pa.int64(), "lang": pa.string(), "langs": pa.list_(pa.string()), "bits": pa.int32()}
-    n = len(block)
-    own = {c: block.column(c).combine_chunks() for c in ("block", "lang", "w1", "w2", "w3")} | {"number": pa.array(np.arange(n))}
-    parts = {}
-    for c in (x.split()[0].strip("`") for x in _TRIE.split(", ")):
-        kind = kinds.get(c, pa.binary())
-        parts[c] = pa.chunked_array([own.get(c, pa.nulls(n, kind)).cast(kind), pa.array([last.get(c)], kind)])
-    return pa.table(parts)
-
-
-def _count(tries):
-    """(block, letter) with the numbers and counts of the phrases that stand in the task's portions."""
-
-    def run(batches):
-        _give_back()
-        known = []
-        for t in tries.value:
-            ends = np.cumsum(np.frombuffer(t["lengths"], np.uint8), dtype=np.int32)
-            words = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(np.int32(0), ends)), pa.py_buffer(t["words"])])
-            trie = DoubleArray.of(t)
-            known.append((t["block"], words, {lang: k for k, lang in enumerate(t["langs"])}, trie, np.zeros(len(trie.ends), np.int64)))
-        for lang, words, numbers in _stored(batches):
-            words = _keys(words)
-            for _, index, langs, trie, totals in known:
-                if lang in langs:
-                    own = pc.fill_null(pc.index_in(words, index), -1).to_numpy() + np.int32(1)
-                    trie.count(langs[lang], own, numbers, 3, totals)
-        for block, _, _, _, totals in known:
-            found = np.flatnonzero(totals)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_sparse(found, totals[found])], pa.binary())], ["block", "letter"])
-
-    return run
-
-
-def _summed(batches):
-    """The tasks' letters sorted by block -> (block, counts): the counts of all its phrases up to the last that was seen."""
-    at, total = None, np.zeros(0, np.int64)
-
-    def closed():
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([_planes(total)], pa.binary())], ["block", "counts"])
-
-    for batch in batches:
-        for block, letter in zip(*batch.columns):
-            if block.as_py() != at:
-                if at is not None:
-                    yield closed()
-                at, total = block.as_py(), np.zeros(0, np.int64)
-            places, times = _unpacked(letter.as_py(), np.int64)
-            if len(places) and places[-1] >= len(total):
-                total = np.concatenate([total, np.zeros(int(places[-1]) + 1 - len(total), np.int64)])
-            total[places] += times
-    if at is not None:
-        yield closed()
-
-
 _COUNTED = "lang string, w1 binary, w2 binary, w3 binary, f bigint"
 
 
-def _frequent(counts, least: int):
-    """Phrases of a scan's blocks with f >= ``least``; a phrase's number is its place in its block's counts."""
-
-    def run(batches):
-        totals = {block: _flat(planes, np.int64) for block, planes in counts.value.items()}
-        for batch in batches:
-            block, number = (batch.column(k).to_numpy() for k in range(2))
-            f = np.zeros(len(number), np.int64)
-            for at, total in totals.items():
-                own = np.flatnonzero((block == at) & (number < len(total)))
-                f[own] = total[number[own]]
-            often = np.flatnonzero(f >= least)
-            words = [batch.column(k).take(pa.array(often)) for k in range(2, 6)]
-            yield pa.RecordBatch.from_arrays([*words, pa.array(f[often])], ["lang", "w1", "w2", "w3", "f"])
-
-    return run
-
-
 def _frequencies(docs: DataFrame, shelf: Shelf, least: int) -> tuple[DataFrame, DataFrame]:
     """(lang, word, f) of all words, and (lang, w1, w2, w3, f) of the phrases with f >= ``least``; w3 may be null."""
     spark = docs.sparkSession
@@ -497,40 +488,21 @@ def _frequencies(docs: DataFrame, shelf: Shelf, least: int) -> tuple[DataFrame,
     # The first word of a portion is the end of a piece.
     words = shelf.put(counted.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f")).where(
         F.col("word") != F.lit(".").cast("binary")), "words")
-    ranges = portions.mapInArrow(_added(least), "kind int, range int, letter binary")
+    total = words.agg(F.sum("f")).first()[0] or 0
+    bits = _bits(total)
+    ranges = portions.mapInArrow(_added(least, bits), "kind int, range int, letter binary")
     heavy = ranges.repartition("kind", "range").sortWithinPartitions("kind", "range").mapInArrow(_heavy(least), "kind int, range int, bits binary")
-    bitmaps = {k: np.zeros(1 << BUCKET_BITS - 3, np.uint8) for k in (2, 3)}
+    bitmaps = {k: np.zeros(1 << bits - 3, np.uint8) for k in (2, 3)}
     size = 1 << RANGE_BITS - 3
     for r in heavy.toLocalIterator():
         bitmaps[r.kind][r.range * size : (r.range + 1) * size] = np.frombuffer(r.bits, np.uint8)
     sent = spark.sparkContext.broadcast(bitmaps)
     del bitmaps
-    buckets = buckets_for(words.agg(F.sum("f")).first()[0] or 0, BUCKET_WORDS)
-    letters = portions.mapInArrow(_candidates(sent, buckets), _LETTER).repartition("bucket").sortWithinPartitions("bucket", "lang")
-    found = shelf.put(letters.mapInArrow(_merged, "lang string, w1 binary, w2 binary, w3 binary"), "candidates")
+    letters = portions.mapInArrow(_candidates(sent, buckets_for(total, BUCKET_WORDS), bits), _LETTER).repartition("bucket").sortWithinPartitions("bucket", "lang")
+    phrases = shelf.put(letters.mapInArrow(partial(_merged, least=least), _COUNTED), "phrases")
     sent.destroy()
-
-    blocks = buckets_for(found.count(), BLOCK_PHRASES)
-    # Few first words have so many phrases.
-    wide = found.groupBy("lang", "w1").agg(F.ceil(4 * F.count("*") / BLOCK_PHRASES).alias("over")).where("over > 1")
-    blocked = found.join(F.broadcast(wide), ["lang", "w1"], "left").withColumn("block", F.pmod(
-        F.xxhash64("lang", "w1", F.pmod(F.xxhash64("w2", "w3"), F.coalesce("over", F.lit(1).cast("bigint")))), F.lit(blocks))).drop("over")
-    tries = shelf.put(blocked.groupBy("block").applyInArrow(_build, _TRIE), "tries")
-    shelf.remove("candidates")
-    done = []
-    for start in range(0, blocks, BLOCKS_A_SCAN):
-        some = tries.where(F.col("base").isNotNull() & F.col("block").between(start, start + BLOCKS_A_SCAN - 1))
-        sent = spark.sparkContext.broadcast([r.asDict() for r in some.drop("number", "lang", "w1", "w2", "w3").toLocalIterator()])
-        letters = portions.mapInArrow(_count(sent), "block bigint, letter binary").repartition("block").sortWithinPartitions("block")
-        counts = {r.block: bytes(r.counts) for r in letters.mapInArrow(_summed, "block bigint, counts binary").toLocalIterator()}
-        sent.destroy()
-        sent = spark.sparkContext.broadcast(counts)
-        some = tries.where(F.col("number").isNotNull() & F.col("block").between(start, start + BLOCKS_A_SCAN - 1))
-        shelf.put(some.select("block", "number", "lang", "w1", "w2", "w3").mapInArrow(_frequent(sent, least), _COUNTED), f"phrases-{start}")
-        done.append(f"phrases-{start}")
-        sent.destroy()
-    shelf.remove("seen", "tries")
-    return words, shelf.read(_COUNTED, *done)
+    shelf.remove("seen")
+    return words, phrases
 
 
 def _score(l: str, r: str):

@@ -153,6 +153,18 @@ class DoubleArray:
             found = np.bincount(hits[hits >= 0])
             totals[: len(found)] += found
 
+    def add(self, root: int, phrases: np.ndarray, times: np.ndarray, totals: np.ndarray) -> None:
+        """Adds the ``times`` of ``phrases`` (rows of the trie's words, padded with 0) to their places in ``totals``; phrases
+        that the trie does not have are passed over. All phrases advance together, digit by digit."""
+        at, states = np.arange(len(phrases)), np.full(len(phrases), self.roots[root], np.int32)
+        for k in range(phrases.shape[1]):
+            alive, states = self._word(states, phrases[at, k])
+            at = at[alive]
+            whole = phrases[at, k + 1] == 0 if k + 1 < phrases.shape[1] else np.ones(len(at), bool)
+            hits = self.accept[states[whole]]
+            np.add.at(totals, hits[hits >= 0], times[at[whole]][hits >= 0])
+            at, states = at[~whole], states[~whole]
+
     def parts(self) -> dict:
         return {"base": self.base.tobytes(), "check": self.check.tobytes(), "ends": self.ends.tobytes(), "roots": self.roots.tobytes(),
                 "bits": self.bits}

@@ -308,3 +308,47 @@ def test_merged_letters_hold_each_phrase_once(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_), types)], ["bucket", "lang", "words", "entries", "shift", "code"])
     got = [tuple(r.values()) for b in collocations._merged([batch]) for r in b.to_pylist()]
     assert len(got) == len(set(got)) and set(got) == {(lang, *p) for lang, v in want.items() for p in v}
+
+
+@pytest.mark.parametrize("own_bits", [2, 23])
+def test_letters_with_times_are_summed_in_their_bucket(monkeypatch, own_bits):
+    """Letters of several tasks and two languages, tries of a few phrases, counters that let everything pass or little."""
+    monkeypatch.setattr(collocations, "HELD", 50)
+    monkeypatch.setattr(collocations, "BLOCK_PHRASES", 7)
+    monkeypatch.setattr(collocations, "OWN_BITS", own_bits)
+    rng, want, rows_ = np.random.default_rng(8), Counter(), []
+    for letter in range(30):
+        lang = "de" if letter >= 20 else "en"
+        words = pa.array([b"."] + [f"w{k}".encode() for k in rng.permutation(9)], pa.binary())
+        phrases = rng.integers(1, 10, (25, 3))
+        phrases[::3, 2] = 0
+        phrases = np.unique(phrases, axis=0)
+        times = rng.zipf(1.5, len(phrases)).clip(max=10**6)
+        own, entries, shift, code = collocations._written(words, *phrases.T)
+        more = np.flatnonzero(times > 1)
+        rows_.append((3, lang, own.to_pylist(), entries, shift, code, collocations._sparse(more, times[more] - 1)))
+        for p, n in zip(phrases, times.tolist()):
+            want[(lang, *(words[int(w)].as_py() if w else None for w in p))] += n
+    types = [pa.int32(), pa.string(), pa.list_(pa.binary()), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_), types)],
+                                       ["bucket", "lang", "words", "entries", "shift", "code", "times"])
+    got = [tuple(r.values()) for b in collocations._merged([batch], least=4) for r in b.to_pylist()]
+    assert len(got) == len({r[:4] for r in got})
+    assert {r[:4]: r[4] for r in got} == {p: n for p, n in want.items() if n >= 4}
+
+
+def test_more_candidates_cost_no_further_passes(documents, monkeypatch):
+    """The texts' words are read as often with tries of 50 phrases as with one trie for all."""
+    kind, passes, run = type(documents), [], type(documents).mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: passes.append(1) or run(self, *a, **b))
+    counts = []
+    for phrases in (10**6, 50):
+        monkeypatch.setattr(collocations, "BLOCK_PHRASES", phrases)
+        passes.clear()
+        assert collocations.mine_phrases(documents.where("n_chars < 3000"), least=4, top=40).count() > 0
+        counts.append(len(passes))
+    assert counts[0] == counts[1]
+
+
+def test_counters_grow_with_the_text_up_to_a_bound():
+    assert [collocations._bits(n) for n in (0, 10**6, 85_000_000, 300_000_000, 10**9, 10**12)] == [26, 26, 26, 28, 28, 28]
